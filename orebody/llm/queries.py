@@ -6,7 +6,9 @@ from importlib import import_module
 
 #: Module of each query; a module has SQL if SQL can express the query.
 MODULES = {
+    "op4_token_counts": "token_counts",
     "op5_exact_dedup": "exact_dedup",
+    "op10_packing": "packing",
 }
 
 
