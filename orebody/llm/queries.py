@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Module of each query; a module has SQL if SQL can express the query.
 MODULES = {
+    "op1_secret_scan": "secret_scan",
     "op2_quality_rules": "quality_rules",
     "op4_token_counts": "token_counts",
     "op5_exact_dedup": "exact_dedup",
