@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op1_secret_scan": "secret_scan",
     "op2_quality_rules": "quality_rules",
+    "op3_language_id": "language_id",
     "op4_token_counts": "token_counts",
     "op5_exact_dedup": "exact_dedup",
     "op10_packing": "packing",
