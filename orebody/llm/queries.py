@@ -11,6 +11,7 @@ MODULES = {
     "op3_language_id": "language_id",
     "op4_token_counts": "token_counts",
     "op5_exact_dedup": "exact_dedup",
+    "op6_mixing": "mixing",
     "op10_packing": "packing",
 }
 
