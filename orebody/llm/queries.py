@@ -12,6 +12,7 @@ MODULES = {
     "op4_token_counts": "token_counts",
     "op5_exact_dedup": "exact_dedup",
     "op6_mixing": "mixing",
+    "op7_suffix_array_dedup": "suffix_array_dedup",
     "op9_minhash_dedup": "minhash_dedup",
     "op10_packing": "packing",
 }
