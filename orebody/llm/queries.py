@@ -13,6 +13,7 @@ MODULES = {
     "op5_exact_dedup": "exact_dedup",
     "op6_mixing": "mixing",
     "op7_suffix_array_dedup": "suffix_array_dedup",
+    "op8_substring_dedup": "substring_dedup",
     "op9_minhash_dedup": "minhash_dedup",
     "op10_packing": "packing",
 }
