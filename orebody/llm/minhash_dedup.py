@@ -47,9 +47,9 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) ->
                 values.append(s[:k])
             offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
             flat = np.concatenate(values) if values else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "node", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "key", "node", "n", "sketch"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, node long, n long, sketch array<long>")
+    return docs.select(id_col, text_col, F.xxhash64(id_col, text_col)).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, key long, node long, n long, sketch array<long>")
 
 
 def needed(size: Column) -> Column:
@@ -113,7 +113,8 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, short: int = 64, max_broadcast_rows: int = 2_000_000) -> DataFrame:
-    """One row for each row of docs: its id, n_shingles, node (its class), component_id."""
+    """One row for each row of docs: its id, key (xxhash64 of id and text), n_shingles, node (its class), component (a
+    number of its component; that of rows without shingles is null) and component_id."""
     members = saved(sketches(docs, id_col, text_col, width, K), "near-members")
     classes = saved(members.groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-classes")
     live = classes.where("n > 0")
@@ -162,10 +163,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     joined = classes.select("node", "rep").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = joined.where(F.col("label") != F.col("node")).select("label", "rep").unionByName(joined.where(F.col("label") == F.col("node")).select("label", "rep")).groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_class = joined.join(smallest, "label").select("node", "component_id")
-    empty = members.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "node", F.col("id").alias("component_id"))
-    rows = members.where("n > 0").join(of_class, "node").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "node", "component_id")
-    return rows.unionByName(empty)
+    of_class = joined.join(smallest, "label").select("node", F.col("label").alias("component"), "component_id")
+    columns = lambda df: df.select(F.col("id").alias(id_col), "key", F.col("n").alias("n_shingles"), "node", "component", "component_id")
+    empty = members.where("n = 0").withColumn("component", F.lit(None).cast("long")).withColumn("component_id", F.col("id"))
+    return columns(members.where("n > 0").join(of_class, "node")).unionByName(columns(empty))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast_rows: int = 2_000_000, **how) -> DataFrame:
+    """docs with one document of each component: that of the smallest id (of equal ids, of the smallest key)."""
+    found = saved(near_duplicates(docs, id_col, text_col, **how), "near-found").where("component IS NOT NULL")
+    stays = found.groupBy("component").agg(F.min(F.struct(id_col, "key")).alias("w"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    goes = found.join(stays, "component").where(~F.struct(id_col, "key").eqNullSafe(F.col("w"))).select(F.col(id_col).alias("_ob_id"), F.col("key").alias("_ob_key")).distinct()
+    goes = saved(goes, "near-goes")
+    goes = F.broadcast(goes) if goes.count() <= max_broadcast_rows else goes
+    return docs.join(goes, F.xxhash64(id_col, text_col).eqNullSafe(F.col("_ob_key")) & F.col(id_col).eqNullSafe(F.col("_ob_id")), "left_anti")
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

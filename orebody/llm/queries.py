@@ -1,4 +1,4 @@
-"""The ten operators' queries and their SQL, and the pipeline's."""
+"""The ten operators' queries and their SQL."""
 
 from __future__ import annotations
 
@@ -20,14 +20,7 @@ MODULES = {
 
 
 def queries() -> dict:
-    found = {name: getattr(import_module(f"orebody.llm.{m}"), name) for name, m in MODULES.items()}
-    try:
-        import corpus_pipeline
-    except ModuleNotFoundError as e:
-        if e.name != "corpus_pipeline":
-            raise
-        return found
-    return found | {"pipeline": corpus_pipeline.run}
+    return {name: getattr(import_module(f"orebody.llm.{m}"), name) for name, m in MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
