@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from orebody.plans import graph_queries, source_queries, text_queries
+
 
 def queries() -> dict:
-    return {}
+    return text_queries.Q | graph_queries.Q | source_queries.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return text_queries.SQL | graph_queries.SQL | source_queries.SQL

@@ -1 +1 @@
-"""Spark-first engine over source trees and technical documents."""
+"""Column functions over paths, texts and names; all native expressions."""

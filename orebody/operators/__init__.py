@@ -1 +1 @@
-"""Spark-first engine over source trees and technical documents."""
+"""Relational operators: chunking, search, change detection, graphs, symbols, artifacts."""

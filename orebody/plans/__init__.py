@@ -1 +1 @@
-"""Spark-first engine over source trees and technical documents."""
+"""Plans over the test tables: each registered query and the SQL that must give the same rows."""

@@ -1 +1 @@
-"""Spark-first engine over source trees and technical documents."""
+"""Structured Streaming: watching a tree, debouncing its changes, incremental indexing."""
