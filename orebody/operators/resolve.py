@@ -1,11 +1,126 @@
-"""Import resolution as lookups: ordered candidate paths joined with the file set, first hit wins."""
+"""Import resolution as lookups: ordered candidate paths joined with the file set, first hit wins.
+
+Each language's rule is a list of path expressions over (specifier, folder); they are exploded with their place in the
+list, joined once with the files, and the smallest place that exists is the target. So all languages share one equi-join.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orebody.operators.extract import COMPONENTS, JS, JVM, STYLES
+
+#: Extensions tried in order.
+EXTENSIONS = {**{x: (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".vue", ".svelte") for x in (*JS, *COMPONENTS)}, **{x: (".css", ".scss", ".sass", ".less", ".styl") for x in STYLES}, "python": (".py",), "ruby": (".rb",), "dart": (".dart",), "lua": (".lua",), "shell": (".sh", ".bash"), "swift": (".swift",), "php": (".php",)}
+#: Modules that come with a language, by their first name.
+PYTHON_LIBRARY = "os sys re json math datetime collections typing pathlib io functools itertools abc asyncio unittest logging argparse subprocess socket http urllib hashlib copy enum dataclasses contextlib textwrap string struct time threading multiprocessing xml csv sqlite3 pickle shelve tempfile shutil glob".split()
+LUA_LIBRARY = "string table math io os coroutine debug package utf8 bit32".split()
+APPLE_LIBRARY = "Foundation UIKit SwiftUI Combine CoreData CoreGraphics CoreLocation MapKit XCTest".split()
+
 
 def first_hits(candidates: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
     """candidates: keys, ord, path; files: path. keys and the path of the smallest ord that exists."""
     return candidates.join(files.select("path").distinct(), "path").groupBy(*keys).agg(F.min_by("path", "ord").alias("path"))
+
+
+def is_external(spec: Column, language: Column) -> Column:
+    """Whether the specifier names a library of the language; Go is decided by its module path instead."""
+    head = F.substring_index(spec, ".", 1)
+    return F.coalesce(
+        F.when(language == "python", head.isin(*PYTHON_LIBRARY))
+        .when(language.isin(*JVM), spec.rlike(r"^(?:javax?|kotlinx?|scala|android)\."))
+        .when(language == "csharp", spec.rlike(r"^(?:System(?:\.|$)|Microsoft\.)"))
+        .when(language == "rust", spec.rlike("^(?:std|core|alloc)::"))
+        .when(language == "swift", spec.isin(*APPLE_LIBRARY))
+        .when(language == "ruby", ~spec.contains("/"))
+        .when(language == "dart", spec.rlike("^(?:dart|package):"))
+        .when(language == "lua", head.isin(*LUA_LIBRARY)),
+        F.lit(False),
+    )
+
+
+def normal_path(path: Column) -> Column:
+    """A relative path without `.` and `..` parts; what climbs above the root becomes null."""
+    up = lambda a: F.when(F.size(a) == 0, F.lit(None).cast("array<string>")).otherwise(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))))
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), lambda a, p: F.when(p.isin("", "."), a).when(p == "..", up(a)).otherwise(F.array_append(a, p)))
+    return F.array_join(parts, "/")
+
+
+def probes(path: Column, extensions: tuple[str, ...]) -> list[Column]:
+    """The places where a possibly extensionless path may be found, in order."""
+    ext = F.regexp_extract(path, r"[^/](\.[^./]+)$", 1)
+    stem = F.when(ext != "", F.expr("null").cast("string")) if not extensions else F.when(ext != "", F.regexp_replace(path, r"\.[^./]+$", ""))
+    out = [path, *(F.concat(path, F.lit(e)) for e in extensions), *(F.concat(stem, F.lit(e)) for e in extensions), *(F.concat(path, F.lit(f"/index{e}")) for e in extensions)]
+    if ".scss" in extensions:
+        partial = F.when(~path.rlike(r"(?:^|/)_[^/]*$"), F.regexp_replace(path, r"([^/]+)$", "_$1"))
+        out += [partial, *(F.concat(partial, F.lit(e)) for e in extensions)]
+    if ".py" in extensions:
+        out.append(F.concat(path, F.lit("/__init__.py")))
+    return out
+
+
+def beside(folder: Column, spec: Column) -> Column:
+    return normal_path(F.concat(folder, F.lit("/"), spec))
+
+
+def candidates_by_language(spec: Column, folder: Column) -> dict[tuple[str, ...], list[Column]]:
+    relative = F.when(spec.rlike(r"^\.{1,2}(?:/|$)"), beside(folder, spec))
+    dots = F.length(F.regexp_extract(spec, r"^(\.*)", 1))
+    rest = F.regexp_replace(F.regexp_replace(spec, r"^\.+", ""), r"\.", "/")
+    climbed = F.when(dots > 0, beside(folder, F.concat(F.repeat(F.lit("../"), dots - 1), rest)))
+    absolute = F.when(dots == 0, F.regexp_replace(spec, r"\.", "/"))
+    out: dict[tuple[str, ...], list[Column]] = {(*JS, *COMPONENTS): probes(relative, EXTENSIONS["typescript"]), STYLES: probes(relative, EXTENSIONS["css"])}
+    out["python",] = [p for base in (climbed, absolute, F.concat(F.lit("src/"), absolute), F.concat(F.lit("lib/"), absolute), F.when(dots == 0, beside(folder, absolute))) for p in probes(base, (".py",))]
+    for lang, suffix in zip(JVM, (".java", ".kt", ".scala")):
+        cls = F.when(~spec.endswith("*"), F.concat(F.regexp_replace(spec, r"\.", "/"), F.lit(suffix)))
+        out[(lang,)] = [F.concat(F.lit(prefix), cls) for prefix in ("", f"src/main/{lang}/", "src/main/", "src/")]
+    out["c", "cpp"] = [beside(folder, spec)]
+    out["ruby",] = probes(F.when(spec.startswith("."), relative).otherwise(spec), (".rb",))
+    space = F.regexp_replace(F.regexp_replace(spec, r"^\\", ""), r"\\", "/")
+    inner = F.when(space.contains("/"), F.regexp_replace(space, "^[^/]+/", ""))
+    lowered = F.concat(F.lower(F.substring(space, 1, 1)), F.substring(space, F.lit(2), F.length(space)))
+    first_low = F.when(space.contains("/"), F.concat(F.lower(F.substring_index(space, "/", 1)), F.lit("/"), inner)).otherwise(lowered)
+    out["php",] = [relative, F.concat(relative, F.lit(".php")), space, *(F.concat(x, F.lit(".php")) for x in (space, first_low, F.concat(F.lit("src/"), inner), F.concat(F.lit("lib/"), inner)))]
+    module = F.when(~spec.contains("::"), spec)
+    out["rust",] = [beside(folder, F.concat(module, F.lit(end))) for end in (".rs", "/mod.rs")]
+    out["swift",] = probes(relative, EXTENSIONS["swift"])
+    out["shell",] = probes(relative, EXTENSIONS["shell"])
+    out["dart",] = probes(beside(folder, spec), (".dart",))
+    dotted = F.regexp_replace(spec, r"\.", "/")
+    out["lua",] = [*probes(dotted, (".lua",)), F.concat(dotted, F.lit("/init.lua")), spec]
+    return out
+
+
+def resolved_imports(imports: DataFrame, files: DataFrame, go_module: str | None = None, go_packages: DataFrame | None = None, namespaces: DataFrame | None = None, class_suffixes: DataFrame | None = None, aliases: list[tuple[str, bool, int, str]] = ()) -> DataFrame:
+    """imports: path, language, ord, specifier, dynamic, style; files: path. source, target, type and import_ord of those found."""
+    spec, lang = F.col("specifier"), F.when(F.col("style"), F.lit("css")).otherwise(F.col("language"))
+    folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    own = imports.withColumn("_lang", lang).where(~is_external(spec, F.col("_lang")))
+    keys = ["source", "import_ord", "dynamic"]
+    base = own.withColumnRenamed("ord", "import_ord")
+    rules = candidates_by_language(spec, folder)
+    options = F.lit(None).cast("array<string>")
+    for languages, paths in rules.items():
+        if languages[0] in ("javascript", *STYLES) and aliases:
+            ext = EXTENSIONS["typescript" if languages[0] == "javascript" else "css"]
+            for prefix, wild, _, target in aliases:
+                hit = F.when(spec.startswith(prefix) if wild else spec == prefix, normal_path(F.concat(F.lit(target + ("/" if wild else "")), F.substring(spec, F.lit(len(prefix) + 1), F.length(spec)))))
+                paths = [*paths, *probes(hit, ext)]
+        options = F.when(F.col("_lang").isin(*languages), F.array(*paths)).otherwise(options)
+    listed = base.withColumn("_p", options).select(F.col("path").alias("source"), "import_ord", "dynamic", F.posexplode("_p").alias("ord", "path")).where("path IS NOT NULL")
+    found = first_hits(listed, files, keys)
+    lookups = []
+    if go_module and go_packages is not None:
+        inside = F.when(spec == go_module, F.lit("")).when(spec.startswith(go_module + "/"), F.substring(spec, F.lit(len(go_module) + 2), F.length(spec)))
+        lookups.append((base.where("_lang = 'go'").withColumn("k", inside), go_packages.select(F.col("folder").alias("k"), F.col("path").alias("to"))))
+    if namespaces is not None:
+        lookups.append((base.where("_lang = 'csharp'").withColumn("k", spec), namespaces.select(F.col("namespace").alias("k"), F.col("path").alias("to"))))
+    if class_suffixes is not None:
+        end = F.when(F.col("_lang") == "java", ".java").when(F.col("_lang") == "kotlin", ".kt").otherwise(".scala")
+        jvm = base.where(F.col("_lang").isin(*JVM)).withColumn("k", F.concat(F.regexp_replace(spec, r"\.", "/"), end))
+        lookups.append((jvm, class_suffixes.select(F.col("suffix").alias("k"), F.col("path").alias("to"))))
+    for rows, table in lookups:
+        more = rows.join(table, "k").select(F.col("path").alias("source"), "import_ord", "dynamic", F.col("to").alias("path"))
+        found = found.unionByName(more.join(found, keys, "left_anti"))
+    return found.select("source", F.col("path").alias("target"), F.when(F.col("dynamic"), "dynamic-import").otherwise("import").alias("type"), "import_ord")

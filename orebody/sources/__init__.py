@@ -1 +1 @@
-"""Spark-first engine over source trees and technical documents."""
+"""Sources and sinks: source trees, ignore rules, module maps, stored state."""
