@@ -102,7 +102,7 @@ class Engine:
         return self.table("file_state").read().groupBy("project_id").agg(F.count(F.lit(1)).alias("files"))
 
     def remove(self) -> None:
-        for name in ("chunks", "file_state", "edges", "symbols", "calls", "call_edges", "artifact_chunks", "artifact_state"):
+        for name in ("chunks", "file_state", "graph_files", "imports", "edges", "symbols", "calls", "call_edges", "artifact_chunks", "artifact_state"):
             self.table(name).drop(self.project)
 
     def watch(self, root: str, checkpoint: str, once: bool = False):
@@ -125,10 +125,14 @@ class Graph:
     def build(self, root: str, go_module: str | None = None, aliases: list = (), **scan) -> None:
         """Import edges, symbols, calls and resolved calls of the tree, in place of the stored ones."""
         e = self.engine
-        files = sources.graphable_files(e.spark, root, **scan).withColumnRenamed("relative_path", "path").select("path", "language", "content")
+        # many branches read the files: they are scanned once
+        e.put("graph_files", sources.graphable_files(e.spark, root, **scan).withColumnRenamed("relative_path", "path").select("path", "language", "content"))
+        files = e.rows("graph_files")
         found = extract.extracted(files)
         paths = files.select("path")
-        edges = resolve.resolved_imports(extract.imports_of(files), paths, go_module, sources.go_packages(paths), sources.namespaces(files), sources.class_suffixes(paths), aliases)
+        # stored, so that the rules of resolution stand once in a plan and not in each language's branch
+        e.put("imports", extract.imports_of(files))
+        edges = resolve.resolved_imports(e.rows("imports"), paths, go_module, sources.go_packages(paths), sources.namespaces(files), sources.class_suffixes(paths), aliases)
         e.put("edges", edges.select("source", "target", "type"))
         e.put("symbols", extract.symbol_rows(found))
         e.put("calls", extract.call_rows(found))
@@ -153,7 +157,7 @@ class Graph:
         return graph.mermaid(self.edges())
 
     def remove(self) -> None:
-        for name in ("edges", "symbols", "calls", "call_edges"):
+        for name in ("graph_files", "imports", "edges", "symbols", "calls", "call_edges"):
             self.engine.table(name).drop(self.engine.project)
 
     def status(self) -> DataFrame:

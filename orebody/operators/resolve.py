@@ -50,7 +50,7 @@ def normal_path(path: Column) -> Column:
 def probes(path: Column, extensions: tuple[str, ...]) -> list[Column]:
     """The places where a possibly extensionless path may be found, in order."""
     ext = F.regexp_extract(path, r"[^/](\.[^./]+)$", 1)
-    stem = F.when(ext != "", F.expr("null").cast("string")) if not extensions else F.when(ext != "", F.regexp_replace(path, r"\.[^./]+$", ""))
+    stem = F.when(ext != "", F.regexp_replace(path, r"\.[^./]+$", ""))
     out = [path, *(F.concat(path, F.lit(e)) for e in extensions), *(F.concat(stem, F.lit(e)) for e in extensions), *(F.concat(path, F.lit(f"/index{e}")) for e in extensions)]
     if ".scss" in extensions:
         partial = F.when(~path.rlike(r"(?:^|/)_[^/]*$"), F.regexp_replace(path, r"([^/]+)$", "_$1"))
@@ -64,31 +64,33 @@ def beside(folder: Column, spec: Column) -> Column:
     return normal_path(F.concat(folder, F.lit("/"), spec))
 
 
-def candidates_by_language(spec: Column, folder: Column) -> dict[tuple[str, ...], list[Column]]:
+#: How a base path is probed: as it is, or with the extensions of a family.
+FAMILIES = {"exact": (), "script": EXTENSIONS["typescript"], "style": EXTENSIONS["css"], "python": (".py",), "ruby": (".rb",), "dart": (".dart",), "lua": (".lua",), "shell": EXTENSIONS["shell"], "swift": EXTENSIONS["swift"]}
+
+
+def bases_by_language(spec: Column, folder: Column) -> dict[tuple[str, ...], list[tuple[Column, str]]]:
+    """Base paths of each language in order, with their family."""
     relative = F.when(spec.rlike(r"^\.{1,2}(?:/|$)"), beside(folder, spec))
+    here = beside(folder, spec)
+    slashed = F.regexp_replace(spec, r"\.", "/")
     dots = F.length(F.regexp_extract(spec, r"^(\.*)", 1))
-    rest = F.regexp_replace(F.regexp_replace(spec, r"^\.+", ""), r"\.", "/")
-    climbed = F.when(dots > 0, beside(folder, F.concat(F.repeat(F.lit("../"), dots - 1), rest)))
-    absolute = F.when(dots == 0, F.regexp_replace(spec, r"\.", "/"))
-    out: dict[tuple[str, ...], list[Column]] = {(*JS, *COMPONENTS): probes(relative, EXTENSIONS["typescript"]), STYLES: probes(relative, EXTENSIONS["css"])}
-    out["python",] = [p for base in (climbed, absolute, F.concat(F.lit("src/"), absolute), F.concat(F.lit("lib/"), absolute), F.when(dots == 0, beside(folder, absolute))) for p in probes(base, (".py",))]
+    climbed = F.when(dots > 0, beside(folder, F.concat(F.repeat(F.lit("../"), dots - 1), F.regexp_replace(F.regexp_replace(spec, r"^\.+", ""), r"\.", "/"))))
+    absolute = F.when(dots == 0, slashed)
+    out: dict[tuple[str, ...], list[tuple[Column, str]]] = {(*JS, *COMPONENTS): [(relative, "script")], STYLES: [(relative, "style")]}
+    out["python",] = [(x, "python") for x in (climbed, absolute, F.concat(F.lit("src/"), absolute), F.concat(F.lit("lib/"), absolute), F.when(dots == 0, beside(folder, slashed)))]
     for lang, suffix in zip(JVM, (".java", ".kt", ".scala")):
-        cls = F.when(~spec.endswith("*"), F.concat(F.regexp_replace(spec, r"\.", "/"), F.lit(suffix)))
-        out[(lang,)] = [F.concat(F.lit(prefix), cls) for prefix in ("", f"src/main/{lang}/", "src/main/", "src/")]
-    out["c", "cpp"] = [beside(folder, spec)]
-    out["ruby",] = probes(F.when(spec.startswith("."), relative).otherwise(spec), (".rb",))
-    space = F.regexp_replace(F.regexp_replace(spec, r"^\\", ""), r"\\", "/")
+        cls = F.when(~spec.endswith("*"), F.concat(slashed, F.lit(suffix)))
+        out[(lang,)] = [(F.concat(F.lit(prefix), cls), "exact") for prefix in ("", f"src/main/{lang}/", "src/main/", "src/")]
+    out["c", "cpp"] = [(here, "exact")]
+    out["ruby",] = [(F.when(spec.startswith("."), here).otherwise(spec), "ruby")]
+    space = F.regexp_replace(F.regexp_replace(spec, r"^\\\\", ""), r"\\\\", "/")
     inner = F.when(space.contains("/"), F.regexp_replace(space, "^[^/]+/", ""))
-    lowered = F.concat(F.lower(F.substring(space, 1, 1)), F.substring(space, F.lit(2), F.length(space)))
-    first_low = F.when(space.contains("/"), F.concat(F.lower(F.substring_index(space, "/", 1)), F.lit("/"), inner)).otherwise(lowered)
-    out["php",] = [relative, F.concat(relative, F.lit(".php")), space, *(F.concat(x, F.lit(".php")) for x in (space, first_low, F.concat(F.lit("src/"), inner), F.concat(F.lit("lib/"), inner)))]
+    first_low = F.concat(F.lower(F.substring_index(space, "/", 1)), F.lit("/"), inner)
+    out["php",] = [(x, "exact") for x in (relative, F.concat(relative, F.lit(".php")), space, *(F.concat(y, F.lit(".php")) for y in (space, first_low, F.concat(F.lit("src/"), inner), F.concat(F.lit("lib/"), inner))))]
     module = F.when(~spec.contains("::"), spec)
-    out["rust",] = [beside(folder, F.concat(module, F.lit(end))) for end in (".rs", "/mod.rs")]
-    out["swift",] = probes(relative, EXTENSIONS["swift"])
-    out["shell",] = probes(relative, EXTENSIONS["shell"])
-    out["dart",] = probes(beside(folder, spec), (".dart",))
-    dotted = F.regexp_replace(spec, r"\.", "/")
-    out["lua",] = [*probes(dotted, (".lua",)), F.concat(dotted, F.lit("/init.lua")), spec]
+    out["rust",] = [(beside(folder, F.concat(module, F.lit(end))), "exact") for end in (".rs", "/mod.rs")]
+    out["swift",], out["shell",], out["dart",] = [(relative, "swift")], [(relative, "shell")], [(here, "dart")]
+    out["lua",] = [(slashed, "lua"), (F.concat(slashed, F.lit("/init.lua")), "exact"), (spec, "exact")]
     return out
 
 
@@ -99,16 +101,21 @@ def resolved_imports(imports: DataFrame, files: DataFrame, go_module: str | None
     own = imports.withColumn("_lang", lang).where(~is_external(spec, F.col("_lang")))
     keys = ["source", "import_ord", "dynamic"]
     base = own.withColumnRenamed("ord", "import_ord")
-    rules = candidates_by_language(spec, folder)
-    options = F.lit(None).cast("array<string>")
-    for languages, paths in rules.items():
-        if languages[0] in ("javascript", *STYLES) and aliases:
-            ext = EXTENSIONS["typescript" if languages[0] == "javascript" else "css"]
+    options = F.lit(None).cast("array<struct<base:string,family:string>>")
+    for languages, bases in bases_by_language(spec, folder).items():
+        if languages[0] in ("javascript", STYLES[0]):
+            family = "script" if languages[0] == "javascript" else "style"
             for prefix, wild, _, target in aliases:
                 hit = F.when(spec.startswith(prefix) if wild else spec == prefix, normal_path(F.concat(F.lit(target + ("/" if wild else "")), F.substring(spec, F.lit(len(prefix) + 1), F.length(spec)))))
-                paths = [*paths, *probes(hit, ext)]
-        options = F.when(F.col("_lang").isin(*languages), F.array(*paths)).otherwise(options)
-    listed = base.withColumn("_p", options).select(F.col("path").alias("source"), "import_ord", "dynamic", F.posexplode("_p").alias("ord", "path")).where("path IS NOT NULL")
+                bases = [*bases, (hit, family)]
+        options = F.when(F.col("_lang").isin(*languages), F.array(*(F.struct(x.alias("base"), F.lit(f).alias("family")) for x, f in bases))).otherwise(options)
+    # bases are exploded before they are probed, so that no path is worked out again for each of its probes
+    based = base.withColumn("_b", options).select(F.col("path").alias("source"), "import_ord", "dynamic", F.posexplode("_b").alias("i", "b")).select("source", "import_ord", "dynamic", "i", "b.base", "b.family").where("base IS NOT NULL")
+    probed = F.array(F.col("base"))
+    for family, extensions in FAMILIES.items():
+        if extensions:
+            probed = F.when(F.col("family") == family, F.array(*probes(F.col("base"), extensions))).otherwise(probed)
+    listed = based.select(*keys, "i", F.posexplode(probed).alias("j", "path")).where("path IS NOT NULL").withColumn("ord", F.col("i") * 1000 + F.col("j"))
     found = first_hits(listed, files, keys)
     lookups = []
     if go_module and go_packages is not None:

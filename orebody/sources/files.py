@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,14 +13,66 @@ from orebody.sources.ignore import is_ignored, rules
 MAX_INDEXED, MAX_GRAPHED = 5_000_000, 1_000_000
 
 
-def listing(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
-    """relative_path, length, modified and raw bytes of all files below root; a size limit is pushed into the scan."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def opened(root: str):
+    """The file system of a path or URI, and the path in it."""
+    from pyarrow import fs
+
+    if "://" in root:
+        return fs.FileSystem.from_uri(root)
+    import os
+
+    return fs.LocalFileSystem(), os.path.abspath(root)
+
+
+def listing(spark: SparkSession, root: str, max_bytes: int | None = None, prune: tuple[str, ...] = ()) -> DataFrame:
+    """relative_path, length, modified and raw bytes of all files below root of at most max_bytes.
+
+    Spark's own file source leaves out names that begin with `_` or `.` and files of no bytes, which source trees have. So the
+    driver lists the top folder only, tasks walk its folders (those named in prune are not entered), and the files found
+    are dealt out anew and read in tasks.
+    """
+    import pyarrow as pa
+    from pyarrow.fs import FileSelector, FileType
+
+    files, base = opened(root)
+    base = base.rstrip("/")
+    names = ["relative_path", "length", "modified"]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, top = opened(root)
+        top = top.rstrip("/")
+        todo = [(p, d) for b in batches for p, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        folders = [p for p, is_folder in todo if is_folder]
+        found = where.get_file_info([p for p, is_folder in todo if not is_folder])
+        while True:
+            rows = [(f.path[len(top) + 1 :], f.size, f.mtime) for f in found if f.type == FileType.File]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.timestamp("us", "UTC"))], names)
+            if not folders:
+                return
+            found = where.get_file_info(FileSelector(folders.pop()))
+            folders += [f.path for f in found if f.type == FileType.Directory and f.base_name not in prune]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, top = opened(root)
+        for b in batches:
+            for i, path in enumerate(b.column(0).to_pylist()):
+                with where.open_input_stream(f"{top.rstrip('/')}/{path}") as stream:
+                    yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in b.columns), pa.array([stream.read()], pa.binary())], [*names, "content"])
+
+    top = [(f.path, f.type == FileType.Directory) for f in files.get_file_info(FileSelector(base)) if f.base_name not in prune]
+    width = spark.sparkContext.defaultParallelism
+    found = spark.createDataFrame(top, "path string, folder boolean").repartition(max(1, min(len(top), 4 * width)), "path").mapInArrow(walk, "relative_path string, length long, modified timestamp")
     if max_bytes is not None:
         found = found.where(F.col("length") <= max_bytes)
-    base = root.split("://")[-1].rstrip("/")
-    path = F.regexp_replace("path", "^[a-z0-9+.-]+:(?://[^/]*)?", "")
-    return found.select(F.substring(path, F.lit(len("/" + base.lstrip("/")) + 2), F.length(path)).alias("relative_path"), "length", F.col("modificationTime").alias("modified"), "content")
+    return found.repartition("relative_path").mapInArrow(read, "relative_path string, length long, modified timestamp, content binary")
+
+
+def prunable(patterns: list[str]) -> tuple[str, ...]:
+    """Patterns that are plain folder names; such folders need not be entered, unless a rule takes something back."""
+    if any(p.startswith("!") for p in patterns):
+        return ()
+    return tuple(p for p in patterns if not set(p) & set("*?[/\\#"))
 
 
 def has_dot_part(path):
@@ -27,8 +81,9 @@ def has_dot_part(path):
 
 def indexable_files(spark: SparkSession, root: str, extra: list[str] = (), patterns: list[str] | None = None, dot_files: bool = False, max_bytes: int = MAX_INDEXED) -> DataFrame:
     """Files to index: relative_path, length, content (text), content_hash, language."""
-    rows = listing(spark, root, max_bytes)
-    keep = is_indexable(F.col("relative_path"), extra) & ~is_ignored(F.col("relative_path"), rules() if patterns is None else patterns)
+    patterns = rules() if patterns is None else patterns
+    rows = listing(spark, root, max_bytes, prunable(patterns))
+    keep = is_indexable(F.col("relative_path"), extra) & ~is_ignored(F.col("relative_path"), patterns)
     if not dot_files:
         keep &= ~has_dot_part(F.col("relative_path"))
     return described(rows.where(keep))
@@ -36,8 +91,9 @@ def indexable_files(spark: SparkSession, root: str, extra: list[str] = (), patte
 
 def graphable_files(spark: SparkSession, root: str, extra: list[str] = (), patterns: list[str] | None = None, max_bytes: int = MAX_GRAPHED) -> DataFrame:
     """Files of the graph; files whose name begins with a dot are included."""
-    rows = listing(spark, root, max_bytes)
-    return described(rows.where(is_graphable(F.col("relative_path"), extra) & ~is_ignored(F.col("relative_path"), rules() if patterns is None else patterns)))
+    patterns = rules() if patterns is None else patterns
+    rows = listing(spark, root, max_bytes, prunable(patterns))
+    return described(rows.where(is_graphable(F.col("relative_path"), extra) & ~is_ignored(F.col("relative_path"), patterns)))
 
 
 def described(rows: DataFrame) -> DataFrame:
