@@ -4,10 +4,11 @@ A document's set is its distinct shingles of five words; its sketch the `k` smal
 equal sets form a class, and only classes go on. Two sets of Jaccard similarity 0.75 share so many retained values
 (`need`; at k = 48, 20 of them but for one pair in some millions; with sets of up to k shingles, always) that they share
 one of the rarest size - need + 1 of each. So only those are kept in the inverted lists, which leaves out values that a
-common passage gives to many documents. A list of up to `short` classes gives its pairs; in a longer one all are
-held against one pivot, and what is then not yet connected with the list's largest component against all other
-components' members. Pairs pass if the sketch of their union has enough values of both; those are confirmed on full
-sets, first the few that are likely to connect everything, then all that still join different components.
+common passage gives to many documents. Each list's classes are first held against its pivot, the class that shares most
+values; once components are known, those outside a list's largest component are held against the members of all
+others. Pairs of one component need no test, so a group of copies costs its size, not its square. Pairs pass if the
+sketch of their union has enough values of both; those are confirmed on full sets, first the few that are likely to
+connect everything, then all that still join different components.
 
 One row comes for each input row. Null and empty texts have no shingles and are linked with nothing. Rows that repeat an
 id and text share their class; component_id is the smallest id of all classes connected (null ids count only if there is
@@ -112,7 +113,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
     return full.mapInArrow(check, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, short: int = 64, max_broadcast_rows: int = 2_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, max_broadcast_rows: int = 2_000_000) -> DataFrame:
     """One row for each row of docs: its id, key (xxhash64 of id and text), n_shingles, node (its class), component (a
     number of its component; that of rows without shingles is null) and component_id."""
     members = saved(sketches(docs, id_col, text_col, width, K), "near-members")
@@ -122,19 +123,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     values = live.select("node", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
     frequent = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = values.join(frequent, "value")
-    ranked = shared.groupBy("node", "n", "size").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"))
+    ranked = shared.groupBy("node", "n", "size").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"), F.sum("df").alias("central"))
     # values that only this class retains come first and take places of the prefix
     places = F.col("size") - needed(F.col("size")) + 1 - (F.col("size") - F.size("v"))
-    lists = saved(ranked.where(places > 0).select("node", "n", F.explode(F.slice("v", F.lit(1), places)).alias("v")).select("node", "n", "v.value", "v.df"), "near-lists")
+    lists = saved(ranked.where(places > 0).select("node", "n", "central", F.explode(F.slice("v", F.lit(1), places)).alias("v")).select("node", "n", "central", "v.value"), "near-lists")
 
-    length = lists.groupBy("value").agg(F.count(F.lit(1)).alias("length"), F.min("node").alias("pivot")).where("length > 1")
-    listed = lists.join(length, "value")
-    cold, hot = listed.where(F.col("length") <= short), listed.where(F.col("length") > short)
-    x = cold.select("value", F.col("node").alias("a"), F.col("n").alias("na"))
-    y = cold.select("value", F.col("node").alias("b"), F.col("n").alias("nb"))
-    pairs = x.join(y, "value").where((F.col("a") < F.col("b")) & similar_sizes(F.col("na"), F.col("nb"), percent)).select("a", "b")
-    stars = hot.where(F.col("node") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    candidates = saved(estimated(pairs.unionByName(stars).distinct(), live, percent), "near-pairs")
+    # each list's pivot is the class that shares most of its values: the text that the others are copies of
+    pivots = lists.groupBy("value").agg(F.count(F.lit(1)).alias("length"), F.max(F.struct("central", "node", "n")).alias("p")).where("length > 1")
+    stars = lists.join(pivots, "value").where((F.col("node") != F.col("p.node")) & similar_sizes(F.col("n"), F.col("p.n"), percent)).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+    candidates = saved(estimated(stars, live, percent), "near-pairs")
 
     # first each class's likeliest partner and its smallest likely one
     ends = candidates.select(F.col("a").alias("x"), "a", "b", "est").unionByName(candidates.select(F.col("b").alias("x"), "a", "b", "est"))
@@ -149,7 +146,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at = lambda s: label.select(F.col("node").alias(s), F.col("label").alias(f"l{s}"))
     across = lambda p: p.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
     left = across(candidates).join(first, ["a", "b"], "left_anti")
-    labelled = hot.select("value", "node", "n").join(at("node").withColumnRenamed("lnode", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = lists.select("value", "node", "n").join(pivots.select("value"), "value", "left_semi").join(at("node").withColumnRenamed("lnode", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     main = labelled.groupBy("value", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("value").agg(F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("value", F.col("m.label").alias("main"))
     apart = labelled.join(main, "value")
     minor = apart.where("label <> main").select("value", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
