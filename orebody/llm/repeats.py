@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orebody.llm.common import saved, whole_text
+from orebody.llm.common import free_memory, saved, whole_text
 from orebody.llm.hashing import mixed, of_ranges, prefix_sums, windows
 
 STEP = 1 << 21
@@ -73,6 +73,7 @@ def repeated_anchors(table: DataFrame, max_group: int) -> DataFrame:
     them by id, key and place; mixed: whether the hash has other contexts; big: whether it has more than max_group."""
     repeated = table.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
     rows = saved(table.join(repeated, "fp"), "repeated")
+    free_memory(table.sparkSession)
     here = F.struct("id", "key", "lo")
     context = rows.groupBy("fp", "ctx").agg(F.count(F.lit(1)).alias("m"), F.min(here).alias("least"))
     kinds = context.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds"))
@@ -80,10 +81,9 @@ def repeated_anchors(table: DataFrame, max_group: int) -> DataFrame:
     return rows.join(known, ["fp", "ctx"]).select("id", "key", "fp", "lo", "hi", "m", here.eqNullSafe(F.col("least")).alias("first"), (F.col("kinds") > 1).alias("mixed"), (F.col("kinds") > max_group).alias("big"))
 
 
-def with_texts(rows: DataFrame, by_doc: DataFrame, count: int, max_broadcast_rows: int, how: str = "inner") -> DataFrame:
-    """rows joined with one row a document; broadcast if those hold at most max_broadcast_rows items together."""
+def with_texts(rows: DataFrame, by_doc: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with one row a document."""
     right = by_doc.select(F.col("id").alias("_id"), F.col("key").alias("_key"), "items")
-    right = F.broadcast(right) if count <= max_broadcast_rows else right
     return rows.join(right, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id")), how).select("id", "text", "key", "items")
 
 
@@ -94,7 +94,8 @@ def contexts(rows: DataFrame, chosen: DataFrame, tokens: Callable[[str], np.ndar
 
     kind = rows.schema["id"].dataType.simpleString()
     items = chosen.groupBy("id", "key").agg(F.collect_list(F.struct("lo", "hi", "fp", "big")).alias("items"))
-    joined = with_texts(rows, items, chosen.count(), max_broadcast_rows)
+    # broadcast up to a checked number of anchors, a shuffled join beyond
+    joined = with_texts(rows, F.broadcast(items) if chosen.count() <= max_broadcast_rows else items)
 
     def run(big: bool):
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orebody.llm.common import documents, saved
+from orebody.llm.common import documents, free_memory, saved
 from orebody.llm.hashing import word_hashes
 from orebody.llm.repeats import anchor_table, contexts, grouped, groups_in_order, keyed, merged, repeated_anchors, runs_of, with_texts
 
@@ -119,6 +119,7 @@ def matches(routed: DataFrame, window: int) -> DataFrame:
 
 def earlier_spans(rows: DataFrame, window: int, k: int, max_group: int, max_broadcast_rows: int) -> DataFrame:
     found = saved(repeated_anchors(saved(anchor_table(rows, word_hashes, window, k), "anchors"), max_group), "anchors")
+    free_memory(rows.sparkSession)
     copies = found.where("NOT first").select("id", "key", F.col("lo").alias("s"), (F.col("hi") + window).alias("e"))
     routed, single = contexts(rows, found.where("first AND mixed"), word_hashes, window, max_broadcast_rows)
     parts = copies.unionByName(matches(routed, window))
@@ -136,7 +137,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     rows = keyed(docs, id_col, text_col)
     spans = earlier_spans(rows, window, k, max_group, max_broadcast_rows)
-    joined = with_texts(rows, grouped(spans), spans.count(), max_broadcast_rows, "left")
+    free_memory(docs.sparkSession)  # the shuffle files behind the spans
+    joined = with_texts(rows, grouped(spans), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orebody.llm.common import documents, saved
+from orebody.llm.common import documents, free_memory, saved
 from orebody.llm.hashing import VALUES
 from orebody.llm.repeats import anchor_table, contexts, grouped, groups_in_order, keyed, merged, of_windows, repeated_anchors, runs_of, with_texts
 
@@ -106,6 +106,7 @@ def bytes_of(text: str) -> np.ndarray:
 
 def repeated_spans(rows: DataFrame, window: int, k: int, max_group: int, max_broadcast_rows: int) -> DataFrame:
     found = saved(repeated_anchors(saved(anchor_table(rows, byte_tokens, window, k), "anchors"), max_group), "anchors")
+    free_memory(rows.sparkSession)
     whole = found.where("m > 1").select("id", "key", F.col("lo").alias("s"), (F.col("hi") + window).alias("e"))
     routed, single = contexts(rows, found.where("first AND mixed"), bytes_of, window, max_broadcast_rows)
     parts = whole.unionByName(matches(routed, window))
@@ -122,7 +123,8 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     rows = keyed(docs, id_col, text_col)
     spans = repeated_spans(rows, window, k, max_group, max_broadcast_rows)
-    joined = with_texts(rows, grouped(spans), spans.count(), max_broadcast_rows, "left")
+    free_memory(docs.sparkSession)  # the shuffle files behind the spans
+    joined = with_texts(rows, grouped(spans), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
