@@ -161,3 +161,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir)).drop("kept")
+
+
+SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM w WHERE len(w) >= 20)),
+r AS (SELECT doc_id, i FROM g QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
+c AS (SELECT DISTINCT doc_id, i + k AS p FROM r, range(20) t(k)),
+x AS (SELECT doc_id, list(p) AS ps FROM c GROUP BY doc_id),
+k AS (SELECT w.doc_id, w.w, coalesce(x.ps, []) AS ps FROM w LEFT JOIN x USING (doc_id)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM w) e WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = e.doc_id AND c.p = e.p) GROUP BY doc_id)
+SELECT k.doc_id, CAST(len(k.w) AS BIGINT) AS n_words, CAST(len(k.ps) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256 FROM k LEFT JOIN kept USING (doc_id)
+"""
