@@ -119,3 +119,23 @@ def quality(docs: DataFrame, text_col: str = "text", min_words: int = 20, max_re
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged, out = quality(documents(spark, sf_dir).select("doc_id", "text"))
     return judged.select("doc_id", *(F.col(out)[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars")))
+
+
+SQL = (
+    r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, range(8) t(k) GROUP BY doc_id),
+b AS (SELECT doc_id, t, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(n, 0) AS n_repeat_words FROM d LEFT JOIN c USING (doc_id)),
+l AS (SELECT doc_id, n_symbols >= 3 OR regexp_matches(t, '[»›•]') AS listed, unnest(string_split(t, chr(10))) AS x FROM b),
+f AS (SELECT doc_id, x, length(array_to_string(regexp_extract_all(x, '[^\x20\x09-\x0D]+'), '')) AS chars, len(regexp_split_to_array(x, '[\x20\x09-\x0D]+')) AS n, len(regexp_extract_all(x, '[|»›•]')) AS bars, len(regexp_extract_all(x, '[#*$%&|<>]')) AS marks, listed FROM l WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+v AS (SELECT doc_id, x, chars, listed AND (bars >= 3 AND 3 * bars >= n OR marks >= 6 AND 6 * marks > length(x)) OR upper(x) = x AND lower(x) <> x AND n >= 4
+  OR NOT regexp_matches(x, '[.,;:?!…。]') AND n >= 60 OR regexp_matches(lower(x), '"""
+    + "|".join(BOILERPLATE)
+    + r"""') AS bad FROM f),
+q AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n_dup_lines, coalesce(sum(chars) FILTER (WHERE bad), 0) AS lost FROM v GROUP BY doc_id)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND coalesce(lost, 0) <= 0.5 * word_chars AS kept, CAST(coalesce(lost, 0) AS BIGINT) AS lost_chars FROM b LEFT JOIN q USING (doc_id)
+"""
+)
