@@ -39,7 +39,7 @@ class Engine:
         with_retries(lambda: self.table(name).replace(tagged))
 
     def has(self, name: str) -> bool:
-        return self.table(name).exists() and not self.rows(name).isEmpty()
+        return self.table(name).exists(self.project)
 
     def index(self, root: str, **scan) -> dict[str, int]:
         """Chunks, vectors and file state of the tree; only new and changed files are chunked and embedded again."""

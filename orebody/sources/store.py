@@ -26,8 +26,9 @@ class Table:
     def __init__(self, spark: SparkSession, path: str, partition: str = "project_id"):
         self.spark, self.path, self.partition = spark, path.rstrip("/"), partition
 
-    def exists(self) -> bool:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+    def exists(self, project: str | None = None) -> bool:
+        """Whether there is a table, or one of its partitions."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path if project is None else f"{self.path}/{self.partition}={project}")
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
     def read(self) -> DataFrame:
