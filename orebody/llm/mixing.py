@@ -1,9 +1,11 @@
 """Operator 6: mixing to target weights under soft membership.
 
 A classifier learned from the labelled table gives every document posteriors over domains (`high`, `low`, `toxic`): a
-Bernoulli naive Bayes over the `vocabulary` most telling words and four shape marks, learned from at most `sample`
-labelled documents of each domain (those with the smallest hash of their id), with priors counted over all labels.
-Posteriors are kept to three decimals.
+naive Bayes over at most `vocabulary` telling words and four shape marks, learned from at most `sample` labelled documents
+of each domain (those with the smallest hash of their id), with priors counted over all labels. A word tells if its share
+of a domain's rows is a multiple of its share of the others', so the number of labels does not change what is asked of it.
+Only present words vote, and having none of them all votes as one mark: the function words of one language cannot speak
+against texts of another. Posteriors are kept to three decimals.
 
 Rates r >= 0 (at most max_rate) minimise the sum over domains of (S_d - T_d)^2 / available_d, where S_d is the sum of
 r x tokens x posterior and T_d the target. Projected gradient steps do it: a step lowers each rate by the posteriors
@@ -30,6 +32,8 @@ from orebody.llm.quality_rules import BLANK, SYMBOLS, count_of, let
 
 DOMAINS = ("high", "low", "toxic")
 TARGET = {"high": 0.96, "low": 0.03, "toxic": 0.01}
+#: Standard errors taken off a word's lift, and the least share of its domain's rows that hold the word.
+SURE, SUPPORT = 3.0, 0.01
 
 
 def features(text: Column) -> Column:
@@ -53,40 +57,46 @@ def domain(labels: DataFrame) -> DataFrame:
     return one.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "high").alias("domain")).where("domain IS NOT NULL")
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int, vocabulary: int, least_chi: float) -> tuple[list[float], dict[str, list[float]]]:
-    """Scores: of each domain with no word present, and what each word adds when present."""
+def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int, vocabulary: int, least_lift: float) -> tuple[list[float], list[float], dict[str, list[float]]]:
+    """Scores of each domain: its prior, what having no word of the vocabulary adds, and what each word adds when present."""
     known = domain(labels)
     priors = {r.domain: r.n for r in known.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     rank = F.row_number().over(Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = known.withColumn("rank", rank).where(F.col("rank") <= sample).select("doc_id", "domain")
     texts = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("t")).join(F.broadcast(chosen), "doc_id")
-    present = texts.select("domain", F.explode(F.array_distinct(features(F.col("t")).words)).alias("word")).where("word <> ''")
-    n = {r.domain: r.n for r in texts.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
-    counts = present.groupBy("word").agg(*(F.count(F.when(F.col("domain") == d, 1)).alias(d) for d in DOMAINS))
-    # chi-square of presence against domain: chance words of small samples stay out
-    all_n = sum(n.values()) or 1
-    mean = (sum((F.col(d) for d in DOMAINS), F.lit(0)) + 0.5) / (all_n + 1.0)
-    chi = sum(((F.col(d) / float(n.get(d) or 1) - mean) * (F.col(d) / float(n.get(d) or 1) - mean) * float(n.get(d, 0)) for d in DOMAINS), F.lit(0.0)) / (mean * (1 - mean))
-    best = counts.withColumn("chi", chi).where(F.col("chi") >= least_chi).orderBy(F.desc("chi"), "word").limit(vocabulary).collect()
+    seen = saved(texts.select("domain", F.array_distinct(features(F.col("t")).words).alias("words")), "mixing-labelled")
+    n = {r.domain: r.n for r in seen.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
+    by_domain = lambda rows: [F.count(F.when((F.col("domain") == d) & rows, 1)).alias(d) for d in DOMAINS]
+    counts = seen.select("domain", F.explode("words").alias("word")).where("word <> ''").groupBy("word").agg(*by_domain(F.lit(True)))
+
+    def lift(d: str) -> Column:
+        # log ratio of the shares in d and in the rest, less SURE standard errors: more rows only make it more certain
+        inside, outside = float(n.get(d, 0) + 1), float(sum(n.values()) - n.get(d, 0) + 1)
+        a, c = F.col(d) + 0.5, sum((F.col(x) for x in DOMAINS if x != d), F.lit(0)) + 0.5
+        return F.log(a / inside * outside / c) - SURE * F.sqrt(F.greatest(F.lit(0.0), 1 / a - 1 / inside) + F.greatest(F.lit(0.0), 1 / c - 1 / outside))
+
+    share = lambda r: [(r[d] + 0.5) / (n.get(d, 0) + 1.0) for d in DOMAINS]
+    lifts = F.array(*(F.struct(lift(d).alias("lift"), (F.col(d) / float(n.get(d) or 1)).alias("support")) for d in DOMAINS))
+    best = counts.withColumn("vote", F.array_max(lifts)).where((F.col("vote.lift") >= least_lift) & (F.col("vote.support") >= SUPPORT)).orderBy(F.desc(F.col("vote.lift") * F.col("vote.support")), "word").limit(vocabulary).collect()
+    adds = {r.word: [math.log(s) for s in share(r)] for r in best}
     base = [math.log((priors.get(d, 0) + 1) / (sum(priors.values()) + len(DOMAINS))) for d in DOMAINS]
-    adds = {}
-    for r in best:
-        share = [(r[d] + 0.5) / (n.get(d, 0) + 1.0) for d in DOMAINS]
-        base = [b + math.log(1 - s) for b, s in zip(base, share)]
-        adds[r.word] = [math.log(s / (1 - s)) for s in share]
-    return base, adds
+    if not adds:
+        return base, [0.0] * len(DOMAINS), adds
+    plain = seen.agg(*by_domain(~F.arrays_overlap("words", F.array(*(F.lit(w) for w in adds))))).first()
+    return base, [math.log(s) for s in share(plain)], adds
 
 
 def array_of(values) -> Column:
     return F.array(*(F.lit(float(v)) for v in values))
 
 
-def posteriors(words: Column, base: list[float], adds: dict[str, list[float]]) -> Column:
+def posteriors(words: Column, base: list[float], plain: list[float], adds: dict[str, list[float]]) -> Column:
     """Array of posteriors in the order of DOMAINS, to three decimals."""
     if adds:
         vocabulary = F.array(*(F.lit(w) for w in adds))
         table = F.map_from_arrays(vocabulary, F.array(*(array_of(v) for v in adds.values())))
-        score = F.aggregate(F.array_intersect(words, vocabulary), array_of(base), lambda a, w: F.zip_with(a, F.element_at(table, w), lambda x, y: x + y))
+        start = lambda found: F.when(F.size(found) == 0, array_of(b + p for b, p in zip(base, plain))).otherwise(array_of(base))
+        score = let(F.array_intersect(words, vocabulary), lambda found: F.aggregate(found, start(found), lambda a, w: F.zip_with(a, F.element_at(table, w), lambda x, y: x + y)))
     else:
         score = array_of(base)
     top = let(score, lambda s: let(F.transform(s, lambda x: F.exp(x - F.array_max(s))), lambda e: F.transform(e, lambda x: F.round(x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y), 3))))
@@ -118,11 +128,11 @@ def fit(groups: DataFrame, target: dict[str, float], anchor: str, max_rate: floa
     return history
 
 
-def mix(docs: DataFrame, labels: DataFrame, target: dict[str, float] = TARGET, anchor: str = "high", max_rate: float = 1.0, id_col: str = "doc_id", text_col: str = "text", sample: int = 1500, vocabulary: int = 200, least_chi: float = 25.0, steps: int = 30, tolerance: float = 1e-3) -> tuple[DataFrame, str]:
+def mix(docs: DataFrame, labels: DataFrame, target: dict[str, float] = TARGET, anchor: str = "high", max_rate: float = 1.0, id_col: str = "doc_id", text_col: str = "text", sample: int = 1500, vocabulary: int = 200, least_lift: float = math.log(4), steps: int = 30, tolerance: float = 1e-3) -> tuple[DataFrame, str]:
     """docs with one struct column more, and its name: n_tokens, p (array in the order of DOMAINS), rate, copies."""
     out = fresh(docs, "mix")
-    base, adds = learn(docs, labels, id_col, text_col, sample, vocabulary, least_chi)
-    seen = docs.withColumn("_ob_f", features(whole_text(text_col))).withColumn("_ob_p", posteriors(F.col("_ob_f.words"), base, adds))
+    base, plain, adds = learn(docs, labels, id_col, text_col, sample, vocabulary, least_lift)
+    seen = docs.withColumn("_ob_f", features(whole_text(text_col))).withColumn("_ob_p", posteriors(F.col("_ob_f.words"), base, plain, adds))
     groups = saved(seen.groupBy(F.col("_ob_p").alias("p")).agg(F.sum("_ob_f.n").cast("double").alias("tokens")), "mixing").coalesce(8)
     history = fit(groups, target, anchor, max_rate, steps, tolerance)
     rate = rate_after(F.col("_ob_p"), history, max_rate)

@@ -371,3 +371,14 @@ def test_pipeline(spark, sf):
     pieces = c.packing(spark, mixed, sf).collect()
     assert {r.doc_id for r in pieces} == {r.doc_id for r in mixed.collect()}
     assert sum(r.length for r in pieces) == sum({r.doc_id: r.doc_tokens for r in pieces}.values())
+
+
+def test_mixing_keeps_clean_texts_of_every_language(spark):
+    from orebody.llm.mixing import mix
+
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    out, name = mix(spark.read.parquet(f"{sf}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi").repartition(8), labels)
+    clean = out.join(labels.where("quality = 1 AND toxic = 0"), "doc_id", "left_semi")
+    rates = clean.groupBy("lang").agg(F.avg(f"{name}.rate").alias("rate")).collect()
+    assert {r.lang for r in rates} == {"de", "en", "es", "fr"} and all(r.rate > 0.95 for r in rates), rates
