@@ -6,9 +6,9 @@ host after a scheme). They are reported only where complementary parts co-occur:
 with an identifier, an endpoint with both. Base findings count as parts too (access: identifier; assign, hex: secret).
 
 Parts are linked by an interval join inside a scope: a scope is a run of lines without a blank one, and two parts meet
-if they start at most `reach` characters apart. The join is a range frame over the parts of a scope in order of their
-start, so no pairs are made and a frame holds no more than the parts of 2 x reach characters. Texts do not shuffle:
-each row's findings do, by a row number.
+if at most `reach` characters lie between the end of one and the start of the other. The join is a running maximum: of the
+parts that start up to `reach` characters after a part's end, the furthest end tells whether one of them meets it. So no
+pairs are made. Texts do not shuffle: each row's findings do, by a row number.
 
 Positions count code points, ends exclusive. Null texts are empty and give zero counts and empty strings. Each input row
 gives one row, repeated rows and ids included.
@@ -30,7 +30,7 @@ ACCESS, HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
 #: Weak candidates: kind, pattern, part.
 WEAK = (
     ("user", r"""(?i:user(?:name)?|login|account|client_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""", "identifier"),
-    ("key", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,200}[0-9])(?=[A-Za-z0-9+/_-]{0,200}[A-Z])(?=[A-Za-z0-9+/_-]{0,200}[a-z])[A-Za-z0-9+/_-]{20,200}", "secret"),
+    ("key", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}", "secret"),
     ("endpoint", r"\b(?:https?|jdbc:\w+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9.-]+", "endpoint"),
 )
 BASE = ("assign", "access", "hex")
@@ -73,10 +73,13 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parted = rows.select("id", "row", "base", F.explode_outer(events).alias("e")).select("id", "row", "base", "e.start", "e.end", "e.ord")
 
     scope = F.sum(F.when(F.col("ord") == -1, 1).otherwise(0)).over(Window.partitionBy("row").orderBy("start", "ord").rowsBetween(Window.unboundedPreceding, 0))
-    near = Window.partitionBy("row", "scope").orderBy("start").rangeBetween(-reach, reach)
-    meets = {p: F.max(F.when(F.col("ord").isin(*(ORDER[k] for k in kinds)), True)).over(near) for p, kinds in parts.items()}
     inside = F.max(F.when(F.col("ord").isin(*(ORDER[k] for k in BASE)), F.col("end"))).over(Window.partitionBy("row", "scope").orderBy("start", "ord").rowsBetween(Window.unboundedPreceding, 0))
-    judged = parted.withColumn("scope", scope).withColumns({f"_{p}": F.coalesce(c, F.lit(False)) for p, c in meets.items()} | {"_inside": F.coalesce(inside, F.lit(0))})
+    placed = parted.withColumn("scope", scope).withColumn("_inside", F.coalesce(inside, F.lit(0)))
+    # each part stands at its start, and once more, to be judged, `reach` characters after its end
+    twice = placed.withColumn("judge", F.explode(F.when(F.col("start").isNull(), F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    so_far = Window.partitionBy("row", "scope").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    meets = {p: F.max(F.when(~F.col("judge") & F.col("ord").isin(*(ORDER[k] for k in kinds)), F.col("end"))).over(so_far) >= F.col("start") - reach for p, kinds in parts.items()}
+    judged = twice.withColumn("at", F.when(F.col("judge"), F.col("end") + reach).otherwise(F.col("start"))).withColumns({f"_{p}": F.coalesce(c, F.lit(False)) for p, c in meets.items()}).where("judge")
     kinds_of = {p: [ORDER[k] for k, _, q in WEAK if q == p] for p in parts}
     reported = (F.col("ord").isin(*kinds_of["identifier"]) & F.col("_secret")) | (F.col("ord").isin(*kinds_of["secret"]) & F.col("_identifier")) | (F.col("ord").isin(*kinds_of["endpoint"]) & F.col("_identifier") & F.col("_secret"))
     span = F.when(reported & (F.col("_inside") <= F.col("start")), F.struct("start", "end", "ord"))

@@ -382,3 +382,12 @@ def test_mixing_keeps_clean_texts_of_every_language(spark):
     clean = out.join(labels.where("quality = 1 AND toxic = 0"), "doc_id", "left_semi")
     rates = clean.groupBy("lang").agg(F.avg(f"{name}.rate").alias("rate")).collect()
     assert {r.lang for r in rates} == {"de", "en", "es", "fr"} and all(r.rate > 0.95 for r in rates), rates
+
+
+def test_secret_scan_takes_long_parts_whole(spark):
+    from orebody.llm.secret_scan import joined, scan_secrets
+
+    late, long = "x" * 250 + "B7" + "y" * 58, "aB3" * 120
+    texts = [f"login: bobby\n{long}", f"login: bobby\n{late}", f"{'0123456789abcdef' * 20}\nlogin: bobby", f"login: bobby {'. ' * 99} {long}", f"login: bobby {'. ' * 100} {long}"]
+    got = scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", joined(F.col("linked")).alias("l")).collect()
+    assert {r.doc_id: r.l for r in got} == {0: "user:0:12,key:13:373", 1: "user:0:12,key:13:323", 2: "user:321:333", 3: "user:0:12,key:212:572", 4: ""}
