@@ -148,11 +148,14 @@ class Graph:
         return graph.file_dependencies(self.edges(), file.replace("\\", "/"))
 
     def stats(self) -> DataFrame:
-        return graph.graph_stats(self.nodes(), self.edges())
+        return graph.graph_stats(self.nodes(), self.edges(), cyclic=True)
 
     def cycles(self, max_length: int = 6) -> DataFrame:
         return graph.cycles(self.edges(), max_length)
 
+    def cyclic_edges(self) -> DataFrame:
+        return graph.cyclic_edges(self.edges())
+
     def mermaid(self) -> str:
         return graph.mermaid(self.edges())
 

@@ -38,13 +38,14 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(ends(edges).distinct(), "node", "left_anti")
 
 
-def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: files, edges, edges_per_file (0 if there are no files), orphans."""
+def graph_stats(nodes: DataFrame, edges: DataFrame, cyclic: bool = False) -> DataFrame:
+    """One row: files, edges, edges_per_file (0 if there are no files), orphans; if asked, the distinct edges on cycles."""
     n = nodes.agg(F.count(F.lit(1)).alias("files"))
     e = edges.agg(F.count(F.lit(1)).alias("edges"))
     o = orphans(nodes, edges).agg(F.count(F.lit(1)).alias("orphans"))
     per = F.when(F.col("files") == 0, F.lit(0.0)).otherwise(F.round(F.col("edges") / F.col("files"), 6))
-    return n.join(F.broadcast(e)).join(F.broadcast(o)).select("files", "edges", per.alias("edges_per_file"), "orphans")
+    out = n.join(F.broadcast(e)).join(F.broadcast(o)).select("files", "edges", per.alias("edges_per_file"), "orphans")
+    return out.join(F.broadcast(cyclic_edges(edges).agg(F.count(F.lit(1)).alias("cyclic_edges")))) if cyclic else out
 
 
 def file_dependencies(edges: DataFrame, node) -> DataFrame:
@@ -110,14 +111,49 @@ def cycles(edges: DataFrame, max_length: int = 6) -> DataFrame:
     return found.select("nodes", F.size("nodes").alias("length"))
 
 
-def cyclic_edges(edges: DataFrame, max_length: int = 6) -> DataFrame:
-    """Distinct edges on a simple cycle of up to max_length edges."""
+def coloured(edges: DataFrame) -> DataFrame:
+    """node and colour: the largest node that reaches it."""
+    now = ends(edges).distinct().withColumn("colour", F.col("node"))
+    while True:
+        sent = edges.join(now, F.col("source") == F.col("node")).select(F.col("target").alias("node"), "colour", F.lit(None).cast(now.schema["colour"].dataType).alias("was"))
+        then = cut(now.withColumn("was", F.col("colour")).unionAll(sent).groupBy("node").agg(F.max("colour").alias("colour"), F.max("was").alias("was")))
+        now = then.select("node", "colour")
+        if then.where("colour <> was").isEmpty():
+            return now
+
+
+def strong_edges(edges: DataFrame) -> DataFrame:
+    """Distinct edges with both ends in one strongly connected component: those on a cycle of any length.
+
+    Each round colours the nodes forward and takes, of each colour, the nodes that reach its own node: a whole component.
+    """
+    left = trimmed(edges)
+    found, left = left.where("source = target"), left.where("source <> target")
+    while not left.isEmpty():
+        colours = coloured(left)
+        inside = left.join(colours.select(F.col("node").alias("source"), "colour"), "source").join(colours.select(F.col("node").alias("target"), F.col("colour").alias("other")), "target").where("colour = other")
+        one = cut(inside.select("source", "target", "colour"))
+        frontier = marked = cut(colours.where("node = colour").select("node"))
+        while not frontier.isEmpty():
+            back = one.join(frontier.select(F.col("node").alias("target")), "target").select(F.col("source").alias("node")).distinct()
+            frontier = cut(back.join(marked, "node", "left_anti"))
+            marked = cut(marked.unionAll(frontier))
+        a, b = marked.select(F.col("node").alias("source")), marked.select(F.col("node").alias("target"))
+        found = cut(found.unionAll(one.join(a, "source", "left_semi").join(b, "target", "left_semi").select("source", "target")))
+        left = trimmed(one.join(a, "source", "left_anti").join(b, "target", "left_anti"))
+    return found
+
+
+def cyclic_edges(edges: DataFrame, max_length: int | None = None) -> DataFrame:
+    """Distinct edges on a cycle; with max_length only those on a simple cycle of up to so many edges."""
+    if max_length is None:
+        return strong_edges(edges)
     at = F.posexplode("nodes").alias("i", "source")
     steps = cycles(edges, max_length).select("nodes", "length", at)
     return steps.select("source", F.element_at("nodes", (F.col("i") + 1) % F.col("length") + 1).alias("target")).distinct()
 
 
-def mermaid_edges(edges: DataFrame, max_length: int = 6) -> DataFrame:
+def mermaid_edges(edges: DataFrame, max_length: int | None = None) -> DataFrame:
     """Distinct edges with node numbers (n0 on, in order of the node) and whether they lie on a cycle, as a diagram's lines."""
     plain = edges.select("source", "target").distinct()
     names = ends(plain).distinct()
