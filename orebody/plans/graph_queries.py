@@ -161,3 +161,34 @@ UNION SELECT arg_max(y.id, y.line), v.reason FROM v JOIN symbols y ON y.file = v
 UNION SELECT id, 'test' FROM symbols WHERE regexp_matches(name, '^test[_A-Z]|^Test[A-Z_]|^it$|^describe$')""")
 def entry_points(spark: SparkSession, sf: str) -> DataFrame:
     return sym.entry_points(symbols(spark, sf), calls(spark, sf), dependencies(spark, sf))
+
+
+# The operators over the whole edge table. They have no SQL; tests hold them against brute force.
+@query(None)
+def graph_stats_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.graph_stats(nodes(spark, sf), part_edges(spark, sf), cyclic=True)
+
+
+@query(None)
+def orphans_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.orphans(nodes(spark, sf), part_edges(spark, sf))
+
+
+@query(None)
+def impact_bfs_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.reach(part_edges(spark, sf), spark.range(1, 2).select(F.col("id").alias("node")), 3)
+
+
+@query(None)
+def neighbourhood_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.reach(part_edges(spark, sf), spark.range(1, 2).select(F.col("id").alias("node")), 2, "both")
+
+
+@query(None)
+def cyclic_edges_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.cyclic_edges(part_edges(spark, sf))
+
+
+@query(None)
+def mermaid_edges_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.mermaid_edges(part_edges(spark, sf))

@@ -9,3 +9,40 @@ def test_long_cycles_are_cyclic(spark):
     edges = spark.createDataFrame(ring + rest, "source long, target long")
     want = {*ring, (20, 21), (21, 22), (22, 20), (40, 40)}
     assert {(r.source, r.target) for r in graph.mermaid_edges(edges).where("cyclic").collect()} == want
+
+
+def test_queries_over_the_whole_edge_table(spark, sf):
+    from orebody import catalog
+    from orebody.plans.relations import part_edges, table
+
+    pairs = {(r.source, r.target) for r in part_edges(spark, sf).collect()}
+    q = {n: f for n, f in catalog.queries().items() if n.endswith("_whole")}
+    parts = {r.p_partkey for r in table(spark, sf, "part").collect()}
+    assert {r.node for r in q["orphans_whole"](spark, sf).collect()} == parts - {x for e in pairs for x in e}
+
+    def hops(steps, depth):
+        seen, out = {1}, set()
+        for hop in range(1, depth + 1):
+            new = {b for a, b in steps if a in seen} - seen
+            out |= {(n, hop) for n in new}
+            seen |= new
+        return out
+
+    back = {(b, a) for a, b in pairs}
+    assert {(r.node, r.hop) for r in q["impact_bfs_whole"](spark, sf).collect()} == hops(back, 3)
+    assert {(r.node, r.hop) for r in q["neighbourhood_whole"](spark, sf).collect()} == hops(pairs | back, 2)
+    after = {}
+    for a, b in pairs:
+        after.setdefault(a, set()).add(b)
+
+    def reached(a):
+        seen, todo = set(), [a]
+        while todo:
+            for b in after.get(todo.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        return seen
+
+    to = {a: reached(a) for a in after}
+    assert {(r.source, r.target) for r in q["cyclic_edges_whole"](spark, sf).collect()} == {(a, b) for a, b in pairs if a in to.get(b, ())}
