@@ -2,7 +2,7 @@
 
 A classifier learned from the labelled table gives every document posteriors over domains (`high`, `low`, `toxic`): a
 naive Bayes over at most `vocabulary` telling words and four shape marks, learned from at most `sample` labelled documents
-of each domain (those with the smallest hash of their id), with priors counted over all labels. A word tells if its share
+of each domain (those with the smallest hash of their id), with priors counted over all labels of rows present. A word tells if its share
 of a domain's rows is a multiple of its share of the others', so the number of labels does not change what is asked of it.
 Only present words vote, and having none of them all votes as one mark: the function words of one language cannot speak
 against texts of another. Posteriors are kept to three decimals.
@@ -59,7 +59,8 @@ def domain(labels: DataFrame) -> DataFrame:
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int, vocabulary: int, least_lift: float) -> tuple[list[float], list[float], dict[str, list[float]]]:
     """Scores of each domain: its prior, what having no word of the vocabulary adds, and what each word adds when present."""
-    known = domain(labels)
+    # only labelled rows that are here count: a stage before may have removed most of a domain
+    known = domain(labels).join(docs.select(F.col(id_col).alias("doc_id")), "doc_id", "left_semi")
     priors = {r.domain: r.n for r in known.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     rank = F.row_number().over(Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = known.withColumn("rank", rank).where(F.col("rank") <= sample).select("doc_id", "domain")

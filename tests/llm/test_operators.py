@@ -391,3 +391,12 @@ def test_secret_scan_takes_long_parts_whole(spark):
     texts = [f"login: bobby\n{long}", f"login: bobby\n{late}", f"{'0123456789abcdef' * 20}\nlogin: bobby", f"login: bobby {'. ' * 99} {long}", f"login: bobby {'. ' * 100} {long}"]
     got = scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", joined(F.col("linked")).alias("l")).collect()
     assert {r.doc_id: r.l for r in got} == {0: "user:0:12,key:13:373", 1: "user:0:12,key:13:323", 2: "user:321:333", 3: "user:0:12,key:212:572", 4: ""}
+
+
+def test_mixing_samples_the_rows_that_are_present(spark):
+    from orebody.llm.mixing import learn
+
+    labels = spark.range(4000).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS quality", "0 AS toxic")
+    docs = spark.range(3600, 4000).selectExpr("id AS doc_id", "IF(id % 2 = 0, 'junk word', 'fine word') AS text")
+    _, plain, adds = learn(docs, labels, "doc_id", "text", 200, 200, 0.5)
+    assert {"junk", "fine"} <= set(adds)
