@@ -7,7 +7,7 @@ of a domain's rows is a multiple of its share of the others', so the number of l
 Only present words vote, and having none of them all votes as one mark: the function words of one language cannot speak
 against texts of another. Posteriors are kept to three decimals.
 
-Rates r >= 0 (at most max_rate) minimise the sum over domains of (S_d - T_d)^2 / available_d, where S_d is the sum of
+Rates r >= 0 (and at most max_rate, if one is given) minimise the sum over domains of (S_d - T_d)^2 / available_d, where S_d is the sum of
 r x tokens x posterior and T_d the target. Projected gradient steps do it: a step lowers each rate by the posteriors
 times the domains' relative residuals and clips it, so a rate follows from the posteriors and the residuals of the steps
 before. Documents of equal posteriors are summed first; each step is one aggregation over those sums, and the driver
@@ -15,9 +15,11 @@ holds one number a domain and step. The total is set so that the `anchor` domain
 cannot reach leave their rates at max_rate.
 
 Tokens are words (runs without white space). A document's copies are the whole part of its rate, and one more if a hash
-of its id falls below the rest. Null texts have no words and are judged by their shape alone; a null id hashes like 0.
+of its id falls below the rest. Null texts have no words and are judged by their shape alone; null ids hash alike.
 Labels may repeat (toxic wins, then low); label rows with nulls in both columns are not used. Without labels the
-priors are even. Rows may repeat. All is done by SQL functions.
+priors are even. Rows may repeat; each is judged once, inside its row (memory in proportion to its text), and written with
+its posteriors to the shared folder, from where the sums and the result are read. An empty table gives no rows. All is done
+by SQL functions, and other columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -38,8 +40,7 @@ SURE, SUPPORT = 3.0, 0.01
 
 def features(text: Column) -> Column:
     """Distinct lower-case words without outer punctuation, the marks, and the number of words."""
-    trimmed = F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")
-    words = F.array_distinct(F.split(F.trim(trimmed), " "))
+    words = F.array_remove(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), "")
     n = F.when(F.btrim(text, F.lit(" \t\n\x0b\f\r")) == "", F.lit(0)).otherwise(F.size(F.split(F.btrim(text, F.lit(" \t\n\x0b\f\r")), BLANK + "+")))
     mark = lambda name, holds: F.when(holds, F.lit(f"#{name}")).otherwise(F.lit(""))
     return let(
@@ -104,20 +105,21 @@ def posteriors(words: Column, base: list[float], plain: list[float], adds: dict[
     return top
 
 
-def rate_after(p: Column, steps: list[list[float]], max_rate: float) -> Column:
-    """The rate after projected steps that began at min(1, max_rate)."""
-    rate = F.lit(float(min(1.0, max_rate)))
+def rate_after(p: Column, steps: list[list[float]], max_rate: float | None) -> Column:
+    """The rate after projected steps that began at 1, or at max_rate if that is less."""
+    rate = F.lit(float(min(1.0, max_rate or 1.0)))
     if not steps:
         return rate
     dot = lambda g: F.aggregate(F.zip_with(p, g, lambda x, y: x * y), F.lit(0.0), lambda a, y: a + y)
-    return F.aggregate(F.array(*(array_of(s) for s in steps)), rate, lambda r, g: F.greatest(F.lit(0.0), F.least(F.lit(float(max_rate)), r - dot(g))))
+    bounded = lambda r: F.least(F.lit(float(max_rate)), r) if max_rate else r
+    return F.aggregate(F.array(*(array_of(s) for s in steps)), rate, lambda r, g: F.greatest(F.lit(0.0), bounded(r - dot(g))))
 
 
-def fit(groups: DataFrame, target: dict[str, float], anchor: str, max_rate: float, steps: int, tolerance: float) -> list[list[float]]:
+def fit(groups: DataFrame, target: dict[str, float], anchor: str, max_rate: float | None, steps: int, tolerance: float) -> list[list[float]]:
     """groups: p and tokens. The steps' residuals, from which rate_after() gives every rate."""
     total = lambda rate: groups.agg(*(F.sum(F.col("tokens") * rate * F.col("p")[i]).alias(d) for i, d in enumerate(DOMAINS))).first()
     have = [v or 0.0 for v in total(F.lit(1.0))]
-    whole = have[DOMAINS.index(anchor)] * min(1.0, max_rate) / target[anchor]
+    whole = have[DOMAINS.index(anchor)] * min(1.0, max_rate or 1.0) / target[anchor]
     goal, history = [target[d] * whole for d in DOMAINS], []
     for _ in range(steps):
         now = [v or 0.0 for v in total(rate_after(F.col("p"), history, max_rate))]
@@ -129,20 +131,21 @@ def fit(groups: DataFrame, target: dict[str, float], anchor: str, max_rate: floa
     return history
 
 
-def mix(docs: DataFrame, labels: DataFrame, target: dict[str, float] = TARGET, anchor: str = "high", max_rate: float = 1.0, id_col: str = "doc_id", text_col: str = "text", sample: int = 1500, vocabulary: int = 200, least_lift: float = math.log(4), steps: int = 30, tolerance: float = 1e-3) -> tuple[DataFrame, str]:
-    """docs with one struct column more, and its name: n_tokens, p (array in the order of DOMAINS), rate, copies."""
-    out = fresh(docs, "mix")
+def mix(docs: DataFrame, labels: DataFrame, target: dict[str, float] = TARGET, anchor: str = "high", max_rate: float | None = None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, sample: int = 1500, vocabulary: int = 200, least_lift: float = math.log(4), steps: int = 30, tolerance: float = 1e-3) -> tuple[DataFrame, str]:
+    """docs (all columns, or those of keep) with one struct column more, and its name: n_tokens, p (array in the order of
+    DOMAINS), rate, copies."""
+    out, columns = fresh(docs, "mix"), docs.columns if keep is None else keep
     base, plain, adds = learn(docs, labels, id_col, text_col, sample, vocabulary, least_lift)
-    seen = docs.withColumn("_ob_f", features(whole_text(text_col))).withColumn("_ob_p", posteriors(F.col("_ob_f.words"), base, plain, adds))
-    groups = saved(seen.groupBy(F.col("_ob_p").alias("p")).agg(F.sum("_ob_f.n").cast("double").alias("tokens")), "mixing").coalesce(8)
+    chance = F.pmod(F.xxhash64(F.col(id_col), F.lit(6)), F.lit(1 << 30)) / float(1 << 30)
+    judged = let(features(whole_text(text_col)), lambda f: F.struct(f.n.alias("n"), posteriors(f.words, base, plain, adds).alias("p"), chance.alias("chance")))
+    seen = saved(docs.select(*columns, judged.alias(out)), "mixing")
+    groups = saved(seen.groupBy(F.col(out).p.alias("p")).agg(F.sum(F.col(out).n).cast("double").alias("tokens")), "mixing-groups").coalesce(8)
     history = fit(groups, target, anchor, max_rate, steps, tolerance)
-    rate = rate_after(F.col("_ob_p"), history, max_rate)
-    chance = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.lit(6)), F.lit(1 << 30)) / float(1 << 30)
-    copies = (F.floor("_ob_r") + F.when(chance < F.col("_ob_r") - F.floor("_ob_r"), 1).otherwise(0)).cast("long")
-    rated = seen.withColumn("_ob_r", rate)
-    return rated.withColumn(out, F.struct(F.col("_ob_f.n").alias("n_tokens"), F.col("_ob_p").alias("p"), F.col("_ob_r").alias("rate"), copies.alias("copies"))).select(*docs.columns, out), out
+    copies = lambda r: (F.floor(r) + F.when(F.col(out).chance < r - F.floor(r), 1).otherwise(0)).cast("long")
+    rated = let(rate_after(F.col(out).p, history, max_rate), lambda r: F.struct(F.col(out).n.alias("n_tokens"), F.col(out).p.alias("p"), r.alias("rate"), copies(r).alias("copies")))
+    return seen.withColumn(out, rated), out
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed, out = mix(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    mixed, out = mix(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=["doc_id"])
     return mixed.select("doc_id", f"{out}.n_tokens", *(F.col(out).p[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)), f"{out}.rate", f"{out}.copies")
