@@ -71,13 +71,14 @@ def anchor_table(rows: DataFrame, tokens: Callable[[str], np.ndarray], window: i
 def repeated_anchors(table: DataFrame, max_group: int) -> DataFrame:
     """Anchors whose hash occurs again: id, key, fp, lo, hi; m: anchors of this context; first: whether it is the first of
     them by id, key and place; mixed: whether the hash has other contexts; big: whether it has more than max_group."""
-    repeated = table.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
+    # written first, so that a join's sides are plain exchanges: AQE then splits the rows of a hot anchor
+    repeated = saved(table.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"), "repeated-fp")
     rows = saved(table.join(repeated, "fp"), "repeated")
     free_memory(table.sparkSession)
     here = F.struct("id", "key", "lo")
     context = rows.groupBy("fp", "ctx").agg(F.count(F.lit(1)).alias("m"), F.min(here).alias("least"))
     kinds = context.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds"))
-    known = context.join(kinds, "fp")
+    known = saved(context.join(kinds, "fp"), "contexts")
     return rows.join(known, ["fp", "ctx"]).select("id", "key", "fp", "lo", "hi", "m", here.eqNullSafe(F.col("least")).alias("first"), (F.col("kinds") > 1).alias("mixed"), (F.col("kinds") > max_group).alias("big"))
 
 
@@ -93,7 +94,7 @@ def contexts(rows: DataFrame, chosen: DataFrame, tokens: Callable[[str], np.ndar
     import pyarrow as pa
 
     kind = rows.schema["id"].dataType.simpleString()
-    items = chosen.groupBy("id", "key").agg(F.collect_list(F.struct("lo", "hi", "fp", "big")).alias("items"))
+    items = chosen.groupBy("id", "key").agg(F.collect_set(F.struct("lo", "hi", "fp", "big")).alias("items"))
     # broadcast up to a checked number of anchors, a shuffled join beyond
     joined = with_texts(rows, F.broadcast(items) if chosen.count() <= max_broadcast_rows else items)
 

@@ -96,12 +96,15 @@ def matches(routed: DataFrame, window: int) -> DataFrame:
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, last = Automaton(), None
+        automaton, last, before = Automaton(), None, None
         for fp, b in groups_in_order(batches):
             if fp != last:
-                automaton, last = Automaton(), fp
+                automaton, last, before = Automaton(), fp, None
             take, starts, ends = [], [], []
-            for i, (lo, data) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist())):
+            for i, (id_, key, lo, data) in enumerate(zip(*(b.column(c).to_pylist() for c in range(1, 5)))):
+                if (id_, key, lo) == before:  # a row that repeats id and text: the same document
+                    continue
+                before = id_, key, lo
                 tokens = np.frombuffer(data, np.uint64).tolist()
                 found = np.array(automaton.matching(tokens))
                 s, e = runs_of(np.flatnonzero(found >= window) - window + 1 + lo, window)
