@@ -35,7 +35,7 @@ from orebody.llm.quality_rules import BLANK, SYMBOLS, count_of, let
 DOMAINS = ("high", "low", "toxic")
 TARGET = {"high": 0.96, "low": 0.03, "toxic": 0.01}
 #: Standard errors taken off a word's lift, and the least share of its domain's rows that hold the word.
-SURE, SUPPORT = 3.0, 0.01
+SURE, SUPPORT = 2.0, 0.01
 
 
 def features(text: Column) -> Column:
