@@ -21,8 +21,9 @@ from orebody.llm.tokens import vocabulary_path
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; lines that fail go from the others, whose n_chars follows."""
     judged, out = quality(docs)
+    # a plain filter would be pushed below the verdict and work it out a second time
+    kept = judged.select(*docs.columns, F.explode(F.filter(F.array(out), lambda v: v.kept)).alias(out))
     lost = F.col(f"{out}.lost_chars") > 0
-    kept = judged.where(F.col(out).kept)
     text = F.when(lost, F.col(f"{out}.cleaned_text")).otherwise(F.col("text"))
     n_chars = {"n_chars": F.when(lost, F.length(f"{out}.cleaned_text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
     return kept.withColumns({"text": text, **n_chars}).select(*docs.columns)
@@ -40,8 +41,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose rate gives them no copy go; rates do not exceed 1, so none is repeated."""
-    mixed, out = mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents whose rate gives them no copy go. Rates are bound by 1 here: after two stages of dedup none is repeated."""
+    mixed, out = mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), max_rate=1.0)
     return mixed.where(F.col(out).copies > 0).select(*docs.columns)
 
 
