@@ -1,148 +1,278 @@
-"""The engine: index a tree, search it, ask its graphs. All state is parquet under one folder, partitioned by project_id."""
+"""The engine: index a tree, search it, ask its graphs. All state is parquet under one folder, a folder a table and project."""
 
 from __future__ import annotations
 
+import time
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orebody.functions.scalars import clamped, document_text
+from orebody.functions.scalars import clamped, content_hash, document_text, language, looks_like_path
 from orebody.operators import artifacts as arts
-from orebody.operators import changes, chunking, extract, graph, resolve, search
+from orebody.operators import changes, chunking, extract, graph, render, resolve, search
 from orebody.operators import symbols as sym
+from orebody.operators.embed import Hashing, Provider, query_vector
+from orebody.sources import config
 from orebody.sources import files as sources
-from orebody.sources.store import Table, with_retries
-
-Embedder = Callable[[DataFrame], DataFrame]
-
-
-def hashing_embedder(dims: int = 64) -> Embedder:
-    """Adds a deterministic vector of the text in column `text`; a stand-in for a model, with no semantic quality."""
-    return lambda rows: rows.withColumn("embedding", search.hashed_vector(F.col("text"), dims))
+from orebody.sources.store import TABLES, Files, Lock, Table, cut, with_retries
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, store: str, project: str, embedder: Embedder | None = None):
-        self.spark, self.store, self.project = spark, store.rstrip("/"), project
-        self.embed = embedder or hashing_embedder()
+    def __init__(self, spark: SparkSession, store: str, project: str, provider: Provider | None = None, batch_files: int = 50_000):
+        """batch_files: files indexed between two saved states; an interrupted run goes on from the last of them."""
+        self.spark, self.store, self.project, self.batch_files = spark, store.rstrip("/"), project, batch_files
+        self.provider = provider or Hashing()
         self.graph, self.symbols, self.artifacts = Graph(self), Symbols(self), Artifacts(self)
 
     def table(self, name: str) -> Table:
-        return Table(self.spark, f"{self.store}/{name}")
+        return Table(self.spark, f"{self.store}/{name}", TABLES[name])
 
     def rows(self, name: str, project: str | None = None) -> DataFrame:
-        return self.table(name).read().where(F.col("project_id") == (project or self.project)).drop("project_id")
+        return self.table(name).read(project or self.project)
 
     def put(self, name: str, rows: DataFrame) -> None:
-        tagged = rows.withColumn("project_id", F.lit(self.project))
-        with_retries(lambda: self.table(name).replace(tagged))
+        with_retries(lambda: self.table(name).replace(self.project, rows))
 
     def has(self, name: str) -> bool:
         return self.table(name).exists(self.project)
 
+    def lock(self) -> Lock:
+        return Lock(self.spark, f"{self.store}/locks", self.project)
+
+    def _stops(self) -> Files:
+        return Files(self.spark, f"{self.store}/stops")
+
+    def stop(self) -> None:
+        """Asks a running index() of this project, in whatever process, to end after its batch."""
+        self._stops().create(self.project, "stop")
+
     def index(self, root: str, **scan) -> dict[str, int]:
-        """Chunks, vectors and file state of the tree; only new and changed files are chunked and embedded again."""
-        now = sources.indexable_files(self.spark, root, **scan).withColumnRenamed("relative_path", "path")
-        state = now.select("path", "content_hash", "language")
-        known = self.has("file_state")
-        old = self.rows("file_state") if known else state.limit(0)
-        counts = {r.status: r.files for r in changes.change_counts(state, old).collect()}
-        if not known or set(counts) - {"unchanged"}:
-            fresh = self.chunked(changes.changed_files(now, old)).withColumn("project_id", F.lit(self.project))
-            if known:
-                gone = changes.file_changes(state, old).where("status <> 'unchanged'").select("path")
-                kept = self.table("chunks").read().where(F.col("project_id") == self.project).join(gone, "path", "left_anti")
-                fresh = kept.unionByName(fresh)
-            table = self.table("chunks")
-            table.replace(table._settled(fresh))
-            self.put("file_state", state)
+        """Chunks, vectors, postings and file state of the tree; only new and changed files are worked on, in batches.
+
+        Each batch is saved with the state of its files, so a run that was stopped or failed is resumed by the next.
+        """
+        with self.lock() as lock:
+            self._stops().delete(self.project)
+            paths = cut(sources.indexable_paths(self.spark, root, **scan))
+            found = sources.described(sources.contents(root, paths)).withColumnRenamed("relative_path", "path")
+            state = cut(found.select("path", "content_hash", "language"))
+            old = self.rows("file_state")
+            diff = cut(changes.file_changes(state, old))
+            counts = {r.status: r.files for r in diff.groupBy("status").agg(F.count(F.lit(1)).alias("files")).collect()}
+            if self.has("file_state") and not set(counts) - {"unchanged"}:
+                return counts
+            began = time.time()
+            gone = diff.where("status IN ('changed', 'removed')").select("path")
+            if counts.get("changed") or counts.get("removed"):
+                for name in ("chunks", "postings", "file_state"):
+                    self.put(name, self.rows(name).join(gone, "path", "left_anti"))
+            elif not self.has("file_state"):
+                for name in ("chunks", "postings", "file_state"):
+                    self.put(name, self.rows(name))
+            todo = diff.where("status IN ('added', 'changed')").select("path")
+            total = counts.get("added", 0) + counts.get("changed", 0)
+            batches = -(-total // self.batch_files)
+            for i in range(batches):
+                own = todo.where(F.pmod(F.xxhash64("path"), F.lit(batches)) == i)
+                files = sources.described(sources.contents(root, paths.join(own.withColumnRenamed("path", "relative_path"), "relative_path", "left_semi")))
+                self._add(files.withColumnRenamed("relative_path", "path"))
+                stopped = self._stops().exists(self.project)
+                self._progress("index", i + 1, batches, total * (i + 1) // batches, "stopped" if stopped else "completed" if i + 1 == batches else "in-progress")
+                lock.refresh()
+                if stopped:
+                    break
+            self.put("search_stats", search.statistics(self.rows("postings")))
+            if not batches:
+                self._progress("index", 0, 0, 0, "completed")
+            self.seconds = time.time() - began
         return counts
 
-    update = index
+    def update(self, root: str, **scan) -> dict[str, int]:
+        return self.index(root, **scan)
+
+    def _add(self, files: DataFrame) -> None:
+        """Adds the chunks, postings and state of files that have none. State comes last: files without it are done again."""
+        parts = cut(self.chunked(files))
+        ids = parts.select("id")
+        for name in ("chunks", "postings"):  # what a failed run has left of this batch goes
+            if not self.rows(name).join(ids, "id", "left_semi").isEmpty():
+                self.put(name, self.rows(name).join(ids, "id", "left_anti"))
+        with_retries(lambda: self.table("chunks").append(self.project, parts))
+        with_retries(lambda: self.table("postings").append(self.project, search.postings(parts, "id", F.substring("text", 1, 32_000), "path")))
+        self.table("file_state").append(self.project, files)
+
+    def _progress(self, phase: str, batch: int, batches: int, files: int, status: str) -> None:
+        row = self.spark.createDataFrame([(phase, batch, batches, files, status)], "phase string, batch int, batches int, files long, status string")
+        self.put("progress", row.withColumn("at", F.current_timestamp()))
 
     def chunked(self, files: DataFrame) -> DataFrame:
         found = extract.extracted(files.select("path", "language", "content")).select("path", "regions")
         parts = chunking.chunks(files.select("path", "content").join(found, "path", "left"))
         told = parts.join(files.select("path", "language", "content_hash"), "path").withColumn("text", document_text(F.col("path"), F.col("chunk")))
-        return self.embed(told).withColumn("type", F.lit("code"))
+        return self.provider.embed(told).where("embedding IS NOT NULL").withColumn("type", F.lit("code"))
 
-    def search(self, query: str, limit: int = 10, file: str | None = None, language: str | None = None, min_score: float = 0.1, projects: list[str] = ()) -> DataFrame:
-        """The best chunks. With other projects each is searched by itself and the hits are merged by file."""
-        limit = clamped(limit, 1, 50, 10)
-        own = [self.project, *(p for p in dict.fromkeys(projects) if p != self.project)]
+    def search(self, query: str, limit: int = 10, file: str | None = None, language: str | None = None, min_score: float = 0.1, projects: list[str] = (), where: dict[str, str] | None = None) -> DataFrame:
+        """The best chunks. With other projects each is searched by itself and the hits are merged by file; a project that
+        cannot be searched is left out with a warning."""
+        limit = int(clamped(limit, 1, 50, 10))
+        own = list(dict.fromkeys([self.project, *projects]))
         if len(own) == 1:
-            return self._search(query, limit, file, language, min_score, self.project)
+            return self._search(query, limit, file, language, min_score, self.project, where)
         wide = max(2 * limit, 20)
-        hits = None
+        hits = []
         for name in own:
-            one = search.ranked(self._search(query, wide, file, language, 0.0, name), wide, ("id",)).select(F.lit(name).alias("label"), "path", "rank", F.struct("start_line", "end_line", "language", "chunk").alias("payload"))
-            hits = one if hits is None else hits.unionByName(one)
-        return search.multi_collection(hits, limit)
-
-    def _search(self, query: str, limit: int, file: str | None, language: str | None, min_score: float, project: str) -> DataFrame:
-        rows = self.rows("chunks", project)
-        if file:
-            rows = rows.where(F.col("path") == file)
-        if language:
-            rows = rows.where(F.col("language") == language)
-        asked = self.spark.createDataFrame([(query,)], "text string")
-        vector = self.embed(asked).first().embedding
-        terms = asked.select(search.tokens(F.col("text"))).first()[0]
-        sparse = search.bm25(rows.select("id", "text"), "id", F.col("text"), terms)
+            try:  # at most `wide` rows of each project
+                hits += [(name, i, r.path, r.start_line, r.end_line, r.language, r.chunk) for i, r in enumerate(self._search(query, wide, file, language, 0.0, name, where).collect())]
+            except Exception as e:
+                warnings.warn(f"{name} was not searched: {e}", stacklevel=2)
+        rows = self.spark.createDataFrame(hits, "label string, rank int, path string, start_line int, end_line int, language string, chunk string")
+        return search.multi_collection(rows.select("label", "rank", "path", F.struct("start_line", "end_line", "language", "chunk").alias("payload")), limit)
+
+    def search_linked(self, query: str, root: str, project_of: Callable[[str], str], listed: str | None = None, **how) -> DataFrame:
+        """search() over this project and those that the tree's project file or a comma-separated list links to it."""
+        return self.search(query, projects=[project_of(p) for p in config.linked(root, listed, project_of)], **how)
+
+    def _search(self, query: str, limit: int, file: str | None, language: str | None, min_score: float, project: str, where: dict[str, str] | None = None) -> DataFrame:
+        return self._hybrid("chunks", "postings", "search_stats", query, limit, min_score, project, {"path": file, "language": language, **(where or {})})
+
+    def _hybrid(self, chunks: str, index: str, stats: str, query: str, limit: int, min_score: float, project: str, wanted: dict[str, str | None]) -> DataFrame:
+        """Hybrid search of stored chunks under a conjunction of column = value. The dense part gets the prefixed question, the
+        sparse part the bare one and only the postings of its terms."""
+        if not self.table(chunks).exists(project):
+            raise ValueError(f"{project} has no {chunks}: index it first")
+        rows, narrowed = self.rows(chunks, project), False
+        for column, value in wanted.items():
+            if value is not None:
+                rows, narrowed = rows.where(F.col(column) == value), True
+        vector = query_vector(self.spark, self.provider, query)
+        terms = self.spark.range(1).select(search.tokens(F.lit(query))).first()[0]
+        sparse = search.bm25_stored(self.rows(index, project), self.rows(stats, project), terms, rows.select("id") if narrowed else None)
         dense = search.cosine(rows.select("id", "embedding"), "embedding", vector).where("NOT isnan(score)")
         best = search.hybrid(dense, sparse, "id", limit, min_score=min_score)
         return rows.drop("embedding", "text").join(F.broadcast(best), "id").orderBy(F.desc("score"), "id")
 
+    def search_text(self, query: str, limit: int = 10, min_score: float = 0.1, **how) -> str:
+        """search() as text, with the number of hits below the threshold and a note if the index is not complete."""
+        rows = self.search(query, limit, min_score=0.0, **how)
+        rows = (rows.select("label", "path", "score", "payload.*") if "payload" in rows.columns else rows).collect()
+        good = [r.asDict() for r in rows if r.score >= min_score]
+        last = self.rows("progress").first()
+        note = "" if last is None or last.status == "completed" else f"The index is not complete (batch {last.batch} of {last.batches})."
+        return render.results_text(query, self.project, good, len(rows) - len(good), min_score, note)
+
     def status(self) -> DataFrame:
+        """One row: files, chunks and the last run's phase, batch, batches, status and time."""
         files = self.rows("file_state").agg(F.count(F.lit(1)).alias("files"))
-        return files.join(F.broadcast(self.rows("chunks").agg(F.count(F.lit(1)).alias("chunks"))))
+        chunks = self.rows("chunks").agg(F.count(F.lit(1)).alias("chunks"))
+        return files.join(F.broadcast(chunks)).join(F.broadcast(self.rows("progress").drop("files")), F.lit(True), "left")
 
     def projects(self) -> DataFrame:
-        return self.table("file_state").read().groupBy("project_id").agg(F.count(F.lit(1)).alias("files"))
+        """project_id, files, chunks, graph_files, symbols, artifacts of all projects of the store."""
+        per = lambda name, what: self.table(name).read().groupBy("project_id").agg(F.count(F.lit(1)).alias(what))
+        out = per("file_state", "files")
+        for name, what in (("chunks", "chunks"), ("graph_files", "graph_files"), ("symbols", "symbols"), ("artifact_state", "artifacts")):
+            out = out.join(per(name, what), "project_id", "left").withColumn(what, F.coalesce(what, F.lit(0)))
+        return out
 
     def remove(self) -> None:
-        for name in ("chunks", "file_state", "graph_files", "imports", "edges", "symbols", "calls", "call_edges", "artifact_chunks", "artifact_state"):
-            self.table(name).drop(self.project)
+        with self.lock():
+            for name in TABLES:
+                self.table(name).drop(self.project)
+
+    def resume(self, root: str, **scan) -> dict[str, int]:
+        """What a service does at its start: goes on with an index that was not completed, and catches up with changes."""
+        last = self.rows("progress").first()
+        return self.index(root, **scan) if last is not None else {}
 
-    def watch(self, root: str, checkpoint: str, once: bool = False):
+    def watch(self, root: str, checkpoint: str, once: bool = False, max_failures: int = 5):
         """A streaming query that updates the index and graph when the tree changes; stop() ends it."""
         from orebody.streaming.watch import watch
 
-        listing = lambda: sources.indexable_files(self.spark, root).select(F.col("relative_path").alias("path"), "content_hash")
+        def listing() -> DataFrame:
+            found = sources.described(sources.contents(root, sources.indexable_paths(self.spark, root)))
+            return found.select(F.col("relative_path").alias("path"), "content_hash")
+
+        def stamps() -> DataFrame:
+            return sources.indexable_paths(self.spark, root).select(F.col("relative_path").alias("path"), "length", "modified")
 
         def changed(_: DataFrame, __: int) -> None:
             self.index(root)
-            self.graph.build(root)
+            self.graph.update(root)
 
-        return watch(self.spark, listing, f"{self.store}/watch/{self.project}", changed, checkpoint, once=once)
+        return watch(self.spark, listing, f"{self.store}/watch/{self.project}", changed, checkpoint, once=once, stamps=stamps, max_failures=max_failures)
 
 
 class Graph:
+    STORED = ("graph_files", "imports", "edges", "symbols", "name_refs", "calls", "call_edges")
+
     def __init__(self, engine: Engine):
         self.engine = engine
 
-    def build(self, root: str, go_module: str | None = None, aliases: list = (), **scan) -> None:
-        """Import edges, symbols, calls and resolved calls of the tree, in place of the stored ones."""
+    def build(self, root: str, go_module: str | None = None, aliases: list | None = None, **scan) -> None:
+        """Import edges, symbols, calls and resolved calls of the tree, in place of the stored ones. The Go module and path
+        aliases are read from the tree unless they are given."""
         e = self.engine
-        # many branches read the files: they are scanned once
-        e.put("graph_files", sources.graphable_files(e.spark, root, **scan).withColumnRenamed("relative_path", "path").select("path", "language", "content"))
-        files = e.rows("graph_files")
-        found = extract.extracted(files)
+        with e.lock():
+            # many branches read the files: they are scanned once
+            e.put("graph_files", self._scanned(root, **scan))
+            files = e.rows("graph_files")
+            found = cut(extract.extracted(files))
+            # stored, so that the rules of resolution stand once in a plan and not in each language's branch
+            e.put("imports", extract.imports_of(files))
+            e.put("edges", self._edges(root, go_module, aliases))
+            e.put("symbols", extract.symbol_rows(found))
+            e.put("name_refs", sym.name_refs(e.rows("symbols")))
+            e.put("calls", extract.call_rows(found))
+            e.put("call_edges", sym.resolved(e.rows("calls"), e.rows("symbols"), e.rows("edges")))
+
+    def _scanned(self, root: str, **scan) -> DataFrame:
+        return sources.graphable_files(self.engine.spark, root, **scan).withColumnRenamed("relative_path", "path")
+
+    def _edges(self, root: str, go_module: str | None, aliases: list | None) -> DataFrame:
+        own_module, own_aliases = config.module_rules(root)
+        files = self.engine.rows("graph_files")
         paths = files.select("path")
-        # stored, so that the rules of resolution stand once in a plan and not in each language's branch
-        e.put("imports", extract.imports_of(files))
-        edges = resolve.resolved_imports(e.rows("imports"), paths, go_module, sources.go_packages(paths), sources.namespaces(files), sources.class_suffixes(paths), aliases)
-        e.put("edges", edges.select("source", "target", "type"))
-        e.put("symbols", extract.symbol_rows(found))
-        e.put("calls", extract.call_rows(found))
-        e.put("call_edges", sym.resolved(e.rows("calls"), e.rows("symbols"), e.rows("edges")))
+        return resolve.resolved_imports(self.engine.rows("imports"), paths, go_module or own_module, sources.go_packages(paths), sources.namespaces(files), sources.class_suffixes(paths), own_aliases if aliases is None else aliases)
+
+    def update(self, root: str, go_module: str | None = None, aliases: list | None = None, **scan) -> dict[str, int]:
+        """Brings the stored graph to the state of the tree. Only changed files are parsed, and only calls that a change can
+        reach are resolved again; the result is that of build(). Counts of files by status."""
+        e = self.engine
+        if not e.has("graph_files"):
+            self.build(root, go_module, aliases, **scan)
+            return {"added": e.rows("graph_files").count()}
+        with e.lock():
+            now = cut(self._scanned(root, **scan).select("path", "language", "content", "content_hash"))
+            diff = cut(changes.file_changes(now, e.rows("graph_files")))
+            counts = {r.status: r.files for r in diff.groupBy("status").agg(F.count(F.lit(1)).alias("files")).collect()}
+            if not set(counts) - {"unchanged"}:
+                return counts
+            moved = cut(diff.where("status <> 'unchanged'").select("path"))
+            anew = cut(now.join(moved, "path", "left_semi"))
+            found = cut(extract.extracted(anew))
+            old_edges, old_symbols = cut(e.rows("edges").distinct()), cut(e.rows("symbols").join(moved.withColumnRenamed("path", "file"), "file", "left_semi"))
+            fresh_symbols, fresh_calls = extract.symbol_rows(found), extract.call_rows(found)
+            e.put("graph_files", now)
+            for name, rows, column in (("imports", extract.imports_of(anew), "path"), ("symbols", fresh_symbols, "file"), ("calls", fresh_calls, "caller_file")):
+                table = e.table(name)
+                e.put(name, e.rows(name).join(moved.withColumnRenamed("path", column), column, "left_anti").select(table.schema.names).unionByName(table.shaped(rows)))
+            e.put("name_refs", sym.name_refs(e.rows("symbols")))
+            e.put("edges", self._edges(root, go_module, aliases))
+            # files whose edges differ count as changed: a new file can become the target of an old import
+            edges = e.rows("edges").distinct()
+            differ = old_edges.exceptAll(edges).unionByName(edges.exceptAll(old_edges)).select(F.col("source").alias("file"))
+            changed = cut(moved.select(F.col("path").alias("file")).unionByName(differ).distinct())
+            names = cut(old_symbols.select("name").unionByName(fresh_symbols.select("name")).select(F.col("name").alias("callee_name")).distinct())
+            e.put("call_edges", sym.patched_calls(e.rows("call_edges"), e.rows("calls"), e.rows("symbols"), e.rows("edges"), changed, names))
+        return counts
 
     def edges(self) -> DataFrame:
         return self.engine.rows("edges")
 
     def nodes(self) -> DataFrame:
-        return self.engine.rows("symbols").select(F.col("file").alias("node")).unionByName(graph.ends(self.edges())).distinct()
+        return self.engine.rows("graph_files").select(F.col("path").alias("node"))
 
     def deps(self, file: str) -> DataFrame:
         return graph.file_dependencies(self.edges(), file.replace("\\", "/"))
@@ -150,6 +280,14 @@ class Graph:
     def stats(self) -> DataFrame:
         return graph.graph_stats(self.nodes(), self.edges(), cyclic=True)
 
+    def languages(self) -> DataFrame:
+        return self.nodes().groupBy(language(F.col("node")).alias("language")).agg(F.count(F.lit(1)).alias("files")).orderBy(F.desc("files"), "language")
+
+    def report(self) -> dict:
+        """Totals, the most connected files, files by language and the number of orphans and of edges on cycles, in one answer."""
+        totals = self.stats().first().asDict()
+        return totals | {"most_connected": [tuple(r) for r in graph.most_connected(self.edges()).collect()], "languages": {r.language: r.files for r in self.languages().collect()}}
+
     def cycles(self, max_length: int = 6) -> DataFrame:
         return graph.cycles(self.edges(), max_length)
 
@@ -157,11 +295,17 @@ class Graph:
         return graph.cyclic_edges(self.edges())
 
     def mermaid(self) -> str:
-        return graph.mermaid(self.edges())
+        return render.diagram(self.edges(), self.nodes())
+
+    def page(self) -> str:
+        """A viewer of the graph: one page of HTML that needs nothing else."""
+        e = self.engine
+        return render.viewer_page(render.viewer_data(e.project, self.nodes(), self.edges(), e.rows("symbols"), e.rows("call_edges")))
 
     def remove(self) -> None:
-        for name in ("graph_files", "imports", "edges", "symbols", "calls", "call_edges"):
-            self.engine.table(name).drop(self.engine.project)
+        with self.engine.lock():
+            for name in self.STORED:
+                self.engine.table(name).drop(self.engine.project)
 
     def status(self) -> DataFrame:
         return sym.symbol_graph_meta(self.engine.rows("symbols"), self.engine.rows("call_edges"))
@@ -176,18 +320,33 @@ class Symbols:
 
     def impact(self, target: str, depth: int = 3) -> DataFrame:
         """Files that depend on a file, or on the files that define a symbol, by their distance. Calls between files count."""
-        import re
-
-        symbols = self._own("symbols")
-        if re.search(r"[/\\]|\.[A-Za-z]{1,5}$", target):
-            seeds = self.engine.spark.createDataFrame([(target.replace("\\", "/"),)], "node string")
+        spark = self.engine.spark
+        if spark.range(1).select(looks_like_path(F.lit(target))).first()[0]:
+            seeds = spark.createDataFrame([(target.replace("\\", "/"),)], "node string")
         else:
-            seeds = symbols.where(F.col("name") == target).select(F.col("file").alias("node")).distinct()
-        links = sym.reverse_index(self._own("call_edges"), symbols).select(F.col("caller_file").alias("source"), F.col("callee_file").alias("target"))
-        return graph.impact(links, seeds, clamped(depth, 1, graph.MAX_DEPTH, 3))
+            seeds = self._own("name_refs").where(F.col("name") == target).select(F.col("file").alias("node")).distinct()
+        links = sym.reverse_index(self._own("call_edges"), self._own("symbols")).select(F.col("caller_file").alias("source"), F.col("callee_file").alias("target"))
+        return graph.impact(links, seeds, int(clamped(depth, 1, graph.MAX_DEPTH, 3)))
+
+    def ids(self, name: str, file: str | None = None) -> list[str]:
+        """Ids of the symbols of a name, at most 51 of them: more than one needs a file to tell them apart."""
+        rows = self._own("name_refs").where(F.col("name") == name)
+        if file:
+            rows = rows.where(F.col("file") == file.replace("\\", "/"))
+        return [r.id for r in rows.orderBy("id").limit(51).collect()]
 
     def flow(self, symbol_id: str, depth: int = 5) -> list[tuple[int, str, str]]:
-        return sym.flow_tree(self._own("call_edges"), symbol_id, clamped(depth, 1, graph.MAX_DEPTH, 5))
+        return sym.flow_tree(self._own("call_edges"), symbol_id, int(clamped(depth, 1, graph.MAX_DEPTH, 5)))
+
+    def flow_text(self, name: str | None = None, file: str | None = None, depth: int = 5) -> str:
+        """The call tree of a symbol as text; without a name, the entry points that one can start from."""
+        if not name:
+            found = [f"{r.id} ({r.reason})" for r in self.entry_points().orderBy("id", "reason").limit(1000).collect()]
+            return render.capped_list("Entry points", found) if found else "No entry points found."
+        ids = self.ids(name, file)
+        if len(ids) != 1:
+            return render.capped_list(f"{name} is not unique; name a file", ids) if ids else f"There is no symbol {name}."
+        return render.tree_text(self.flow(ids[0], depth))
 
     def entry_points(self) -> DataFrame:
         return sym.entry_points(self._own("symbols"), self._own("calls"), self._own("edges"))
@@ -196,42 +355,75 @@ class Symbols:
         return sym.symbol_context(self._own("call_edges"), self._own("symbols"), name, file and file.replace("\\", "/"))
 
     def list(self, contains: str | None = None, file: str | None = None, limit: int = 200) -> DataFrame:
-        return sym.list_symbols(self._own("symbols"), contains, file, limit)
+        return sym.list_symbols(self._own("symbols"), contains, file and file.replace("\\", "/"), limit)
+
+    def find(self, text: str, limit: int = 50) -> DataFrame:
+        return sym.symbol_lookup(self._own("symbols"), text, limit)
 
 
 class Artifacts:
+    STORED = ("artifact_chunks", "artifact_postings", "artifact_search_stats", "artifact_state")
+
     def __init__(self, engine: Engine):
         self.engine = engine
 
-    def index(self, configured: dict[str, str]) -> None:
-        """name to path; artifacts whose content changed are chunked and embedded again, those no longer configured go."""
-        e = self.engine
+    def configured(self, root: str, fallback: str | None = None) -> dict[str, str]:
+        return {a.name: a.path for a in config.artifacts(root, fallback)}
+
+    def _files(self, configured: dict[str, str]) -> DataFrame | None:
         rows = None
         for name, path in configured.items():
-            one = sources.artifact_files(e.spark, name, path)
+            one = sources.artifact_files(self.engine.spark, name, path)
             rows = one if rows is None else rows.unionByName(one)
-        if rows is None:
-            for name in ("artifact_chunks", "artifact_state"):
-                e.table(name).drop(e.project)
-            return
-        paths = F.create_map(*(F.lit(x) for pair in configured.items() for x in pair))
-        whole = arts.concatenated(rows).withColumn("path", F.element_at(paths, F.col("artifact")))
-        chunks = arts.artifact_chunks(whole.select("artifact", "path", "content")).withColumn("text", document_text(F.col("path"), F.col("chunk")))
-        e.put("artifact_chunks", e.embed(chunks))
-        e.put("artifact_state", whole.select("artifact", "path", F.substring(F.sha2("content", 256), 1, 16).alias("content_hash")))
-
-    def search(self, query: str, artifact: str | None = None, limit: int = 10, min_score: float = 0.1) -> DataFrame:
+        return rows
+
+    def index(self, configured: dict[str, str], descriptions: dict[str, str] | None = None) -> dict[str, str]:
+        """name to path (a file or folder); artifacts whose content changed are chunked and embedded again, those no longer
+        configured go. The status that each had: new, stale, fresh or removed."""
         e = self.engine
-        rows = e.rows("artifact_chunks")
-        if artifact:
-            rows = rows.where(F.col("artifact") == artifact)
-        asked = e.spark.createDataFrame([(query,)], "text string")
-        terms = asked.select(search.tokens(F.col("text"))).first()[0]
-        sparse = search.bm25(rows.select("id", "text"), "id", F.col("text"), terms)
-        dense = search.cosine(rows.select("id", "embedding"), "embedding", e.embed(asked).first().embedding).where("NOT isnan(score)")
-        best = search.hybrid(dense, sparse, "id", clamped(limit, 1, 50, 10), min_score=min_score)
-        return rows.drop("embedding", "text").join(F.broadcast(best), "id").orderBy(F.desc("score"), "id")
+        with e.lock():
+            files = self._files(configured)
+            if files is None:
+                gone = {r.artifact: "removed" for r in e.rows("artifact_state").collect()}
+                for name in self.STORED:
+                    e.table(name).drop(e.project)
+                return gone
+            files = cut(files)
+            state = cut(arts.fingerprints(files))
+            status = {r.artifact: r.status for r in arts.staleness(state, e.rows("artifact_state")).collect()}
+            todo = [a for a, s in status.items() if s in ("new", "stale")]
+            stays = [a for a, s in status.items() if s == "fresh"]
+            if todo or "removed" in status.values():
+                paths = F.create_map(*(F.lit(x) for pair in configured.items() for x in pair))
+                whole = arts.concatenated(files.where(F.col("artifact").isin(*todo))).withColumn("path", F.element_at(paths, F.col("artifact")))
+                told = arts.artifact_chunks(whole).withColumn("text", document_text(F.col("path"), F.col("chunk")))
+                parts = cut(e.provider.embed(told).where("embedding IS NOT NULL"))
+                table, own = e.table("artifact_chunks"), F.col("artifact").isin(*stays)
+                e.put("artifact_chunks", e.rows("artifact_chunks").where(own).unionByName(table.shaped(parts)))
+                fresh = e.table("artifact_postings").shaped(search.postings(parts, "id", F.substring("text", 1, 32_000), "artifact"))
+                e.put("artifact_postings", e.rows("artifact_postings").where(own).unionByName(fresh).sortWithinPartitions("term"))
+                e.put("artifact_search_stats", search.statistics(e.rows("artifact_postings")))
+                told_of = F.create_map(*(F.lit(x) for pair in (descriptions or {"": ""}).items() for x in pair))
+                e.put("artifact_state", state.select("artifact", F.element_at(paths, F.col("artifact")).alias("path"), F.try_element_at(told_of, F.col("artifact")).alias("description"), "content_hash"))
+        return status
+
+    def list(self, root: str, fallback: str | None = None) -> DataFrame:
+        """name, path, description, chunks and whether it is indexed, for each configured artifact."""
+        rows = self.engine.spark.createDataFrame(config.artifacts(root, fallback), "artifact string, path string, description string")
+        per = self.engine.rows("artifact_chunks").groupBy("artifact").agg(F.count(F.lit(1)).alias("chunks"))
+        return rows.join(per, "artifact", "left").withColumn("indexed", F.col("chunks").isNotNull()).withColumn("chunks", F.coalesce("chunks", F.lit(0)))
+
+    def refresh(self, root: str, fallback: str | None = None) -> dict[str, str]:
+        found = config.artifacts(root, fallback)
+        return self.index({a.name: a.path for a in found}, {a.name: a.description for a in found})
+
+    def search(self, query: str, artifact: str | None = None, limit: int = 10, min_score: float = 0.1, root: str | None = None) -> DataFrame:
+        """The best chunks; with root, the artifacts that its file names are brought up to date first."""
+        if root is not None:
+            self.refresh(root)
+        return self.engine._hybrid("artifact_chunks", "artifact_postings", "artifact_search_stats", query, int(clamped(limit, 1, 50, 10)), min_score, self.engine.project, {"artifact": artifact})
 
     def remove(self) -> None:
-        for name in ("artifact_chunks", "artifact_state"):
-            self.engine.table(name).drop(self.engine.project)
+        with self.engine.lock():
+            for name in self.STORED:
+                self.engine.table(name).drop(self.engine.project)

@@ -7,14 +7,41 @@ from pyspark.sql import functions as F
 
 #: Language of each file extension; others are plaintext.
 LANGUAGES = {
-    "javascript": ".js .jsx .mjs .cjs", "typescript": ".ts .tsx", "python": ".py .pyw .pyi", "java": ".java",
-    "kotlin": ".kt .kts", "scala": ".scala", "c": ".c .h", "cpp": ".cpp .hpp .cc .hh .cxx", "csharp": ".cs", "go": ".go",
-    "rust": ".rs", "ruby": ".rb", "php": ".php", "swift": ".swift", "shell": ".sh .bash .zsh", "html": ".html .htm",
-    "css": ".css", "scss": ".scss", "sass": ".sass", "less": ".less", "vue": ".vue", "svelte": ".svelte", "json": ".json",
-    "yaml": ".yaml .yml", "toml": ".toml", "xml": ".xml", "markdown": ".md .mdx", "rst": ".rst", "sql": ".sql",
-    "dart": ".dart", "lua": ".lua", "r": ".r", "dockerfile": ".dockerfile",
-}
-BY_EXTENSION = {ext: lang for lang, exts in LANGUAGES.items() for ext in exts.split()}
+    "javascript": (".js", ".jsx", ".mjs", ".cjs"),
+    "typescript": (".ts", ".tsx"),
+    "python": (".py", ".pyw", ".pyi"),
+    "java": (".java",),
+    "kotlin": (".kt", ".kts"),
+    "scala": (".scala",),
+    "c": (".c", ".h"),
+    "cpp": (".cpp", ".hpp", ".cc", ".hh", ".cxx"),
+    "csharp": (".cs",),
+    "go": (".go",),
+    "rust": (".rs",),
+    "ruby": (".rb",),
+    "php": (".php",),
+    "swift": (".swift",),
+    "shell": (".sh", ".bash", ".zsh"),
+    "html": (".html", ".htm"),
+    "css": (".css",),
+    "scss": (".scss",),
+    "sass": (".sass",),
+    "less": (".less",),
+    "vue": (".vue",),
+    "svelte": (".svelte",),
+    "json": (".json",),
+    "yaml": (".yaml", ".yml"),
+    "toml": (".toml",),
+    "xml": (".xml",),
+    "markdown": (".md", ".mdx"),
+    "rst": (".rst",),
+    "sql": (".sql",),
+    "dart": (".dart",),
+    "lua": (".lua",),
+    "r": (".r",),
+    "dockerfile": (".dockerfile",),
+}
+BY_EXTENSION = {ext: lang for lang, exts in LANGUAGES.items() for ext in exts}
 #: Extensions indexed beside those above, and names indexed whatever their extension.
 OTHER_INDEXED = (".ini", ".cfg", ".txt")
 SPECIAL_FILES = ("Dockerfile", "Makefile", "Rakefile", "Gemfile", "Procfile", ".env.example", ".gitignore", ".dockerignore")
@@ -149,6 +176,10 @@ def clamped(value: int | float | None, low: float, high: float, default: float):
     return max(low, min(high, value))
 
 
+def score_text(score: Column, digits: int = 4) -> Column:
+    return F.format_string(f"%.{digits}f", score.cast("double"))
+
+
 def seconds_since(moment: Column) -> Column:
     return F.unix_timestamp() - F.unix_timestamp(moment)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orebody.functions.scalars import artifact_chunk_id, capped, content_hash
+from orebody.functions.scalars import artifact_chunk_id, capped
 from orebody.operators.chunking import line_chunks
 
 
@@ -21,9 +21,16 @@ def artifact_chunks(artifacts: DataFrame, window: int = 100, overlap: int = 10)
     return rows.withColumn("id", artifact_chunk_id(F.col("path"), F.col("artifact"), F.col("start_line") - 1)).withColumn("chunk", capped(F.col("chunk")))
 
 
+def fingerprints(files: DataFrame) -> DataFrame:
+    """files: artifact, path, content. artifact and a hash of its files' paths and hashes in order: no whole artifact meets in a row."""
+    own = F.struct("path", F.sha2("content", 256).alias("h"))
+    per = files.groupBy("artifact").agg(F.array_sort(F.collect_list(own)).alias("f"))
+    return per.select("artifact", F.substring(F.sha2(F.array_join(F.transform("f", lambda x: F.concat_ws(":", x.path, x.h)), "\n"), 256), 1, 16).alias("content_hash"))
+
+
 def staleness(configured: DataFrame, stored: DataFrame) -> DataFrame:
-    """configured: artifact, content; stored: artifact, content_hash. status: new, stale, fresh or removed."""
-    now = configured.select("artifact", content_hash(F.col("content")).alias("now"))
+    """configured and stored: artifact, content_hash. status: new, stale, fresh or removed."""
+    now = configured.select("artifact", F.col("content_hash").alias("now"))
     then = stored.select("artifact", F.col("content_hash").alias("then"))
     status = F.when(F.col("then").isNull(), "new").when(F.col("now").isNull(), "removed").when(F.col("now") == F.col("then"), "fresh").otherwise("stale")
     return now.join(then, "artifact", "full_outer").select("artifact", status.alias("status"))
@@ -33,10 +40,3 @@ def summary(configured: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row: configured and indexed artifacts and their chunks."""
     per = chunks.groupBy("artifact").agg(F.count(F.lit(1)).alias("n"))
     return configured.select("artifact").distinct().join(per, "artifact", "left").agg(F.count(F.lit(1)).alias("configured"), F.count("n").alias("indexed"), F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"))
-
-
-def problems(config: DataFrame) -> DataFrame:
-    """config: name, path, description. One row for each rule that an entry breaks; names are unique in any case of letters."""
-    empty = [config.where(F.coalesce(F.trim(c), F.lit("")) == "").select(F.col("name"), F.lit(f"{c} is empty").alias("problem")) for c in ("name", "path", "description")]
-    twice = config.groupBy(F.lower(F.trim("name")).alias("name")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND name <> ''").select("name", F.lit("name is not unique").alias("problem"))
-    return empty[0].unionByName(empty[1]).unionByName(empty[2]).unionByName(twice)

@@ -27,6 +27,17 @@ def change_counts(new: DataFrame, old: DataFrame) -> DataFrame:
     return file_changes(new, old).groupBy("status").agg(F.count(F.lit(1)).alias("files"))
 
 
-def upserted(stored: DataFrame, fresh: DataFrame, key: str = "id") -> DataFrame:
-    """stored with fresh's rows in place of those of the same key."""
-    return stored.join(fresh.select(key), key, "left_anti").unionByName(fresh)
+def relative_keys(state: DataFrame, root: str | None = None, path: str = "path") -> DataFrame:
+    """state with absolute paths made relative: to root, or to the longest folder that all share. Relative ones stay.
+
+    The longest common prefix of all texts is that of the smallest and the largest.
+    """
+    if root is None:
+        ends = state.agg(F.min(path).alias("a"), F.max(path).alias("b")).first()
+        if ends.a is None or not ends.a.startswith("/") or not ends.b.startswith("/"):
+            return state
+        n = next((i for i, (x, y) in enumerate(zip(ends.a, ends.b)) if x != y), min(len(ends.a), len(ends.b)))
+        prefix = ends.a[: ends.a.rfind("/", 0, n) + 1]
+    else:
+        prefix = root.rstrip("/") + "/"
+    return state.withColumn(path, F.when(F.startswith(F.col(path), F.lit(prefix)), F.substring(F.col(path), F.lit(len(prefix) + 1), F.length(path))).otherwise(F.col(path)))

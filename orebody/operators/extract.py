@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MODULE = "<module>"
@@ -31,7 +31,7 @@ IMPORTS: dict[tuple[str, ...], tuple[tuple[str, bool], ...]] = {
     ("csharp",): ((r"(?m)^\s*(?:global\s+)?using\s+(?:static\s+)?([\w.]+)\s*;", False),),
     ("ruby",): ((r"""(?m)^\s*require(?:_relative)?\s*\(?\s*["']([^"'\n]+)["']""", False),),
     ("c", "cpp"): ((r"""(?m)^\s*#\s*include\s*"([^"\n]+)\"""", False),),
-    ("php",): ((r"(?m)^\s*use\s+(?:function\s+|const\s+)?([\w\\]+)\s*(?:as\s+\w+\s*)?;", False), (r"""\b(?:require|include)(?:_once)?\s*\(?\s*["']([^"'\n]+)["']""", False)),
+    ("php",): ((r"(?m)^\s*use\s+(?:function\s+|const\s+)?([\w\\]+(?:\{[^}]*\}|\s*(?:as\s+\w+\s*)?(?:,\s*[\w\\]+\s*(?:as\s+\w+\s*)?)*))\s*;", False), (r"""\b(?:require|include)(?:_once)?\s*\(?\s*["']([^"'\n]+)["']""", False)),
     ("shell",): ((r"""(?m)^\s*(?:source|\.)\s+["']?([^"'\s;]+)""", False),),
     ("dart",): ((r"""(?m)^\s*(?:import|export|part)\s+["']([^"'\n]+)["']""", False),),
     ("lua",): ((r"""\b(?:require|dofile|loadfile)\s*\(?\s*["']([^"'\n]+)["']""", False),),
@@ -68,6 +68,19 @@ def parts_of_component(text: str) -> tuple[str, str]:
     return take("script"), take("style")
 
 
+def file_imports(text: str, language: str) -> list[tuple[str, bool, bool]]:
+    """specifier, dynamic and style of one file's imports; what imports_of() does natively for most languages."""
+    if language == "python":
+        return [(s, False, False) for s in python_imports(text)]
+    if language in COMPONENTS:
+        script, style = parts_of_component(text)
+        script = re.sub(C_COMMENTS, " ", script)
+        return [(m, dyn, False) for p, dyn in IMPORTS[JS] for m in re.findall(p, script)] + [(m, False, True) for p, _ in IMPORTS[STYLES] for m in re.findall(p, style)]
+    patterns = next((v for k, v in IMPORTS.items() if language in k), ())
+    plain = re.sub(comment_pattern(language), " ", text)
+    return [(m.strip(), dyn, language in STYLES) for p, dyn in patterns for m in re.findall(p, plain)]
+
+
 def imports_of(files: DataFrame) -> DataFrame:
     """files: path, language, content. path, language, ord, specifier, dynamic, style."""
     import pyarrow as pa
@@ -79,19 +92,15 @@ def imports_of(files: DataFrame) -> DataFrame:
         comments = comment_pattern(languages[0])
         masked = own.withColumn("content", F.regexp_replace("content", comments, " "))
         found = F.concat(*(spec_structs(p, dyn) for p, dyn in patterns))
+        if languages == ("php",):
+            found = F.flatten(F.transform(found, php_names))
         parts.append(masked.select("path", "language", F.posexplode(found).alias("ord", "f")).select("path", "language", "ord", F.trim("f.specifier").alias("specifier"), "f.dynamic", F.lit(languages == STYLES).alias("style")))
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
             for path, lang, text in zip(*(c.to_pylist() for c in b.columns)):
-                if lang == "python":
-                    specs = [(s, False, False) for s in python_imports(text or "")]
-                else:
-                    script, style = parts_of_component(text or "")
-                    script = re.sub(C_COMMENTS, " ", script)
-                    specs = [(m, dyn, False) for p, dyn in IMPORTS[JS] for m in re.findall(p, script)] + [(m, False, True) for p, _ in IMPORTS[STYLES] for m in re.findall(p, style)]
-                rows += [(path, lang, i, *s) for i, s in enumerate(specs)]
+                rows += [(path, lang, i, *s) for i, s in enumerate(file_imports(text or "", lang))]
             cols = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.bool_()))], ["path", "language", "ord", "specifier", "dynamic", "style"])
 
@@ -102,6 +111,15 @@ def imports_of(files: DataFrame) -> DataFrame:
     return out
 
 
+def php_names(found: Column) -> Column:
+    """The names of one `use`: groups and lists are taken apart, aliases and kinds dropped."""
+    group = found.specifier.contains("{")
+    prefix = F.when(group, F.regexp_replace(F.substring_index(found.specifier, "{", 1), r"\s", "")).otherwise("")
+    listed = F.when(group, F.regexp_extract(found.specifier, r"\{([^}]*)", 1)).otherwise(found.specifier)
+    names = F.transform(F.split(listed, ","), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"(?i)\s+as\s+\w+\s*$", ""), r"^\s*(?:function|const)\s+", "")))
+    return F.transform(F.filter(F.transform(names, lambda x: F.regexp_replace(x, r"\s", "")), lambda x: x != ""), lambda x: F.struct(F.concat(prefix, x).alias("specifier"), found.dynamic.alias("dynamic")))
+
+
 def spec_structs(pattern: str, dynamic: bool):
     return F.transform(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)), lambda s: F.struct(s.alias("specifier"), F.lit(dynamic).alias("dynamic")))
 
@@ -133,17 +151,20 @@ DECLARATIONS: dict[tuple[str, ...], tuple[str, tuple[tuple[str, str], ...]]] = {
     ("csharp",): ("brace", ((rf"^\s*{WORDS}(?:class|record|struct)\s+{NAME}", "class"), (rf"^\s*{WORDS}interface\s+{NAME}", "interface"), (rf"^\s*{WORDS}enum\s+{NAME}", "enum"), (TYPED, "method"), (rf"^\s*(?:public|private|protected|internal)\s+{NAME}\s*\([^;]*$", "constructor"))),
     ("c", "cpp"): ("brace", ((rf"^\s*(?:class|struct)\s+{NAME}[^;]*$", "class"), (TYPED, "function"))),
     ("ruby",): ("end", ((rf"^\s*class\s+(?:\w+::)*{NAME}", "class"), (rf"^\s*module\s+(?:\w+::)*{NAME}", "class"), (r"^\s*def\s+(?:self\.)?(?P<n>[A-Za-z_]\w*[?!=]?)", "method"))),
-    ("php",): ("brace", ((rf"^\s*{WORDS}class\s+{NAME}", "class"), (rf"^\s*interface\s+{NAME}", "interface"), (rf"^\s*trait\s+{NAME}", "trait"), (rf"^\s*{WORDS}function\s+&?{NAME}\s*\(", "function"))),
-    ("swift",): ("brace", ((rf"^\s*{WORDS}(?:class|struct|actor)\s+{NAME}", "class"), (rf"^\s*{WORDS}protocol\s+{NAME}", "interface"), (rf"^\s*{WORDS}enum\s+{NAME}", "enum"), (rf"^\s*{WORDS}func\s+{NAME}", "function"))),
+    ("php",): ("brace", ((rf"^\s*{WORDS}class\s+{NAME}", "class"), (rf"^\s*interface\s+{NAME}", "interface"), (rf"^\s*trait\s+{NAME}", "trait"), (rf"^\s*enum\s+{NAME}", "enum"), (rf"^\s*{WORDS}function\s+&?{NAME}\s*\(", "function"))),
+    ("swift",): ("brace", ((rf"^\s*{WORDS}(?:class|struct|actor)\s+{NAME}", "class"), (rf"^\s*{WORDS}protocol\s+{NAME}", "interface"), (rf"^\s*{WORDS}enum\s+{NAME}", "enum"), (rf"^\s*{WORDS}func\s+{NAME}", "function"), (r"^\s*(?:convenience\s+|required\s+|public\s+|override\s+)*(?P<n>init)[?!]?\s*[(<]", "method"))),
     ("shell",): ("brace", ((r"^\s*(?:function\s+)?(?P<n>[A-Za-z_][\w-]*)\s*\(\)\s*\{?", "function"), (r"^\s*function\s+(?P<n>[A-Za-z_][\w-]*)", "function"))),
     ("lua",): ("end", ((r"^\s*(?:local\s+)?function\s+(?P<n>[A-Za-z_][\w.:]*)", "function"), (r"^\s*(?:local\s+)?(?P<n>[A-Za-z_][\w.]*)\s*=\s*function\b", "function"))),
-    ("dart",): ("brace", ((rf"^\s*{WORDS}class\s+{NAME}", "class"), (rf"^\s*mixin\s+{NAME}", "trait"), (rf"^\s*enum\s+{NAME}", "enum"), (rf"^\s*extension\s+{NAME}", "class"), (rf"^\s*typedef\s+{NAME}", "type"), (TYPED, "function"))),
+    ("dart",): ("brace", ((rf"^\s*{WORDS}class\s+{NAME}", "class"), (rf"^\s*mixin\s+{NAME}", "trait"), (rf"^\s*enum\s+{NAME}", "enum"), (rf"^\s*extension\s+{NAME}", "class"), (rf"^\s*typedef\s+{NAME}", "type"), (r"^\s*[\w<>?]+\s+(?P<n>operator\s*[^\s(]+)\s*\([^;]*$", "method"), (rf"^\s*(?:static\s+)?(?:[\w<>?,]+\s+)?get\s+{NAME}\s*(?:=>|\{{|async)", "method"), (rf"^\s*(?:const\s+|factory\s+)?(?P<n>[A-Z]\w*(?:\.\w+)?)\s*\([^;]*\)\s*(?::|\{{|=>)", "constructor"), (TYPED, "function"))),
 }
 FALLBACK = ("indent", ((rf"^\s*(?:async\s+)?(?:function|def|fn|func|sub)\s+{NAME}", "function"),))
 TYPES = ("class", "interface", "trait", "enum")
 #: Words before a bracket that call nothing.
-NO_CALLS = frozenset("if for while switch catch return function def fn func sub elif else match when with sizeof typeof new in and or not await yield throw case do until unless loop".split())
+NO_CALLS = frozenset("if for while switch catch return function def fn func sub elif else match when with sizeof typeof new in and or not await yield throw case do until unless loop async".split())
 CALL = re.compile(r"(?<![\w$])((?:[A-Za-z_$][\w$]*\s*(?:\.|::|->)\s*)*[A-Za-z_$][\w$]*)\s*!?\(")
+#: A command of a shell: a word where a command can begin, that assigns nothing.
+COMMAND = re.compile(r"(?:^|[;&|]|\$\(|\b(?:if|while|until|then|do|else|elif|time|exec|sudo)\s)\s*([A-Za-z_][\w-]*)(?![\w-]*(?:=|\s*\(\)))")
+NO_COMMANDS = frozenset("if then else elif fi for while until do done case esac in function select time return local export declare readonly unset shift exit break continue set".split())
 STRINGS = re.compile(r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|`(?:\\.|[^`\\])*`', re.S)
 BLANKED = re.compile(r"[^\n]")
 
@@ -239,10 +260,12 @@ def scanned(text: str, language: str) -> tuple[list[Symbol], list[Call]]:
             heads.add((i + 1, name))
             break
     calls = []
+    if language == "shell":
+        return found, [Call(m[1], i + 1) for i, line in enumerate(lines) for m in COMMAND.finditer(line) if m[1] not in NO_COMMANDS and (i + 1, m[1]) not in heads]
     for i, line in enumerate(lines):
         for m in CALL.finditer(line):
             name = re.split(r"\.|::|->", m[1])[-1].strip()
-            if name not in NO_CALLS and (i + 1, name) not in heads:
+            if name not in NO_CALLS and (i + 1, name) not in heads and (name != "import" or language in JS):
                 calls.append(Call(name, i + 1))
     return found, calls
 

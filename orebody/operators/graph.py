@@ -6,18 +6,12 @@ each round's frontier is cut from its lineage by a checkpoint where a shared fol
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 10
-
+from orebody.sources.store import cut
 
-def cut(df: DataFrame) -> DataFrame:
-    """df without its lineage: a checkpoint in the session's shared folder, or cached where none is set."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return df.checkpoint()
-    return df.cache()
+MAX_DEPTH = 10
 
 
 def ends(edges: DataFrame) -> DataFrame:
@@ -153,24 +147,27 @@ def cyclic_edges(edges: DataFrame, max_length: int | None = None) -> DataFrame:
     return steps.select("source", F.element_at("nodes", (F.col("i") + 1) % F.col("length") + 1).alias("target")).distinct()
 
 
+def numbered(names: DataFrame, parts: int = 64) -> DataFrame:
+    """names (node) and n: its place in the order of nodes, from 0. Sorted ranges are numbered by themselves and moved up by the
+    sizes of those before them, so no task holds all nodes; the driver sees one number a range."""
+    # written once: ranges are drawn from a sample, so a second run of the plan could cut them elsewhere
+    ranges = cut(names.select("node").repartitionByRange(parts, "node").withColumn("_part", F.spark_partition_id()))
+    before, sizes = 0, []
+    for r in ranges.groupBy("_part").agg(F.count(F.lit(1)).alias("c")).orderBy("_part").collect():
+        sizes.append((r["_part"], before))
+        before += r.c
+    offsets = names.sparkSession.createDataFrame(sizes, "_part int, _before long")
+    own = F.row_number().over(Window.partitionBy("_part").orderBy("node")) - 1
+    return ranges.withColumn("_own", own).join(F.broadcast(offsets), "_part").select("node", (F.col("_own") + F.col("_before")).alias("n"))
+
+
 def mermaid_edges(edges: DataFrame, max_length: int | None = None) -> DataFrame:
     """Distinct edges with node numbers (n0 on, in order of the node) and whether they lie on a cycle, as a diagram's lines."""
     plain = edges.select("source", "target").distinct()
-    names = ends(plain).distinct()
-    # numbers over the sorted nodes: a range sort gives them without one task for all
-    numbered = names.withColumn("n", F.row_number().over(Window.orderBy("node")) - 1)
+    numbers = numbered(ends(plain).distinct())
     cyclic = cyclic_edges(plain, max_length).withColumn("cyclic", F.lit(True))
-    a = numbered.select(F.col("node").alias("source"), F.col("n").alias("sn"))
-    b = numbered.select(F.col("node").alias("target"), F.col("n").alias("tn"))
+    a = numbers.select(F.col("node").alias("source"), F.col("n").alias("sn"))
+    b = numbers.select(F.col("node").alias("target"), F.col("n").alias("tn"))
     rows = plain.join(a, "source").join(b, "target").join(cyclic, ["source", "target"], "left").withColumn("cyclic", F.coalesce("cyclic", F.lit(False)))
     line = F.when(F.col("cyclic"), F.format_string("n%d -.->|cycle| n%d", "sn", "tn")).otherwise(F.format_string("n%d --> n%d", "sn", "tn"))
     return rows.select("source", "target", "cyclic", line.alias("line"))
-
-
-def mermaid(edges: DataFrame, label: Column | None = None, max_edges: int = 2000) -> str:
-    """The diagram's text. A picture of more than max_edges edges is of no use, so it is refused."""
-    rows = mermaid_edges(edges).orderBy("source", "target").limit(max_edges + 1).collect()
-    if len(rows) > max_edges:
-        raise ValueError(f"more than {max_edges} edges; choose a neighbourhood first")
-    nodes = sorted({r.source for r in rows} | {r.target for r in rows})
-    return "\n".join(["graph LR", *(f'  n{i}["{n}"]' for i, n in enumerate(nodes)), *(f"  {r.line}" for r in rows)])

@@ -14,9 +14,9 @@ from orebody.operators.extract import COMPONENTS, JS, JVM, STYLES
 #: Extensions tried in order.
 EXTENSIONS = {**{x: (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".vue", ".svelte") for x in (*JS, *COMPONENTS)}, **{x: (".css", ".scss", ".sass", ".less", ".styl") for x in STYLES}, "python": (".py",), "ruby": (".rb",), "dart": (".dart",), "lua": (".lua",), "shell": (".sh", ".bash"), "swift": (".swift",), "php": (".php",)}
 #: Modules that come with a language, by their first name.
-PYTHON_LIBRARY = "os sys re json math datetime collections typing pathlib io functools itertools abc asyncio unittest logging argparse subprocess socket http urllib hashlib copy enum dataclasses contextlib textwrap string struct time threading multiprocessing xml csv sqlite3 pickle shelve tempfile shutil glob".split()
-LUA_LIBRARY = "string table math io os coroutine debug package utf8 bit32".split()
-APPLE_LIBRARY = "Foundation UIKit SwiftUI Combine CoreData CoreGraphics CoreLocation MapKit XCTest".split()
+PYTHON_LIBRARY = ("os", "sys", "re", "json", "math", "datetime", "collections", "typing", "pathlib", "io", "functools", "itertools", "abc", "asyncio", "unittest", "logging", "argparse", "subprocess", "socket", "http", "urllib", "hashlib", "copy", "enum", "dataclasses", "contextlib", "textwrap", "string", "struct", "time", "threading", "multiprocessing", "xml", "csv", "sqlite3", "pickle", "shelve", "tempfile", "shutil", "glob")
+LUA_LIBRARY = ("string", "table", "math", "io", "os", "coroutine", "debug", "package", "utf8", "bit32")
+APPLE_LIBRARY = ("Foundation", "UIKit", "SwiftUI", "Combine", "CoreData", "CoreGraphics", "CoreLocation", "MapKit", "XCTest")
 
 
 def first_hits(candidates: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:

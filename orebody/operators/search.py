@@ -1,7 +1,7 @@
 """Search: BM25, exact cosine neighbours and their fusion by reciprocal ranks.
 
-Queries are a few terms or vectors, so terms are counted inside each row and no postings shuffle; the corpus statistics
-are one small aggregate. `postings` builds the stored index for many queries.
+The engine keeps `postings` as a table sorted by term, so a query reads only the row groups of its terms (`bm25_stored`).
+Over texts without an index, `bm25` tokenises once: lengths and the query's term counts are kept, statistics come from those.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orebody.sources.store import cut
+
 TOKEN = r"[\p{L}\p{N}]+"
 K1, B = 1.2, 0.75
 
@@ -17,31 +19,46 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """id, term, tf, dl: the stored inverted index, to be written partitioned or bucketed by term."""
-    rows = docs.select(F.col(id_col).alias("id"), tokens(text).alias("t")).withColumn("dl", F.size("t"))
-    return rows.select("id", "dl", F.explode("t").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+def postings(docs: DataFrame, id_col: str, text: Column, *more: str) -> DataFrame:
+    """term, id, tf, dl and the columns of more: the inverted index, each file of it sorted by term. Terms are counted inside
+    their row, so only distinct ones leave it."""
+    rows = docs.select(F.col(id_col).alias("id"), *more, tokens(text).alias("t")).withColumn("dl", F.size("t"))
+    counted = rows.select("id", "dl", *more, F.explode("t").alias("term")).groupBy("id", "dl", *more, "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    return counted.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
 
 
-def bm25(docs: DataFrame, id_col: str, text: Column, terms: list[str], k1: float = K1, b: float = B, digits: int = 6) -> DataFrame:
-    """docs' columns and score, for rows with a term. One pass for the statistics, one for the scores; no shuffle of rows."""
-    terms = list(dict.fromkeys(t.lower() for t in terms))
-    counted = docs.withColumn("_t", tokens(text)).withColumn("_dl", F.size("_t").cast("double"))
-    counted = counted.withColumns({f"_tf{i}": count_of(t).cast("double") for i, t in enumerate(terms)}).drop("_t")
-    stats = counted.agg(F.count(F.lit(1)).cast("double").alias("_n"), F.avg("_dl").alias("_avg"), *(F.count(F.when(F.col(f"_tf{i}") > 0, 1)).cast("double").alias(f"_df{i}") for i in range(len(terms))))
-    joined = counted.join(F.broadcast(stats))  # one row
+def statistics(index: DataFrame) -> DataFrame:
+    """docs and tokens of the texts behind postings; texts without a token are not among them."""
+    return index.groupBy("id").agg(F.first("dl").alias("dl")).agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("tokens"))
+
 
-    def part(i: int) -> Column:
-        idf = F.log(1 + (F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5))
-        return idf * F.col(f"_tf{i}") * (k1 + 1) / (F.col(f"_tf{i}") + k1 * (1 - b + b * F.col("_dl") / F.col("_avg")))
+def weight(tf: Column, dl: Column, df: Column, n: Column, average: Column, k1: float = K1, b: float = B) -> Column:
+    """What one term adds to a text's score."""
+    return F.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / average))
 
-    hit = sum((F.col(f"_tf{i}") for i in range(len(terms))), F.lit(0.0)) > 0
-    score = sum((part(i) for i in range(len(terms))), F.lit(0.0))
-    return joined.where(hit).select(*docs.columns, F.round(score, digits).alias("score"))
+
+def bm25_stored(index: DataFrame, stats: DataFrame, terms: list[str], only: DataFrame | None = None, digits: int = 6) -> DataFrame:
+    """id and score from stored postings; statistics are those of all texts, though only (id) may narrow the result."""
+    terms = list(dict.fromkeys(t.lower() for t in terms))
+    hits = index.where(F.col("term").isin(*terms) if terms else F.lit(False)).select("term", "id", "tf", "dl")
+    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row a term
+    scored = hits if only is None else hits.join(only.select("id"), "id", "left_semi")
+    rows = scored.join(F.broadcast(df), "term").join(F.broadcast(stats))  # one row
+    part = weight(*(F.col(c).cast("double") for c in ("tf", "dl", "df", "docs")), F.col("tokens") / F.col("docs"))
+    return rows.groupBy("id").agg(F.round(F.sum(part), digits).alias("score"))
 
 
-def count_of(term: str) -> Column:
-    return F.size(F.filter("_t", lambda x: x == term))
+def bm25(docs: DataFrame, id_col: str, text: Column, terms: list[str], k1: float = K1, b: float = B, digits: int = 6) -> DataFrame:
+    """docs' columns but `text`, and score, for rows with a term. Texts are read and tokenised once, no row shuffles."""
+    terms = list(dict.fromkeys(t.lower() for t in terms))
+    tf = F.transform(F.array(*(F.lit(t) for t in terms)), lambda t: F.size(F.filter("_t", lambda x: x == t)).cast("double")) if terms else F.array().cast("array<double>")
+    # cut off here: the text is not kept, and neither the statistics nor the scores tokenise it again
+    counted = cut(docs.withColumn("_t", tokens(text)).select(*(c for c in docs.columns if c != "text"), F.size("_t").cast("double").alias("_dl"), tf.alias("_tf")))
+    stats = counted.agg(F.count(F.lit(1)).cast("double").alias("_n"), F.avg("_dl").alias("_avg"), *(F.count(F.when(F.col("_tf")[i] > 0, 1)).cast("double").alias(f"_df{i}") for i in range(len(terms))))
+    joined = counted.join(F.broadcast(stats))  # one row
+    score = sum((weight(F.col("_tf")[i], F.col("_dl"), F.col(f"_df{i}"), F.col("_n"), F.col("_avg"), k1, b) for i in range(len(terms))), F.lit(0.0))
+    kept = [c for c in counted.columns if c not in ("_dl", "_tf")]
+    return joined.where(F.exists("_tf", lambda x: x > 0)).select(*kept, F.round(score, digits).alias("score"))
 
 
 def norm(v: Column) -> Column:

@@ -33,7 +33,8 @@ def resolved(calls: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFram
     reachable = files.select("source", F.col("source").alias("target"), F.lit(1).alias("tier")).unionAll(first.select("source", "target", F.lit(2))).unionAll(second.select("source", "target", F.lit(3)))
     names = symbols.where(F.col("name") != MODULE).select(F.col("file").alias("target"), F.col("name").alias("callee_name"), F.col("id").alias("hit"))
     wanted = calls.select(F.col("caller_file").alias("source"), "callee_name").distinct()
-    hits = wanted.join(names, "callee_name").join(reachable, ["source", "target"])
+    # files first: a name that thousands of files define meets only the definitions in reach of its caller
+    hits = reachable.join(wanted, "source").join(names, ["target", "callee_name"])
     best = hits.groupBy("source", "callee_name", "tier").agg(F.array_sort(F.collect_set("hit")).alias("c")).groupBy("source", "callee_name").agg(F.min(F.struct("tier", "c")).alias("b"))
     found = calls.join(best.withColumnRenamed("source", "caller_file"), ["caller_file", "callee_name"], "left")
     n = F.size("b.c")
@@ -52,10 +53,21 @@ def symbol_graph_meta(symbols: DataFrame, call_edges: DataFrame) -> DataFrame:
 
 
 def name_index(symbols: DataFrame) -> DataFrame:
-    """name and how many symbols bear it in how many files; the refs themselves are the symbols table by name."""
+    """name and how many symbols bear it in how many files; the refs themselves are name_refs()."""
     return symbols.where(F.col("name") != MODULE).groupBy("name").agg(F.count(F.lit(1)).alias("refs"), F.countDistinct("file").alias("files"))
 
 
+def name_refs(symbols: DataFrame) -> DataFrame:
+    """name, file, id, kind, line of each definition, in files sorted by name: a lookup reads the row groups of its name."""
+    return symbols.where(F.col("name") != MODULE).select("name", "file", "id", "kind", "line").repartitionByRange("name", "id").sortWithinPartitions("name", "id")
+
+
+def file_languages(symbols: DataFrame) -> DataFrame:
+    """file and its language: that of its first symbol by line that is not the module; of a file without any, the module's."""
+    first = F.struct(F.col("name") == MODULE, "line", "id")
+    return symbols.groupBy("file").agg(F.min_by("language", first).alias("language"))
+
+
 def reverse_index(call_edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """Distinct callee_file and caller_file, own calls excluded."""
     owner = symbols.select(F.col("id").alias("hit"), F.col("file").alias("callee_file"))
@@ -68,9 +80,9 @@ def symbol_context(call_edges: DataFrame, symbols: DataFrame, name: str, file: s
     if file is not None:
         definitions = definitions.where(F.col("file") == file)
     d = definitions.select("id", F.col("file").alias("own"))
-    callers = call_edges.select("caller_id", "caller_file", "line", "confidence", F.explode("candidates").alias("id"), F.size("candidates").alias("candidates")).join(F.broadcast(d), "id")
+    callers = call_edges.select("caller_id", "caller_file", "line", "confidence", F.explode("candidates").alias("id"), F.size("candidates").alias("candidates")).join(d, "id")
     callers = callers if own_file else callers.where("caller_file <> own")
-    callees = call_edges.join(F.broadcast(d), F.col("caller_id") == F.col("id"))
+    callees = call_edges.join(d, F.col("caller_id") == F.col("id"))
     return callers.select(F.lit("caller").alias("role"), "id", F.col("caller_id").alias("other"), "line", "confidence", "candidates").unionAll(callees.select(F.lit("callee"), "id", "callee_name", "line", "confidence", F.size("candidates")))
 
 
@@ -84,9 +96,11 @@ def list_symbols(symbols: DataFrame, contains: str | None = None, file: str | No
 
 
 def symbol_lookup(symbols: DataFrame, query: str, limit: int = 50) -> DataFrame:
-    """Exact names before names that begin so before those that contain it; match is 0, 1 or 2."""
+    """Exact names before names that begin so, those that contain it and qualified names that do; match is 0 to 3."""
     low, q = F.lower("name"), F.lit(query.lower())
     match = F.when(low == q, 0).when(F.startswith(low, q), 1).when(F.contains(low, q), 2)
+    if "qualified_name" in symbols.columns:
+        match = match.when(F.contains(F.lower("qualified_name"), q), 3)
     return symbols.where(F.col("name") != MODULE).withColumn("match", match).where("match IS NOT NULL").orderBy("match", "name", "file", "line", "id").limit(limit)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orebody.operators import graph, resolve, symbols as sym
-from orebody.plans.relations import MEDIUM, RESOLVED, SPARSE, SYMBOLS, call_edges, calls, dependencies, edges_sql, part_edges, sites, symbols, table
+from orebody.plans.relations import DEPENDENCIES, RESOLVED, SYMBOLS, call_edges, calls, dependencies, edges_sql, part_edges, sites, symbols, table
 from orebody.plans.text_queries import Q as TEXT_Q  # noqa: F401
 
 Q: dict = {}
@@ -43,9 +43,9 @@ def nodes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(F.col("p_partkey").alias("node"))
 
 
-@query(f"WITH {edges_sql(SPARSE)}, n AS (SELECT count(*) AS files FROM part), e AS (SELECT count(*) AS edges FROM edges), o AS (SELECT count(*) AS orphans FROM part WHERE p_partkey NOT IN (SELECT source FROM edges UNION SELECT target FROM edges)) SELECT files, edges, CASE WHEN files = 0 THEN 0.0 ELSE round(edges / files, 6) END AS edges_per_file, orphans FROM n, e, o")
+@query(f"WITH {edges_sql()}, n AS (SELECT count(*) AS files FROM part), e AS (SELECT count(*) AS edges FROM edges), o AS (SELECT count(*) AS orphans FROM part WHERE p_partkey NOT IN (SELECT source FROM edges UNION SELECT target FROM edges)) SELECT files, edges, CASE WHEN files = 0 THEN 0.0 ELSE round(edges / files, 6) END AS edges_per_file, orphans FROM n, e, o")
 def graph_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.graph_stats(nodes(spark, sf), part_edges(spark, sf, SPARSE))
+    return graph.graph_stats(nodes(spark, sf), part_edges(spark, sf))
 
 
 @query(f"WITH {edges_sql()} SELECT node, count(*) AS degree FROM (SELECT source AS node FROM edges UNION ALL SELECT target FROM edges) GROUP BY node ORDER BY degree DESC, node LIMIT 10")
@@ -53,9 +53,13 @@ def most_connected(spark: SparkSession, sf: str) -> DataFrame:
     return graph.most_connected(part_edges(spark, sf))
 
 
-@query(f"WITH {edges_sql(SPARSE)} SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT source FROM edges UNION SELECT target FROM edges)")
+@query("SELECT doc_id AS node FROM documents QUALIFY count(*) OVER (PARTITION BY text) = 1")
 def orphans(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.orphans(nodes(spark, sf), part_edges(spark, sf, SPARSE))
+    """Documents without a copy, in the graph that joins each copy to the first."""
+    docs = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    first = docs.groupBy("h").agg(F.min("doc_id").alias("target"))
+    edges = docs.join(first, "h").where("doc_id <> target").select(F.col("doc_id").alias("source"), "target")
+    return graph.orphans(docs.select(F.col("doc_id").alias("node")), edges)
 
 
 def hops_sql(pairs: str) -> str:
@@ -64,36 +68,55 @@ s2 AS (SELECT DISTINCT d.t AS node FROM d JOIN s1 ON d.a = s1.node WHERE d.t NOT
 s3 AS (SELECT DISTINCT d.t AS node FROM d JOIN s2 ON d.a = s2.node WHERE d.t NOT IN (SELECT node FROM s0 UNION SELECT node FROM s1 UNION SELECT node FROM s2))"""
 
 
-@query(f"WITH {edges_sql(MEDIUM)}, {hops_sql('SELECT DISTINCT target AS a, source AS t FROM edges')} SELECT node, 1 AS hop FROM s1 UNION ALL SELECT node, 2 FROM s2 UNION ALL SELECT node, 3 FROM s3")
+@query(f"WITH {edges_sql()}, {hops_sql('SELECT DISTINCT target AS a, source AS t FROM edges')} SELECT node, 1 AS hop FROM s1 UNION ALL SELECT node, 2 FROM s2 UNION ALL SELECT node, 3 FROM s3")
 def impact_bfs(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.reach(part_edges(spark, sf, MEDIUM), spark.range(1, 2).select(F.col("id").alias("node")), 3)
+    return graph.reach(part_edges(spark, sf), spark.range(1, 2).select(F.col("id").alias("node")), 3)
 
 
-@query(f"WITH {edges_sql(MEDIUM)}, {hops_sql('SELECT source AS a, target AS t FROM edges UNION SELECT target, source FROM edges')} SELECT node, 1 AS hop FROM s1 UNION ALL SELECT node, 2 FROM s2")
+@query(f"WITH {edges_sql()}, {hops_sql('SELECT source AS a, target AS t FROM edges UNION SELECT target, source FROM edges')} SELECT node, 1 AS hop FROM s1 UNION ALL SELECT node, 2 FROM s2")
 def neighbourhood(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.reach(part_edges(spark, sf, MEDIUM), spark.range(1, 2).select(F.col("id").alias("node")), 2, "both")
+    return graph.reach(part_edges(spark, sf), spark.range(1, 2).select(F.col("id").alias("node")), 2, "both")
 
 
-CYCLES = f"""WITH RECURSIVE {edges_sql(SPARSE)}, e AS (SELECT DISTINCT source, target FROM edges), p AS (SELECT source AS first, target AS last, [source, target] AS nodes FROM e WHERE source < target
+# Cycles are looked for among the documents' dependencies: two edges a document, so that simple cycles can be listed.
+CYCLES = f"""WITH RECURSIVE {DEPENDENCIES}, e AS (SELECT DISTINCT source, target FROM deps), p AS (SELECT source AS first, target AS last, [source, target] AS nodes FROM e WHERE source < target
 UNION ALL SELECT p.first, e.target, list_append(p.nodes, e.target) FROM p JOIN e ON p.last = e.source WHERE e.target > p.first AND NOT list_contains(p.nodes, e.target) AND len(p.nodes) < 6),
-c AS (SELECT [source] AS nodes FROM e WHERE source = target UNION ALL SELECT p.nodes FROM p JOIN e ON p.last = e.source AND p.first = e.target),
-k AS (SELECT DISTINCT nodes[i] AS source, nodes[i % len(nodes) + 1] AS target FROM (SELECT nodes, unnest(range(1, len(nodes) + 1)) AS i FROM c))"""
+c AS (SELECT [source] AS nodes FROM e WHERE source = target UNION ALL SELECT p.nodes FROM p JOIN e ON p.last = e.source AND p.first = e.target)"""
+#: Edges whose target reaches their source again, over cycles of any length.
+REACH = f"WITH RECURSIVE {DEPENDENCIES}, e AS (SELECT DISTINCT source, target FROM deps), r AS (SELECT source, target FROM e UNION SELECT r.source, e.target FROM r JOIN e ON r.target = e.source), k AS (SELECT source, target FROM e WHERE EXISTS (SELECT 1 FROM r WHERE r.source = e.target AND r.target = e.source))"
 
 
 @query(f"{CYCLES} SELECT array_to_string(nodes, '>') AS nodes, CAST(len(nodes) AS INTEGER) AS length FROM c")
 def cycles(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.cycles(part_edges(spark, sf, SPARSE), 6).select(F.array_join(F.col("nodes").cast("array<string>"), ">").alias("nodes"), "length")
+    return graph.cycles(dependencies(spark, sf), 6).select(F.array_join("nodes", ">").alias("nodes"), "length")
 
 
-@query(f"{CYCLES} SELECT source, target FROM k")
+@query(f"{REACH} SELECT source, target FROM k")
 def cyclic_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.cyclic_edges(part_edges(spark, sf, SPARSE), 6)
+    return graph.cyclic_edges(dependencies(spark, sf))
 
 
-@query(f"""{CYCLES}, n AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS n FROM (SELECT source AS node FROM e UNION SELECT target FROM e))
+@query(f"""{REACH}, n AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS n FROM (SELECT source AS node FROM e UNION SELECT target FROM e))
 SELECT e.source, e.target, k.source IS NOT NULL AS cyclic, 'n' || a.n || CASE WHEN k.source IS NOT NULL THEN ' -.->|cycle| n' ELSE ' --> n' END || b.n AS line FROM e JOIN n a ON a.node = e.source JOIN n b ON b.node = e.target LEFT JOIN k ON k.source = e.source AND k.target = e.target""")
 def mermaid_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.mermaid_edges(part_edges(spark, sf, SPARSE), 6)
+    return graph.mermaid_edges(dependencies(spark, sf))
+
+
+@query("""WITH f AS (SELECT doc_id, 'd' || doc_id || CASE lang WHEN 'en' THEN '.py' WHEN 'fr' THEN '.ts' ELSE '.txt' END AS node FROM documents), n AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS n, CASE WHEN node LIKE '%.py' THEN 'python' WHEN node LIKE '%.ts' THEN 'typescript' ELSE 'plaintext' END AS language,
+CASE WHEN node LIKE '%.py' THEN '#3776AB' WHEN node LIKE '%.ts' THEN '#3178C6' ELSE '#607D8B' END AS colour FROM f), e AS (SELECT x.node AS source, y.node AS target, x.doc_id % 3 = 0 AS dynamic, x.doc_id // 10 = y.doc_id // 10 AS cyclic FROM f x JOIN f y ON y.doc_id = x.doc_id // 10 * 10 + (x.doc_id + 1) % 10 UNION SELECT x.node, y.node, true, false FROM f x JOIN f y ON y.doc_id = x.doc_id + 10 WHERE x.doc_id % 20 = 0)
+SELECT 'node' AS part, '    n' || n || '["' || node || '"]' AS line FROM n UNION ALL SELECT 'style', '    style n' || n || ' fill:' || colour || ',color:#fff,stroke:' || colour FROM n
+UNION ALL SELECT 'edge', '    n' || a.n || CASE WHEN cyclic THEN ' -.->|cycle| n' WHEN dynamic THEN ' -.-> n' ELSE ' --> n' END || b.n FROM e JOIN n a ON a.node = e.source JOIN n b ON b.node = e.target
+UNION ALL SELECT DISTINCT 'legend', '    legend_' || language || '["' || language || '"]' || chr(10) || '    style legend_' || language || ' fill:' || colour || ',color:#fff,stroke:' || colour FROM n WHERE language <> 'plaintext'""")
+def diagram_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents in rings of ten, one imported dynamically in three, and every other ring leads to the next."""
+    from orebody.operators.render import diagram_lines as lines
+
+    name = lambda n: F.concat(F.lit("d"), n, F.when(F.col("lang") == "en", ".py").when(F.col("lang") == "fr", ".ts").otherwise(".txt"))
+    f = table(spark, sf, "documents").select("doc_id", name(F.col("doc_id")).alias("node"))
+    ring = f.withColumn("to", F.floor(F.col("doc_id") / 10) * 10 + (F.col("doc_id") + 1) % 10).withColumn("type", F.when(F.col("doc_id") % 3 == 0, "dynamic-import").otherwise("import"))
+    row = f.where("doc_id % 20 = 0").withColumn("to", F.col("doc_id") + 10).withColumn("type", F.lit("dynamic-import"))
+    edges = ring.unionByName(row).join(f.select(F.col("doc_id").alias("to"), F.col("node").alias("target")), "to").select(F.col("node").alias("source"), "target", "type")
+    return lines(edges, f).select("part", "line")
 
 
 @query(f"WITH {SYMBOLS} SELECT file, site, line, caller_id FROM owned")
@@ -147,11 +170,13 @@ def symbols_by_file(spark: SparkSession, sf: str) -> DataFrame:
     return sym.symbols_by_file(symbols(spark, sf)).select("file", "n", F.array_join("names", " ").alias("names"))
 
 
-@query(f"""WITH {RESOLVED}, d AS (SELECT DISTINCT caller_id AS a, id AS t FROM links), s0 AS (SELECT DISTINCT caller_id AS node FROM calls WHERE caller_file LIKE 'd1%'), s1 AS (SELECT DISTINCT d.t AS node FROM d JOIN s0 ON d.a = s0.node WHERE d.t NOT IN (SELECT node FROM s0)),
-s2 AS (SELECT DISTINCT d.t AS node FROM d JOIN s1 ON d.a = s1.node WHERE d.t NOT IN (SELECT node FROM s0 UNION SELECT node FROM s1)) SELECT node, 1 AS hop FROM s1 UNION ALL SELECT node, 2 FROM s2""")
+HOPS = ", ".join(f"s{i} AS (SELECT DISTINCT d.t AS node FROM d JOIN s{i - 1} ON d.a = s{i - 1}.node WHERE d.t NOT IN ({' UNION '.join(f'SELECT node FROM s{j}' for j in range(i))}))" for i in range(1, 6))
+
+
+@query(f"""WITH {RESOLVED}, d AS (SELECT DISTINCT caller_id AS a, id AS t FROM links), s0 AS (SELECT DISTINCT id AS node FROM symbols WHERE name = 'the'), {HOPS} {" UNION ALL ".join(f"SELECT node, {i} AS hop FROM s{i}" for i in range(1, 6))}""")
 def call_flow(spark: SparkSession, sf: str) -> DataFrame:
-    seeds = calls(spark, sf).where("caller_file LIKE 'd1%'").select(F.col("caller_id").alias("node")).distinct()
-    return sym.flow(call_edges(spark, sf), seeds, 2)
+    """What all symbols of one name call, over five hops."""
+    return sym.flow(call_edges(spark, sf), symbols(spark, sf).where("name = 'the'").select(F.col("id").alias("node")), 5)
 
 
 @query(f"""WITH {SYMBOLS}, roots AS (SELECT DISTINCT file FROM symbols WHERE file IN (SELECT caller_file FROM calls) AND file NOT IN (SELECT target FROM deps)),
@@ -163,32 +188,21 @@ def entry_points(spark: SparkSession, sf: str) -> DataFrame:
     return sym.entry_points(symbols(spark, sf), calls(spark, sf), dependencies(spark, sf))
 
 
-# The operators over the whole edge table. They have no SQL; tests hold them against brute force.
-@query(None)
-def graph_stats_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.graph_stats(nodes(spark, sf), part_edges(spark, sf), cyclic=True)
-
-
-@query(None)
-def orphans_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.orphans(nodes(spark, sf), part_edges(spark, sf))
-
-
-@query(None)
-def impact_bfs_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.reach(part_edges(spark, sf), spark.range(1, 2).select(F.col("id").alias("node")), 3)
-
-
-@query(None)
-def neighbourhood_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.reach(part_edges(spark, sf), spark.range(1, 2).select(F.col("id").alias("node")), 2, "both")
-
+@query(f"WITH {SYMBOLS} SELECT name, file, id, kind, line FROM (SELECT *, 'function' AS kind FROM symbols)")
+def name_refs(spark: SparkSession, sf: str) -> DataFrame:
+    return sym.name_refs(symbols(spark, sf))
 
-@query(None)
-def cyclic_edges_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.cyclic_edges(part_edges(spark, sf))
 
+@query(f"""WITH {RESOLVED} SELECT call_id, caller_id, callee_name, CAST(n AS INTEGER) AS n, confidence FROM resolved""")
+def patched_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls resolved before a change of every seventh file, then brought up to date: the same as resolving all anew."""
+    from orebody.sources.store import cut
 
-@query(None)
-def mermaid_edges_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.mermaid_edges(part_edges(spark, sf))
+    now_calls, now_symbols, now_edges = cut(calls(spark, sf)), cut(symbols(spark, sf)), cut(dependencies(spark, sf))
+    changed = now_symbols.select("file").unionByName(now_calls.select(F.col("caller_file").alias("file"))).distinct().where(F.pmod(F.crc32("file"), F.lit(7)) == 0)
+    moved = now_symbols.join(changed, "file", "left_semi")
+    old_symbols = now_symbols.join(changed, "file", "left_anti").unionByName(moved.where("line % 2 = 1").withColumn("name", F.concat("name", F.lit("x"))))
+    old = cut(sym.resolved(now_calls.join(changed.withColumnRenamed("file", "caller_file"), "caller_file", "left_anti"), old_symbols, now_edges))
+    names = moved.select("name").unionByName(moved.select(F.concat("name", F.lit("x")).alias("name"))).distinct().withColumnRenamed("name", "callee_name")
+    rows = sym.patched_calls(old, now_calls, now_symbols, now_edges, changed, names)
+    return rows.select("call_id", "caller_id", "callee_name", F.size("candidates").alias("n"), "confidence")

@@ -37,19 +37,16 @@ old AS (SELECT path, substr(sha256(CASE WHEN doc_id % 7 = 0 THEN content || 'x'
 )
 
 
-def part_edges(spark: SparkSession, sf: str, where: str = "true") -> DataFrame:
+def part_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Successive parts inside an order, as a bag of edges."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_discount").withColumn("target", F.lead("l_partkey").over(w))
-    return rows.where(F.col("target").isNotNull()).where(where).select(F.col("l_partkey").alias("source"), "target")
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").withColumn("target", F.lead("l_partkey").over(w))
+    return rows.where(F.col("target").isNotNull()).select(F.col("l_partkey").alias("source"), "target")
 
 
-def edges_sql(where: str = "true") -> str:
-    return f"""bag AS (SELECT l_partkey AS source, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS target, l_linenumber, l_discount FROM lineitem),
-edges AS (SELECT source, target FROM bag WHERE target IS NOT NULL AND {where})"""
-
-
-MEDIUM, SPARSE = "l_linenumber <= 2", "l_discount >= 0.095"
+def edges_sql() -> str:
+    return """bag AS (SELECT l_partkey AS source, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS target FROM lineitem),
+edges AS (SELECT source, target FROM bag WHERE target IS NOT NULL)"""
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,13 +95,16 @@ def call_edges(spark: SparkSession, sf: str) -> DataFrame:
     return resolved(calls(spark, sf), symbols(spark, sf), dependencies(spark, sf))
 
 
+DEPENDENCIES = "deps AS (SELECT DISTINCT 'd' || a AS source, 'd' || b AS target FROM (SELECT doc_id AS a, doc_id + 1 AS b FROM documents WHERE doc_id + 1 < (SELECT count(*) FROM documents) UNION ALL SELECT doc_id, doc_id * 7 % (SELECT count(*) FROM documents) FROM documents) WHERE a <> b)"
+
 SYMBOLS = (
     LINES
     + """, symbols AS (SELECT file || '::' || first || '#' || line AS id, first AS name, file, line, line + 2 AS end_line, CASE lang WHEN 'en' THEN 'python' WHEN 'fr' THEN 'typescript' WHEN 'de' THEN 'java' ELSE 'plaintext' END AS language FROM lines WHERE (line - 1) % 3 = 0 AND first <> ''),
 sites AS (SELECT file, line, file || ':' || line AS site, last AS callee_name FROM lines WHERE last <> ''),
 owned AS (SELECT s.site, s.file, s.line, coalesce(arg_max(y.id, y.line), s.file || '::<module>#1') AS caller_id FROM sites s LEFT JOIN symbols y ON y.file = s.file AND s.line BETWEEN y.line AND y.end_line GROUP BY s.site, s.file, s.line),
 calls AS (SELECT s.site AS call_id, o.caller_id, s.file AS caller_file, s.callee_name, s.line FROM sites s JOIN owned o USING (site)),
-deps AS (SELECT DISTINCT 'd' || a AS source, 'd' || b AS target FROM (SELECT doc_id AS a, doc_id + 1 AS b FROM documents WHERE doc_id + 1 < (SELECT count(*) FROM documents) UNION ALL SELECT doc_id, doc_id * 7 % (SELECT count(*) FROM documents) FROM documents) WHERE a <> b)"""
+"""
+    + DEPENDENCIES
 )
 RESOLVED = (
     SYMBOLS

@@ -49,7 +49,7 @@ def graph_files(spark: SparkSession, sf: str) -> DataFrame:
     return tree(spark, sf).where((F.col("length") <= 5000) & S.is_graphable(p) & ~is_ignored(p, rules())).select("path", S.language(p).alias("language"))
 
 
-@query(f"WITH {TREE} SELECT path, (doc_id % 7 IN (1, 2, 4, 6) OR doc_id % 10 IN (4, 5)) AND NOT (doc_id % 10 = 5 AND path LIKE '%f5%') OR doc_id % 10 = 6 AND path LIKE 'src1/%' AS ignored FROM tree")
+@query(f"WITH {TREE} SELECT path, doc_id % 7 IN (1, 2, 4, 6) OR doc_id % 10 = 4 OR doc_id % 10 = 5 AND path NOT LIKE '%f5%' OR doc_id % 10 = 6 AND path LIKE 'src1/%' AS ignored FROM tree")
 def ignore_filter(spark: SparkSession, sf: str) -> DataFrame:
     own = rules(root=["/src1/**/*.bin", "!f5*.log"])
     return tree(spark, sf).select("path", is_ignored(F.col("path"), own).alias("ignored"))

@@ -159,9 +159,10 @@ def artifact_concat(spark: SparkSession, sf: str) -> DataFrame:
 past AS (SELECT artifact, substr(sha256(CASE WHEN artifact IN ('src2', 'src5') THEN content || 'x' ELSE content END), 1, 16) AS h FROM a WHERE artifact <> 'src4')
 SELECT artifact, CASE WHEN p.h IS NULL THEN 'new' WHEN n.h IS NULL THEN 'removed' WHEN n.h = p.h THEN 'fresh' ELSE 'stale' END AS status FROM now n FULL JOIN past p USING (artifact)""")
 def artifact_staleness(spark: SparkSession, sf: str) -> DataFrame:
-    now = artifacts.concatenated(files(spark, sf))
+    f = files(spark, sf)
+    now = artifacts.fingerprints(f)
     changed = F.when(F.col("artifact").isin("src2", "src5"), F.concat("content", F.lit("x"))).otherwise(F.col("content"))
-    then = now.where("artifact <> 'src4'").select("artifact", S.content_hash(changed).alias("content_hash"))
+    then = artifacts.fingerprints(f.where("artifact <> 'src4'").withColumn("content", changed))
     return artifacts.staleness(now.where("artifact <> 'src1'"), then)
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orebody.functions.scalars import content_hash, is_graphable, is_indexable, language
-from orebody.sources.ignore import is_ignored, rules
+from orebody.sources.ignore import is_ignored, prunable, rules
+from orebody.sources.store import cut
 
 MAX_INDEXED, MAX_GRAPHED = 5_000_000, 1_000_000
 
@@ -24,12 +25,28 @@ def opened(root: str):
     return fs.LocalFileSystem(), os.path.abspath(root)
 
 
-def listing(spark: SparkSession, root: str, max_bytes: int | None = None, prune: tuple[str, ...] = ()) -> DataFrame:
-    """relative_path, length, modified and raw bytes of all files below root of at most max_bytes.
+def reader(root: str) -> Callable[[str], str | None]:
+    """Gives the text of a file below root, or None; for small configuration files, read by the driver."""
+    from pyarrow.fs import FileType
 
-    Spark's own file source leaves out names that begin with `_` or `.` and files of no bytes, which source trees have. So the
-    driver lists the top folder only, tasks walk its folders (those named in prune are not entered), and the files found
-    are dealt out anew and read in tasks.
+    files, base = opened(root)
+
+    def read(name: str) -> str | None:
+        path = f"{base.rstrip('/')}/{name}"
+        if files.get_file_info(path).type != FileType.File:
+            return None
+        with files.open_input_stream(path) as stream:
+            return stream.read().decode("utf-8", "replace")
+
+    return read
+
+
+def walked(spark: SparkSession, root: str, prune: tuple[str, ...] = (), most_listed: int = 1000) -> DataFrame:
+    """relative_path, length and modified of all files below root, or of root itself if it is a file.
+
+    Spark's own file source leaves out names that begin with `_` or `.` and files of no bytes, which source trees have. So
+    the driver looks at folder names, level by level, until there are some for every task; tasks list what is in those
+    folders and walk all below the last level. Folders named in prune are not entered.
     """
     import pyarrow as pa
     from pyarrow.fs import FileSelector, FileType
@@ -37,63 +54,95 @@ def listing(spark: SparkSession, root: str, max_bytes: int | None = None, prune:
     files, base = opened(root)
     base = base.rstrip("/")
     names = ["relative_path", "length", "modified"]
+    if files.get_file_info(base).type == FileType.File:
+        info = files.get_file_info(base)
+        return spark.createDataFrame([(base.rsplit("/", 1)[-1], info.size, info.mtime)], "relative_path string, length long, modified timestamp")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, top = opened(root)
         top = top.rstrip("/")
-        todo = [(p, d) for b in batches for p, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-        folders = [p for p, is_folder in todo if is_folder]
-        found = where.get_file_info([p for p, is_folder in todo if not is_folder])
-        while True:
-            rows = [(f.path[len(top) + 1 :], f.size, f.mtime) for f in found if f.type == FileType.File]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.timestamp("us", "UTC"))], names)
-            if not folders:
-                return
-            found = where.get_file_info(FileSelector(folders.pop()))
-            folders += [f.path for f in found if f.type == FileType.Directory and f.base_name not in prune]
+        for b in batches:
+            for folder, deep in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                folders = [folder]
+                while folders:
+                    found = where.get_file_info(FileSelector(folders.pop()))
+                    rows = [(f.path[len(top) + 1 :], f.size, f.mtime) for f in found if f.type == FileType.File]
+                    if deep:
+                        folders += [f.path for f in found if f.type == FileType.Directory and f.base_name not in prune]
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.timestamp("us", "UTC"))], names)
+
+    width = 4 * spark.sparkContext.defaultParallelism
+    level, above = [base], []
+    while level and len(level) < width and len(above) + len(level) <= most_listed:
+        above += level
+        level = [f.path for folder in level for f in files.get_file_info(FileSelector(folder)) if f.type == FileType.Directory and f.base_name not in prune]
+    tasks = [(p, False) for p in above] + [(p, True) for p in level]
+    return spark.createDataFrame(tasks, "path string, deep boolean").repartition(min(len(tasks), width), "path").mapInArrow(walk, "relative_path string, length long, modified timestamp")
+
+
+def contents(root: str, rows: DataFrame) -> DataFrame:
+    """rows (relative_path, length, modified) with the raw bytes of each file; the files are dealt out anew."""
+    import pyarrow as pa
+    from pyarrow.fs import FileType
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, top = opened(root)
+        top = top.rstrip("/")
+        if where.get_file_info(top).type == FileType.File:
+            top = top.rsplit("/", 1)[0]
         for b in batches:
             for i, path in enumerate(b.column(0).to_pylist()):
-                with where.open_input_stream(f"{top.rstrip('/')}/{path}") as stream:
-                    yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in b.columns), pa.array([stream.read()], pa.binary())], [*names, "content"])
+                if where.get_file_info(f"{top}/{path}").type != FileType.File:
+                    continue  # it went after it was listed
+                with where.open_input_stream(f"{top}/{path}") as stream:
+                    yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in b.columns), pa.array([stream.read()], pa.binary())], ["relative_path", "length", "modified", "content"])
+
+    return rows.select("relative_path", "length", "modified").repartition("relative_path").mapInArrow(read, "relative_path string, length long, modified timestamp, content binary")
 
-    top = [(f.path, f.type == FileType.Directory) for f in files.get_file_info(FileSelector(base)) if f.base_name not in prune]
-    width = spark.sparkContext.defaultParallelism
-    found = spark.createDataFrame(top, "path string, folder boolean").repartition(max(1, min(len(top), 4 * width)), "path").mapInArrow(walk, "relative_path string, length long, modified timestamp")
-    if max_bytes is not None:
-        found = found.where(F.col("length") <= max_bytes)
-    return found.repartition("relative_path").mapInArrow(read, "relative_path string, length long, modified timestamp, content binary")
 
+def tree_rules(root: str, listed: DataFrame | None = None, use_gitignore: bool = True, own_file: str = ".orebodyignore") -> list[str]:
+    """All ignore patterns of a tree: defaults, its .gitignore, those of its folders (found among listed), its own file."""
+    read = reader(root)
+    lines = lambda name: (read(name) or "").splitlines()
+    below = {}
+    if use_gitignore and listed is not None:
+        for r in listed.where(F.col("relative_path").endswith("/.gitignore") & ~is_ignored(F.col("relative_path"), rules(lines(".gitignore")))).select("relative_path").collect():
+            below[r.relative_path.rsplit("/", 1)[0]] = lines(r.relative_path)
+    return rules(lines(".gitignore"), below, lines(own_file), use_gitignore)
 
-def prunable(patterns: list[str]) -> tuple[str, ...]:
-    """Patterns that are plain folder names; such folders need not be entered, unless a rule takes something back."""
-    if any(p.startswith("!") for p in patterns):
-        return ()
-    return tuple(p for p in patterns if not set(p) & set("*?[/\\#"))
+
+def listed_files(spark: SparkSession, root: str, keep: Column, patterns: list[str] | None, max_bytes: int, use_gitignore: bool = True) -> DataFrame:
+    """Files that keep wants and no ignore rule hides. Rules are read from the tree unless patterns gives them."""
+    if patterns is not None:
+        rows = walked(spark, root, prunable(patterns))
+    else:
+        top = (reader(root)(".gitignore") or "").splitlines() if use_gitignore else []
+        rows = cut(walked(spark, root, prunable(rules(top))))
+        patterns = tree_rules(root, rows, use_gitignore)
+    return rows.where((F.col("length") <= max_bytes) & keep & ~is_ignored(F.col("relative_path"), patterns))
 
 
 def has_dot_part(path):
     return path.rlike(r"(^|/)\.[^/]")
 
 
-def indexable_files(spark: SparkSession, root: str, extra: list[str] = (), patterns: list[str] | None = None, dot_files: bool = False, max_bytes: int = MAX_INDEXED) -> DataFrame:
-    """Files to index: relative_path, length, content (text), content_hash, language."""
-    patterns = rules() if patterns is None else patterns
-    rows = listing(spark, root, max_bytes, prunable(patterns))
-    keep = is_indexable(F.col("relative_path"), extra) & ~is_ignored(F.col("relative_path"), patterns)
+def indexable_paths(spark: SparkSession, root: str, extra: list[str] = (), patterns: list[str] | None = None, dot_files: bool = False, max_bytes: int = MAX_INDEXED, use_gitignore: bool = True) -> DataFrame:
+    """Files to index: relative_path, length, modified."""
+    keep = is_indexable(F.col("relative_path"), extra)
     if not dot_files:
         keep &= ~has_dot_part(F.col("relative_path"))
-    return described(rows.where(keep))
+    return listed_files(spark, root, keep, patterns, max_bytes, use_gitignore)
+
+
+def indexable_files(spark: SparkSession, root: str, **how) -> DataFrame:
+    """Files to index: relative_path, length, content (text), content_hash, language."""
+    return described(contents(root, indexable_paths(spark, root, **how)))
 
 
-def graphable_files(spark: SparkSession, root: str, extra: list[str] = (), patterns: list[str] | None = None, max_bytes: int = MAX_GRAPHED) -> DataFrame:
+def graphable_files(spark: SparkSession, root: str, extra: list[str] = (), patterns: list[str] | None = None, max_bytes: int = MAX_GRAPHED, use_gitignore: bool = True) -> DataFrame:
     """Files of the graph; files whose name begins with a dot are included."""
-    patterns = rules() if patterns is None else patterns
-    rows = listing(spark, root, max_bytes, prunable(patterns))
-    return described(rows.where(is_graphable(F.col("relative_path"), extra) & ~is_ignored(F.col("relative_path"), patterns)))
+    return described(contents(root, listed_files(spark, root, is_graphable(F.col("relative_path"), extra), patterns, max_bytes, use_gitignore)))
 
 
 def described(rows: DataFrame) -> DataFrame:
@@ -132,6 +181,6 @@ def class_suffixes(files: DataFrame) -> DataFrame:
 
 def artifact_files(spark: SparkSession, name: str, path: str) -> DataFrame:
     """artifact, path, content of a file or folder, without dot files and package folders."""
-    rows = listing(spark, path)
-    rows = rows.where(~has_dot_part(F.col("relative_path")) & ~F.col("relative_path").rlike("(^|/)node_modules/"))
+    rows = walked(spark, path, ("node_modules", ".git"))
+    rows = contents(path, rows.where(~has_dot_part(F.col("relative_path"))))
     return rows.select(F.lit(name).alias("artifact"), F.col("relative_path").alias("path"), F.col("content").cast("string").alias("content"))

@@ -18,7 +18,7 @@ DEFAULT = (
 
 
 def regex_of(pattern: str) -> tuple[bool, str] | None:
-    """(whether it ignores, regular expression over a path of forward slashes), or None for blanks and comments."""
+    """(whether it ignores, regular expression over a path; a folder's ends with a slash), or None for blanks and comments."""
     p = pattern.rstrip("\n\r")
     p = p.rstrip() if not p.endswith("\\ ") else p
     if not p or p.startswith("#"):
@@ -48,8 +48,7 @@ def regex_of(pattern: str) -> tuple[bool, str] | None:
             out, i = out + re.escape(p[i + 1]), i + 2
         else:
             out, i = out + re.escape(c), i + 1
-    # a match names a file, or a folder and so all below it
-    return ignores, ("^" if anchored else "^(?:.*/)?") + out + ("/.+$" if only_dir else "(?:/.+)?$")
+    return ignores, ("^" if anchored else "^(?:.*/)?") + out + ("/$" if only_dir else "/?$")
 
 
 def nested(patterns: list[str], folder: str) -> list[str]:
@@ -68,8 +67,8 @@ def rules(root: list[str] = (), below: dict[str, list[str]] | None = None, proje
     return [*DEFAULT, *git, *project]
 
 
-def is_ignored(path: Column, patterns: list[str]) -> Column:
-    """Whether the last pattern that matches the path ignores it. Successive rules of one kind are one expression."""
+def last_match(path: Column, patterns: list[str]) -> Column:
+    """Whether the last pattern that matches ignores. Successive rules of one kind are one expression."""
     groups: list[tuple[bool, list[str]]] = []
     for found in filter(None, map(regex_of, patterns)):
         if groups and groups[-1][0] == found[0]:
@@ -80,3 +79,17 @@ def is_ignored(path: Column, patterns: list[str]) -> Column:
     for ignores, regexes in groups:
         result = F.when(path.rlike("|".join(f"(?:{r})" for r in regexes)), F.lit(ignores)).otherwise(result)
     return result
+
+
+def is_ignored(path: Column, patterns: list[str]) -> Column:
+    """Whether the patterns ignore the path or a folder above it; what lies in an ignored folder cannot be taken back."""
+    parts = F.split(path, "/")
+    folders = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.when(i == F.size(parts), path).otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/"))))
+    return F.exists(folders, lambda p: last_match(p, patterns))
+
+
+def prunable(patterns: list[str]) -> tuple[str, ...]:
+    """Patterns that are plain names, so that folders of that name need not be entered, unless a rule takes the folder back."""
+    back = [p[1:].rstrip("/").rsplit("/", 1)[-1] for p in patterns if p.startswith("!")]
+    taken = [re.compile(regex_of(x)[1]) for x in back if x]
+    return tuple(p for p in patterns if not set(p) & set("*?[/\\#!") and not any(t.match(p) for t in taken))

@@ -1,13 +1,34 @@
-"""Stored tables: keyed upserts and deletes by dynamic partition overwrite, and a versioned file state."""
+"""Stored tables: one parquet folder a project, replaced as a whole or by keyed upserts and deletes, and a versioned state."""
 
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Columns of the engine's tables beside project_id.
+TABLES = {
+    "file_state": "path string, content_hash string, language string",
+    "chunks": "path string, start_line int, end_line int, chunk string, id string, language string, content_hash string, text string, embedding array<float>, type string",
+    "postings": "term string, id string, path string, tf int, dl int",
+    "search_stats": "docs long, tokens long",
+    "name_refs": "name string, file string, id string, kind string, line int",
+    "progress": "phase string, batch int, batches int, files long, status string, at timestamp",
+    "graph_files": "path string, language string, content string, content_hash string",
+    "imports": "path string, language string, ord int, specifier string, dynamic boolean, style boolean",
+    "edges": "source string, target string, type string",
+    "symbols": "id string, name string, qualified_name string, kind string, file string, line int, end_line int, language string",
+    "calls": "call_id string, caller_id string, caller_file string, callee_name string, line int",
+    "call_edges": "call_id string, caller_id string, caller_file string, callee_name string, line int, candidates array<string>, confidence string",
+    "artifact_chunks": "artifact string, path string, start_line int, end_line int, chunk string, id string, text string, embedding array<float>",
+    "artifact_postings": "term string, id string, artifact string, tf int, dl int",
+    "artifact_search_stats": "docs long, tokens long",
+    "artifact_state": "artifact string, path string, description string, content_hash string",
+}
+
 
 def with_retries(action, attempts: int = 3, first_wait: float = 0.5):
     """Runs action; waits twice as long before each further attempt."""
@@ -20,72 +41,174 @@ def with_retries(action, attempts: int = 3, first_wait: float = 0.5):
             time.sleep(first_wait * 2**i)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df without its lineage: a checkpoint in the session's shared folder, or cached where none is set."""
+    spark = df.sparkSession
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(named)
+    return df.checkpoint() if named or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.cache()
+
+
+class Files:
+    """A folder of any file system that Spark knows."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self.root = path.rstrip("/")
+        self.fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def at(self, name: str = ""):
+        return self._path(f"{self.root}/{name}" if name else self.root)
+
+    def exists(self, name: str = "") -> bool:
+        return self.fs.exists(self.at(name))
+
+    def names(self) -> list[str]:
+        return sorted(f.getPath().getName() for f in self.fs.listStatus(self.at())) if self.exists() else []
+
+    def delete(self, name: str = "") -> None:
+        self.fs.delete(self.at(name), True)
+
+    def create(self, name: str, text: str) -> bool:
+        """Writes a new file; False if there is one already."""
+        self.fs.mkdirs(self.at())
+        try:
+            out = self.fs.create(self.at(name), False)
+        except Exception:
+            if self.exists(name):
+                return False
+            raise
+        out.write(bytearray(text.encode()))
+        out.close()
+        return True
+
+    def read(self, name: str) -> str | None:
+        if not self.exists(name):
+            return None
+        stream = self.fs.open(self.at(name))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+
 class Table:
-    """A parquet table partitioned by project_id; a write replaces the partitions it has rows for."""
+    """A table of one folder a project. A write goes to a folder of its own first and then takes the project's place, so it may
+    read what it replaces, writers of other projects do not meet, and no rows at all are a state like any other."""
 
-    def __init__(self, spark: SparkSession, path: str, partition: str = "project_id"):
+    def __init__(self, spark: SparkSession, path: str, schema: str, partition: str = "project_id"):
         self.spark, self.path, self.partition = spark, path.rstrip("/"), partition
+        self.schema, self.files = StructType.fromDDL(schema), Files(spark, path)
+
+    def folder(self, project: str) -> str:
+        return f"{self.partition}={project}"
+
+    def projects(self) -> list[str]:
+        return [n.split("=", 1)[1] for n in self.files.names() if n.startswith(f"{self.partition}=")]
 
     def exists(self, project: str | None = None) -> bool:
-        """Whether there is a table, or one of its partitions."""
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path if project is None else f"{self.path}/{self.partition}={project}")
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        """Whether there is a table, or one of its projects."""
+        return self.files.exists("" if project is None else self.folder(project))
+
+    def read(self, project: str | None = None) -> DataFrame:
+        """One project's rows, or all with their project_id. What was never written is empty."""
+        if project is not None:
+            if not self.exists(project):
+                return self.spark.createDataFrame([], self.schema)
+            return self.spark.read.schema(self.schema).parquet(f"{self.path}/{self.folder(project)}")
+        # a declared type, so that ids of digits are not read as numbers
+        whole = StructType([*self.schema.fields]).add(self.partition, "string")
+        return self.spark.read.schema(whole).parquet(self.path) if self.projects() else self.spark.createDataFrame([], whole)
+
+    def replace(self, project: str, rows: DataFrame) -> None:
+        staged = f"_staged-{uuid.uuid4().hex}"
+        try:
+            self.shaped(rows).write.parquet(f"{self.path}/{staged}")
+            self.files.delete(self.folder(project))
+            self.files.fs.rename(self.files.at(staged), self.files.at(self.folder(project)))
+        finally:
+            self.files.delete(staged)
 
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+    def append(self, project: str, rows: DataFrame) -> None:
+        self.shaped(rows).write.mode("append").parquet(f"{self.path}/{self.folder(project)}")
 
-    def replace(self, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.partition).parquet(self.path)
+    def shaped(self, rows: DataFrame) -> DataFrame:
+        """The declared columns; those that rows lack are null."""
+        have = set(rows.columns)
+        return rows.select(*((F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema.fields))
 
-    def upsert(self, rows: DataFrame, key: str = "id") -> None:
-        """Rows take the place of stored ones of the same key, within the projects that rows holds."""
-        if self.exists():
-            touched = self.read().join(F.broadcast(rows.select(self.partition).distinct()), self.partition, "left_semi")
-            rows = touched.join(rows.select(key), key, "left_anti").unionByName(rows)
-        self.replace(self._settled(rows))
+    def upsert(self, project: str, rows: DataFrame, key: str = "id") -> None:
+        """Rows take the place of the project's stored ones of the same key."""
+        rows = self.shaped(rows)
+        self.replace(project, self.read(project).join(rows.select(key), key, "left_anti").unionByName(rows))
 
     def delete(self, project: str, condition: Column) -> None:
         """Stored rows of the project that meet the condition go."""
-        left = self._settled(self.read().where((F.col(self.partition) == project) & ~F.coalesce(condition, F.lit(False))))
-        if left.isEmpty():
-            self.drop(project)
-        else:
-            self.replace(left)
+        if self.exists(project):
+            self.replace(project, self.read(project).where(~F.coalesce(condition, F.lit(False))))
 
     def drop(self, project: str) -> None:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{self.partition}={project}")
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-    def _settled(self, rows: DataFrame) -> DataFrame:
-        """rows, no longer read from the files about to be replaced."""
-        staging = f"{self.path}__staging"
-        rows.write.mode("overwrite").parquet(staging)
-        return self.spark.read.schema(rows.schema).parquet(staging)
+        self.files.delete(self.folder(project))
 
 
 class StateStore:
     """path and content_hash of what was indexed, in numbered folders; the newest complete one counts."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self._fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._fs_path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.spark, self.files = spark, Files(spark, path)
 
     def versions(self) -> list[int]:
-        root = self._fs_path(self.path)
-        if not self._fs.exists(root):
-            return []
-        names = [f.getPath().getName() for f in self._fs.listStatus(root)]
-        return sorted(int(n[1:]) for n in names if n.startswith("v") and self._fs.exists(self._fs_path(f"{self.path}/{n}/_SUCCESS")))
+        return sorted(int(n[1:]) for n in self.files.names() if n.startswith("v") and self.files.exists(f"{n}/_SUCCESS"))
 
     def read(self, schema: StructType | str = "path string, content_hash string") -> DataFrame:
         found = self.versions()
         if not found:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(f"{self.path}/v{found[-1]}")
+        return self.spark.read.schema(schema).parquet(f"{self.files.root}/v{found[-1]}")
 
     def write(self, rows: DataFrame) -> None:
         found = self.versions()
-        rows.write.mode("overwrite").parquet(f"{self.path}/v{found[-1] + 1 if found else 0}")
+        rows.write.mode("overwrite").parquet(f"{self.files.root}/v{found[-1] + 1 if found else 0}")
         for old in found[:-1]:
-            self._fs.delete(self._fs_path(f"{self.path}/v{old}"), True)
+            self.files.delete(f"v{old}")
+
+
+class Lock:
+    """One writer a project: a file that names its holder and is refreshed; one not refreshed for `stale` seconds is taken over."""
+
+    def __init__(self, spark: SparkSession, path: str, project: str, stale: float = 3600.0):
+        self.files, self.name, self.stale, self.holder = Files(spark, path), f"{project}.lock", stale, uuid.uuid4().hex
+
+    def owner(self) -> tuple[str, float] | None:
+        text = self.files.read(self.name)
+        try:
+            holder, at = (text or "").split()
+            return holder, float(at)
+        except ValueError:
+            return None
+
+    def acquire(self) -> bool:
+        held = self.owner()
+        if held and held[0] != self.holder and time.time() - held[1] > self.stale:
+            self.files.delete(self.name)
+        return self.files.create(self.name, f"{self.holder} {time.time()}") or (self.owner() or ("",))[0] == self.holder
+
+    def refresh(self) -> None:
+        """Says that the holder is alive; fails if another has taken the lock over."""
+        if (self.owner() or ("",))[0] != self.holder:
+            raise RuntimeError("the lock was taken over")
+        self.files.delete(self.name)
+        self.files.create(self.name, f"{self.holder} {time.time()}")
+
+    def release(self) -> None:
+        if (self.owner() or ("",))[0] == self.holder:
+            self.files.delete(self.name)
+
+    def __enter__(self) -> Lock:
+        if not self.acquire():
+            raise RuntimeError(f"another process writes to this project ({self.name})")
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()

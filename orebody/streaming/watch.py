@@ -25,22 +25,41 @@ def late_tolerant(events: DataFrame, time: str, keys: list[str], gap: str = "2 s
     return debounced(events.withWatermark(time, lateness), time, keys, gap)
 
 
-def watch(spark: SparkSession, listing: Callable[[], DataFrame], state_path: str, on_change: Callable[[DataFrame, int], None], checkpoint: str, interval: str = "2 seconds", once: bool = False) -> StreamingQuery:
+def watch(spark: SparkSession, listing: Callable[[], DataFrame], state_path: str, on_change: Callable[[DataFrame, int], None], checkpoint: str, interval: str = "2 seconds", once: bool = False, stamps: Callable[[], DataFrame] | None = None, max_failures: int = 5) -> StreamingQuery:
     """Runs on_change(changes, batch) whenever the listing (path, content_hash) differs from the stored state.
 
-    The state is written to a folder of its own number and then taken by its successor, so a failed batch leaves the last
-    good state, and a repeated batch finds the same changes again.
+    stamps gives path, length and modified; while those stay as they were, no file is read. A burst is waited out: work begins
+    when two looks in a row see the same stamps. The state is written to a folder of its own number and then taken by its
+    successor, so a failed batch leaves the last good state and the next finds the same changes again; after max_failures
+    failures in a row the query fails.
     """
     from orebody.sources.store import StateStore
 
     store = StateStore(spark, state_path)
+    seen: dict[str, object] = {"stamp": None, "done": None, "failures": 0}
+
+    def stamp():
+        row = stamps().agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("path", "length", "modified").cast("decimal(38,0)")).alias("h")).first()
+        return row.n, row.h
 
     def step(_: DataFrame, batch: int) -> None:
-        now = listing()
-        changed = file_changes(now, store.read(now.schema)).where("status <> 'unchanged'")
-        if not changed.isEmpty():
-            on_change(changed, batch)
-            store.write(now)
+        if stamps is not None:
+            now = stamp()
+            settled = once or now == seen["stamp"] or seen["stamp"] is None
+            seen["stamp"] = now
+            if now == seen["done"] or not settled:
+                return
+        try:
+            current = listing()
+            changed = file_changes(current, store.read(current.schema)).where("status <> 'unchanged'")
+            if not changed.isEmpty():
+                on_change(changed, batch)
+                store.write(current)
+            seen["failures"], seen["done"] = 0, seen["stamp"]
+        except Exception:
+            seen["failures"] += 1
+            if once or seen["failures"] >= max_failures:
+                raise
 
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     writer = ticks.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)

@@ -1,5 +1,7 @@
 """Graph operators on cycles longer than the listing of cycles takes."""
 
+from pyspark.sql import functions as F
+
 from orebody.operators import graph
 
 
@@ -16,9 +18,9 @@ def test_queries_over_the_whole_edge_table(spark, sf):
     from orebody.plans.relations import part_edges, table
 
     pairs = {(r.source, r.target) for r in part_edges(spark, sf).collect()}
-    q = {n: f for n, f in catalog.queries().items() if n.endswith("_whole")}
-    parts = {r.p_partkey for r in table(spark, sf, "part").collect()}
-    assert {r.node for r in q["orphans_whole"](spark, sf).collect()} == parts - {x for e in pairs for x in e}
+    q = catalog.queries()
+    nodes = table(spark, sf, "part").select(F.col("p_partkey").alias("node")).unionByName(spark.range(10**6, 10**6 + 5).select(F.col("id").alias("node")))
+    assert {r.node for r in graph.orphans(nodes, part_edges(spark, sf)).collect()} == {r.node for r in nodes.collect()} - {x for e in pairs for x in e}
 
     def hops(steps, depth):
         seen, out = {1}, set()
@@ -29,8 +31,8 @@ def test_queries_over_the_whole_edge_table(spark, sf):
         return out
 
     back = {(b, a) for a, b in pairs}
-    assert {(r.node, r.hop) for r in q["impact_bfs_whole"](spark, sf).collect()} == hops(back, 3)
-    assert {(r.node, r.hop) for r in q["neighbourhood_whole"](spark, sf).collect()} == hops(pairs | back, 2)
+    assert {(r.node, r.hop) for r in q["impact_bfs"](spark, sf).collect()} == hops(back, 3)
+    assert {(r.node, r.hop) for r in q["neighbourhood"](spark, sf).collect()} == hops(pairs | back, 2)
     after = {}
     for a, b in pairs:
         after.setdefault(a, set()).add(b)
@@ -45,4 +47,11 @@ def test_queries_over_the_whole_edge_table(spark, sf):
         return seen
 
     to = {a: reached(a) for a in after}
-    assert {(r.source, r.target) for r in q["cyclic_edges_whole"](spark, sf).collect()} == {(a, b) for a, b in pairs if a in to.get(b, ())}
+    assert {(r.source, r.target) for r in graph.cyclic_edges(part_edges(spark, sf)).collect()} == {(a, b) for a, b in pairs if a in to.get(b, ())}
+
+
+def test_numbers_follow_the_order_of_nodes(spark):
+    names = [f"n{i * 7919 % 1000:04d}" for i in range(1000)]
+    rows = graph.numbered(spark.createDataFrame([(n,) for n in names], "node string"), parts=7).collect()
+    assert {(r.node, r.n) for r in rows} == {(n, i) for i, n in enumerate(sorted(names))}
+    assert graph.numbered(spark.createDataFrame([], "node string")).count() == 0
