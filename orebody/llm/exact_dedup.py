@@ -29,24 +29,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows are joined with their bitmaps by bitmap number.
     """
     out = fresh(docs, "dedup")
-    sha, rid, cell, bits, maybe = (fresh(docs, f"_ob_{x}") for x in ("sha", "rid", "cell", "bits", "maybe"))
+    sha, rid, cell, bits, maybe, no, key, size, last = (fresh(docs, f"_ob_{x}") for x in ("sha", "rid", "cell", "bits", "maybe", "no", "key", "n", "last"))
     n = docs.count()
     cells = 1 << max(15, (max(n, 1) * cells_per_row - 1).bit_length())
     hashed = docs.withColumn(rid, F.monotonically_increasing_id()).withColumn(sha, F.sha2(whole_text(text_col), 256)).withColumn(cell, F.xxhash64(sha).bitwiseAND(F.lit(cells - 1)))
 
     seen_twice = hashed.groupBy(cell).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    filters = seen_twice.groupBy(F.shiftright(cell, 15).alias("_ob_no")).agg(F.bitmap_construct_agg(F.col(cell).bitwiseAND(F.lit(BITMAP - 1))).alias(bits))
+    filters = seen_twice.groupBy(F.shiftright(cell, 15).alias(no)).agg(F.bitmap_construct_agg(F.col(cell).bitwiseAND(F.lit(BITMAP - 1))).alias(bits))
     if cells // 8 <= max_filter_bytes:
         filters = F.broadcast(filters)
     at = F.col(cell).bitwiseAND(F.lit(BITMAP - 1)).cast("int")
     byte = F.conv(F.hex(F.substring(F.col(bits), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    probed = hashed.join(filters, F.shiftright(cell, 15) == F.col("_ob_no"), "left").withColumn(maybe, F.coalesce(F.getbit(byte, at.bitwiseAND(F.lit(7))) == 1, F.lit(False))).drop("_ob_no", bits, cell)
+    probed = hashed.join(filters, F.shiftright(cell, 15) == F.col(no), "left").withColumn(maybe, F.coalesce(F.getbit(byte, at.bitwiseAND(F.lit(7))) == 1, F.lit(False))).drop(no, bits, cell)
 
     result = lambda keep, size, kept: F.struct(keep.alias("keep_id"), size.alias("group_size"), kept.alias("kept"), F.col(sha).alias("text_sha256"))
     alone = probed.where(~F.col(maybe)).withColumn(out, result(F.col(id_col), F.lit(1).cast("long"), F.lit(True)))
     shuffled = probed.where(F.col(maybe))
-    groups = shuffled.groupBy(F.col(sha).alias("_ob_key")).agg(F.count(F.lit(1)).alias("_ob_n"), F.max(F.struct(F.col(id_col).alias("id"), F.col(rid).alias("rid"))).alias("_ob_last"))
-    shuffled = shuffled.join(groups, F.col(sha) == F.col("_ob_key")).withColumn(out, result(F.col("_ob_last.id"), F.col("_ob_n"), F.col(rid) == F.col("_ob_last.rid")))
+    groups = shuffled.groupBy(F.col(sha).alias(key)).agg(F.count(F.lit(1)).alias(size), F.max(F.struct(F.col(id_col).alias("id"), F.col(rid).alias("rid"))).alias(last))
+    shuffled = shuffled.join(groups, F.col(sha) == F.col(key)).withColumn(out, result(F.col(f"{last}.id"), F.col(size), F.col(rid) == F.col(f"{last}.rid")))
     return alone.select(*docs.columns, out).unionByName(shuffled.select(*docs.columns, out)), out
 
 

@@ -82,35 +82,36 @@ def line_passes(line: Column, symbols_in_text: Column, phrases_in_text: Column,
 def quality(docs: DataFrame, text_col: str = "text", min_words: int = 20, max_repeats: int = 30, max_loss: float = 0.5, long_line: int = 60) -> tuple[DataFrame, str]:
     """docs with one struct column more, and its name: the counts, base_failed, kept, lost_chars and cleaned_text."""
     out = fresh(docs, "quality")
-    text, words, lines, good = (F.col(f"_ob_{x}") for x in ("text", "words", "lines", "good"))
+    at = {x: fresh(docs, f"_ob_{x}") for x in ("text", "words", "lines", "symbols", "good", "n", "chars", "lost", "repeats", "failed")}
+    text, words, lines, symbols, good, n, in_words, lost, repeats, failed = map(F.col, at.values())
     chars = lambda pieces: F.length(F.array_join(F.flatten(F.transform(pieces, words_of)), ""))
     low = F.lower(text)
     phrases = F.lit(False)
     for phrase in BOILERPLATE:
         phrases |= F.contains(low, F.lit(phrase))
     counted = (
-        docs.withColumn("_ob_text", whole_text(text_col))
-        .withColumn("_ob_words", words_of(text))
-        .withColumn("_ob_lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)))
-        .withColumn("_ob_symbols", count_of(text, SYMBOLS).cast("long"))
-        .withColumn("_ob_good", let(F.struct(((F.col("_ob_symbols") >= 3) | text.rlike("[»›•]")).alias("listed"), phrases.alias("phrases")), lambda have: F.filter(lines, lambda x: line_passes(x, have.listed, have.phrases, long_line))))
-        .withColumn("_ob_n", F.size(words).cast("long"))
-        .withColumn("_ob_chars", F.length(F.array_join(words, "")).cast("long"))
-        .withColumn("_ob_lost", F.when(F.size(good) == F.size(lines), F.lit(0)).otherwise(F.col("_ob_chars") - chars(good)).cast("long"))
-        .withColumn("_ob_repeats", repeated_words(words))
-        .withColumn("_ob_failed", (F.col("_ob_n") < min_words) | (100 * F.col("_ob_repeats") > max_repeats * F.col("_ob_n")))
+        docs.withColumn(at["text"], whole_text(text_col))
+        .withColumn(at["words"], words_of(text))
+        .withColumn(at["lines"], F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)))
+        .withColumn(at["symbols"], count_of(text, SYMBOLS).cast("long"))
+        .withColumn(at["good"], let(F.struct(((symbols >= 3) | text.rlike("[»›•]")).alias("listed"), phrases.alias("phrases")), lambda have: F.filter(lines, lambda x: line_passes(x, have.listed, have.phrases, long_line))))
+        .withColumn(at["n"], F.size(words).cast("long"))
+        .withColumn(at["chars"], F.length(F.array_join(words, "")).cast("long"))
+        .withColumn(at["lost"], F.when(F.size(good) == F.size(lines), F.lit(0)).otherwise(in_words - chars(good)).cast("long"))
+        .withColumn(at["repeats"], repeated_words(words))
+        .withColumn(at["failed"], (n < min_words) | (100 * repeats > max_repeats * n))
     )
     return counted.withColumn(
         out,
         F.struct(
-            F.col("_ob_n").alias("n_words"),
-            F.col("_ob_chars").alias("word_chars"),
-            F.col("_ob_symbols").alias("n_symbols"),
+            n.alias("n_words"),
+            in_words.alias("word_chars"),
+            symbols.alias("n_symbols"),
             (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-            F.col("_ob_repeats").alias("n_repeat_words"),
-            F.col("_ob_failed").alias("base_failed"),
-            (~F.col("_ob_failed") & (F.col("_ob_lost") <= max_loss * F.col("_ob_chars"))).alias("kept"),
-            F.col("_ob_lost").alias("lost_chars"),
+            repeats.alias("n_repeat_words"),
+            failed.alias("base_failed"),
+            (~failed & (lost <= max_loss * in_words)).alias("kept"),
+            lost.alias("lost_chars"),
             F.array_join(good, "\n").alias("cleaned_text"),
         ),
     ).select(*docs.columns, out), out
