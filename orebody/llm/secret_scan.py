@@ -11,7 +11,8 @@ parts that start up to `reach` characters after a part's end, the furthest end t
 pairs are made. Texts do not shuffle: each row's findings do, by a row number.
 
 Positions count code points, ends exclusive. Null texts are empty and give zero counts and empty strings. Each input row
-gives one row, repeated rows and ids included.
+gives one row, repeated rows and ids included; an empty table gives none, and other columns are not read. A very long text is
+scanned whole inside its row; time grows with its length and number of findings.
 """
 
 from __future__ import annotations
@@ -37,17 +38,25 @@ BASE = ("assign", "access", "hex")
 PART = {"assign": "secret", "access": "identifier", "hex": "secret"} | {k: p for k, _, p in WEAK}
 ORDER = {k: i for i, k in enumerate((*BASE, *(k for k, _, _ in WEAK)))}
 SPAN = "array<struct<start:int,end:int,ord:int>>"
+BLOCK, HEAD, BREAK = 128, -2, -1
 
 
 def spans(text: Column, pattern: str, kind: str, least: int = 1, group: int = 0) -> Column:
     """Leftmost non-overlapping matches whose group has `least` characters or more, as structs of start, end, ord.
 
-    A split gives the pieces between the matches; lengths of pieces and matches in turn give the positions.
+    A split gives the pieces between the matches; lengths of pieces and matches in turn give the positions. They are summed
+    in blocks: an array grows by copies, and so none grows longer than a block or the number of blocks.
     """
-    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g"), F.split(text, pattern, -1).alias("p"))
-    add = lambda a, i, f: F.struct((a.at + F.length(F.get(f.p, i)) + F.length(F.get(f.m, i))).cast("int").alias("at"), F.when(F.length(F.get(f.g, i)) >= least, F.concat(a.out, F.array(F.struct((a.at + F.length(F.get(f.p, i))).cast("int").alias("start"), (a.at + F.length(F.get(f.p, i)) + F.length(F.get(f.m, i))).cast("int").alias("end"), F.lit(ORDER[kind]).alias("ord"))))).otherwise(a.out).alias("out"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    walk = let(found, lambda f: F.aggregate(F.sequence(F.lit(0), F.size(f.m) - 1), start, lambda a, i: add(a, i, f), lambda a: a.out))
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g"), F.transform(F.split(text, pattern, -1), lambda x: F.length(x)).alias("p"))
+    start_of = lambda a, i, f: (a.at + F.get(f.p, i)).cast("int")
+    end_of = lambda a, i, f: (a.at + F.get(f.p, i) + F.length(F.get(f.m, i))).cast("int")
+    add = lambda a, i, f: F.struct(end_of(a, i, f).alias("at"), F.when(F.length(F.get(f.g, i)) >= least, F.array_append(a.out, F.struct(start_of(a, i, f).alias("start"), end_of(a, i, f).alias("end"), F.lit(ORDER[kind]).alias("ord")))).otherwise(a.out).alias("out"))
+    begin = lambda at: F.struct(at.alias("at"), F.array().cast(SPAN).alias("out"))
+    last = lambda i, f: F.least(i + (BLOCK - 1), F.size(f.m) - 1)
+    block = lambda a, i, f: F.aggregate(F.sequence(i, last(i, f)), begin(a.at), lambda x, j: add(x, j, f))
+    put = lambda a, i, f: let(block(a, i, f), lambda x: F.struct(x.at.alias("at"), F.array_append(a.all, x.out).alias("all")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("all"))
+    walk = let(found, lambda f: F.aggregate(F.sequence(F.lit(0), F.size(f.m) - 1, F.lit(BLOCK)), start, lambda a, i: put(a, i, f), lambda a: F.flatten(a.all)))
     return F.when(text.rlike(pattern), walk).otherwise(F.array().cast(SPAN))
 
 
@@ -68,22 +77,25 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # only these can hold a link; the scopes of the others need not be found
     linked = (F.size("weak") > 0) & has([ORDER[k] for k in parts["identifier"]]) & has([ORDER[k] for k in parts["secret"]])
     blanks = F.when(linked, spans(text, r"\n[\x20\x09\x0B-\x0D]*\n\s*", "assign")).otherwise(F.array().cast(SPAN))
-    breaks = F.transform(blanks, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), F.lit(-1).alias("ord")))
-    events = F.when(linked, F.concat("base", "weak", breaks))
-    parted = rows.select("id", "row", "base", F.explode_outer(events).alias("e")).select("id", "row", "base", "e.start", "e.end", "e.ord")
-
-    scope = F.sum(F.when(F.col("ord") == -1, 1).otherwise(0)).over(Window.partitionBy("row").orderBy("start", "ord").rowsBetween(Window.unboundedPreceding, 0))
+    breaks = F.transform(blanks, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), F.lit(BREAK).alias("ord")))
+    # one row holds the text's base findings, the others each a part, so that findings are not copied onto each other
+    head = F.array(F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit(HEAD).alias("ord")))
+    events = F.when(linked, F.concat(head, "base", "weak", breaks)).otherwise(head)
+    only_head = lambda c: F.when(F.col("e.ord") == HEAD, F.col(c)).alias(c)
+    parted = rows.select("id", "row", "base", F.explode(events).alias("e")).select(only_head("id"), "row", only_head("base"), "e.start", "e.end", "e.ord")
+
+    scope = F.sum(F.when(F.col("ord") == BREAK, 1).otherwise(0)).over(Window.partitionBy("row").orderBy("start", "ord").rowsBetween(Window.unboundedPreceding, 0))
     inside = F.max(F.when(F.col("ord").isin(*(ORDER[k] for k in BASE)), F.col("end"))).over(Window.partitionBy("row", "scope").orderBy("start", "ord").rowsBetween(Window.unboundedPreceding, 0))
     placed = parted.withColumn("scope", scope).withColumn("_inside", F.coalesce(inside, F.lit(0)))
     # each part stands at its start, and once more, to be judged, `reach` characters after its end
-    twice = placed.withColumn("judge", F.explode(F.when(F.col("start").isNull(), F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    twice = placed.withColumn("judge", F.explode(F.when(F.col("ord") == HEAD, F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))))
     so_far = Window.partitionBy("row", "scope").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
     meets = {p: F.max(F.when(~F.col("judge") & F.col("ord").isin(*(ORDER[k] for k in kinds)), F.col("end"))).over(so_far) >= F.col("start") - reach for p, kinds in parts.items()}
     judged = twice.withColumn("at", F.when(F.col("judge"), F.col("end") + reach).otherwise(F.col("start"))).withColumns({f"_{p}": F.coalesce(c, F.lit(False)) for p, c in meets.items()}).where("judge")
     kinds_of = {p: [ORDER[k] for k, _, q in WEAK if q == p] for p in parts}
     reported = (F.col("ord").isin(*kinds_of["identifier"]) & F.col("_secret")) | (F.col("ord").isin(*kinds_of["secret"]) & F.col("_identifier")) | (F.col("ord").isin(*kinds_of["endpoint"]) & F.col("_identifier") & F.col("_secret"))
     span = F.when(reported & (F.col("_inside") <= F.col("start")), F.struct("start", "end", "ord"))
-    return judged.groupBy("row").agg(F.first("id").alias(id_col), F.first("base").alias("base"), F.collect_list(span).alias("linked")).drop("row")
+    return judged.groupBy("row").agg(F.max("id").alias(id_col), F.first("base", ignorenulls=True).alias("base"), F.collect_list(span).alias("linked")).drop("row")
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
