@@ -27,7 +27,7 @@ def ends(encoder: Bpe, text: str, start: int, stop: int) -> list[int]:
     return list(accumulate(map(len, encoder.split(text[start:stop])), initial=start))
 
 
-def count_tokens(encoder: Bpe, text: str, chunk: int = 1 << 16, overlap: int = 512) -> int:
+def count_tokens(encoder: Bpe, text: str, chunk: int = 1 << 13, overlap: int = 512) -> int:
     """Tokens of the whole text; the same for any chunk and overlap over 0."""
     if len(text) <= chunk:
         return len(encoder.ids(text))
@@ -53,7 +53,7 @@ def count_tokens(encoder: Bpe, text: str, chunk: int = 1 << 16, overlap: int = 5
     return total + len(encoder.ids(text[begin:]))
 
 
-def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", chunk: int = 1 << 16, overlap: int = 512) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", chunk: int = 1 << 13, overlap: int = 512) -> DataFrame:
     """One row for each row of docs: its id, n_bytes, n_tokens, over_limit (more than `limit` tokens)."""
     import pyarrow as pa
 
