@@ -10,7 +10,8 @@ id, out of those not held out (crc32 of the id as text, modulo 4, is 2). Of thei
 are at least `share` as frequent as in the language that uses them most. Predictions read the text alone.
 
 Null texts and texts without a letter are `und` with score 0, as are all if nothing can be learned. Rows with a null id
-are never learned from and not held out. Rows may repeat. At most `grams` x languages n-grams reach the driver, and the
+are never learned from and not held out. Rows may repeat, each gives one row; an empty table gives none. A very long text is
+held once, with 8 bytes for each of its n-grams. Columns other than id, text and (for learning) language are not read. At most `grams` x languages n-grams reach the driver, and the
 broadcast filter has cells x 8 bytes for each 64 languages.
 """
 
@@ -46,7 +47,8 @@ def grams(text: str | None) -> np.ndarray:
     if not letter.any():
         return np.empty(0, np.uint64)
     code = np.where(letter, code, 0).astype(np.uint64)
-    code = code[letter | np.concatenate([[True], letter[:-1]])]
+    # the first of a run of other characters stays; runs at the ends are the gaps that every text begins and ends with
+    code = np.trim_zeros(code[letter | np.concatenate([[False], letter[:-1]])])
     code = np.concatenate([code[:1] * 0, code, code[:1] * 0])
     out, run = [], code + np.uint64(1)
     for n in range(2, max(ORDERS) + 1):
