@@ -13,7 +13,7 @@ from orebody.llm.common import fresh
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-CLASHES = ("kept", "dedup", "quality", "mix", "id", "key", "items", "n", "rate", "label")
+CLASHES = ("kept", "dedup", "quality", "mix", "id", "key", "items", "n", "rate", "label", *(f"_ob_{x}" for x in ("id", "key", "text", "words", "n", "no", "last", "f", "p", "r")))
 
 
 def fixture_rows():
@@ -80,6 +80,38 @@ def test_weak_parts_need_a_complement(spark):
     assert [n for n, _ in sorted((r.doc_id, r.l) for r in got if r.l)] == [0, 5]
 
 
+def test_linked_spans_equal_brute_force(spark):
+    """All pairs of parts in a scope, in plain Python, over texts put together at random."""
+    from orebody.llm.secret_scan import BASE, ORDER, PART, WEAK, joined, scan_secrets
+
+    rng = random.Random(11)
+    key = lambda: "".join(rng.choice("abXY12+/") for _ in range(rng.randint(18, 40)))
+    make = (lambda: "login: bob", lambda: "username=alice7", lambda: f"secret = {key()}", lambda: key(), lambda: "AKIA" + "Q7" * rng.randint(7, 10), lambda: "0a1b" * rng.randint(5, 8), lambda: "https://h.example.org/x", lambda: "jdbc:pg://db.local", lambda: "word " * rng.randint(1, 70), lambda: "\n", lambda: "\n \t\n", lambda: "é漢 ")
+    texts = ["".join(rng.choice(make)() + rng.choice((" ", "\n", "")) for _ in range(rng.randint(1, 14))) for _ in range(300)] + [None, "", "\n\n"]
+    base = (("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24))
+
+    def brute(t, reach=200):
+        t = t or ""
+        found = [(m.start(), m.end(), k) for k, rx, g, least in base for m in re.finditer(rx, t) if len(m[g]) >= least] + [(m.start(), m.end(), k) for k, rx, _ in WEAK for m in re.finditer(rx, t, re.ASCII)]
+        breaks = [m.start() for m in re.finditer(r"\n[\x20\x09\x0B-\x0D]*\n\s*", t)]
+        scope = lambda f: sum(b <= f[0] for b in breaks)
+        near = lambda f, part: any(scope(g) == scope(f) and PART[g[2]] == part and g[0] <= f[1] + reach and g[1] >= f[0] - reach for g in found)
+        out = []
+        for f in found:
+            part = PART[f[2]]
+            wants = {"identifier": ("secret",), "secret": ("identifier",), "endpoint": ("identifier", "secret")}[part]
+            inside = any(g[2] in BASE and scope(g) == scope(f) and g[0] <= f[0] < g[1] for g in found)
+            if f[2] in BASE or (not inside and all(near(f, w) for w in wants)):
+                out.append(f)
+        return ",".join(f"{k}:{s}:{e}" for s, e, k in sorted(out, key=lambda f: (f[0], ORDER[f[2]])))
+
+    rows = list(enumerate(texts))
+    got = scan_secrets(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).select("doc_id", joined(F.concat("base", "linked")).alias("s")).collect()
+    want = {i: brute(t) for i, t in rows}
+    assert {r.doc_id: r.s for r in got} == want
+    assert sum("key:" in w or "user:" in w for w in want.values()) > 60
+
+
 def test_quality(docs, none):
     from orebody.llm.quality_rules import quality
 
@@ -128,6 +160,43 @@ def test_language_filters_hold_what_was_put_in():
     assert f.predict("abcdefg")[0] == "aa" and f.predict("wxyz")[0] == "bb"
 
 
+def test_language_id_equals_plain_sets_of_grams(spark):
+    """Learned and counted anew with exact sets instead of filters; one language a row, ties and odd texts included."""
+    from orebody.llm.language_id import Filters, identify, learn
+
+    rng = random.Random(3)
+    words = {"aa": ["".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 6))) for _ in range(60)], "bb": ["".join(rng.choice("fghijß") for _ in range(rng.randint(2, 6))) for _ in range(60)], "cc": ["".join(rng.choice("abfghk") for _ in range(rng.randint(2, 6))) for _ in range(60)]}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.randint(1, 60))).title() + "! 42", lang) for i, lang in enumerate(rng.choice(list(words)) for _ in range(240))]
+    rows += [(500, None, "aa"), (501, "12 !?", "aa"), (502, "", None), (503, rows[0][1] * 300, None), (None, rows[1][1], "bb"), (3, rows[3][1], rows[3][2]), (504, "zzz zzz", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("lang_pred", F.lit("clash")).withColumn("score", F.lit("clash")).withColumn("id", F.lit("clash")).repartition(3)
+
+    def grams(t):
+        runs = re.sub(r"[^a-zß-öø-ÿ]+", "_", "_" + t.lower() + "_")
+        return [runs[i : i + n] for n in (2, 3, 4) for i in range(len(runs) - n + 1)]
+
+    counts = {lang: Counter() for lang in words}
+    for i, t, lang in rows:
+        if t is not None and lang and i is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            counts[lang].update(grams(t) if re.search("[a-zß-ÿ]", t.lower()) else [])
+    rate = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    held = {lang: {g for g, r in own.items() if r >= 0.4 * max(x.get(g, 0) for x in rate.values())} for lang, own in rate.items()}
+    filters = learn(docs)
+    got = {(r.doc_id, r.lang_pred, round(r.score, 2)) for r in identify(docs, filters).collect()}
+    assert len(identify(docs, filters).collect()) == len(rows) and filters.languages == sorted(words)
+    for i, t, _ in rows:
+        g = grams(t) if t and re.search("[a-zß-ÿ]", t.lower()) else []
+        n = {lang: sum(x in own for x in g) for lang, own in held.items()}
+        mine = {(lang, score) for j, lang, score in got if j == i}
+        if not g:
+            assert mine == {("und", 0.0)}
+        elif sum(n.values()):
+            best = sorted(n, key=lambda k: (-n[k], k))[0]
+            assert any(lang == best and abs(score - n[best] / sum(n.values())) < 0.03 for lang, score in mine), (i, n, mine)
+    assert identify(docs.limit(0), filters).count() == 0
+    nothing = learn(docs.limit(0))
+    assert isinstance(nothing, Filters) and {(r.lang_pred, r.score) for r in identify(docs, nothing).collect()} == {("und", 0.0)}
+
+
 def test_token_counts(docs, none):
     from orebody.llm.token_counts import token_counts
     from orebody.llm.tokens import bpe, vocabulary_path
@@ -173,7 +242,10 @@ def test_mixing(spark, docs, none):
     labels = spark.createDataFrame([(7, 1, 0), (7, 1, 0), (8, 0, None), (None, 1, 1), (20, 0, 1), (22, None, None)], "doc_id long, quality int, toxic int")
     out, name = mix(docs, labels)
     got = out.select(f"{name}.*").collect()
-    assert len(got) == len(ROWS) and all(r.rate >= 0 and abs(sum(r.p) - 1) < 0.01 and r.copies in (0, 1) for r in got)
+    assert len(got) == len(ROWS) and all(r.rate >= 0 and abs(sum(r.p) - 1) < 0.01 and abs(r.copies - r.rate) < 1 for r in got)
+    assert out.columns == [*docs.columns, name] and out.where("_ob_p <> 'clash' OR _ob_r <> 'clash' OR id <> 'clash'").isEmpty()
+    named = docs.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text")
+    assert mix(named, labels.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "quality", "toxic"), keep=["doc_id"])[0].count() == len(ROWS)
     assert sorted(r.n_tokens for r in got) == sorted(len(WORD.findall(t or "")) for _, t in ROWS)
     assert mix(none, labels.limit(0))[0].count() == 0
     # least squares by many small steps in plain Python gives the same totals
@@ -251,6 +323,15 @@ def test_substring_dedup(docs, none, max_group, broadcast):
     assert substring_dedup(none).count() == 0
 
 
+def test_substring_dedup_keeps_the_first_of_repeated_rows(spark):
+    from orebody.llm.substring_dedup import substring_dedup
+
+    words = [f"w{i}" for i in range(200)]
+    first, later = " ".join(words[:100]), " ".join(["other", *words[20:80], "end"])
+    got = substring_dedup(spark.createDataFrame([(1, first), (1, first), (2, later)], "doc_id long, text string")).collect()
+    assert pairs(got, "doc_id", "n_removed") == [(1, 0), (1, 0), (2, 60)]
+
+
 def test_automaton_matching_statistics():
     from orebody.llm.substring_dedup import Automaton
 
@@ -266,7 +347,7 @@ def test_automaton_matching_statistics():
             seen.append(t)
 
 
-def near_brute(rows):
+def near_brute(rows, percent=75):
     sets = []
     for _, t in rows:
         w = WORD.findall((t or "").translate(LOW))
@@ -280,7 +361,7 @@ def near_brute(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 parent[find(i)] = find(j)
     least = defaultdict(list)
     for i, (d, _) in enumerate(rows):
@@ -310,6 +391,30 @@ def test_near_duplicate_chains(spark):
     assert pairs(got, "doc_id", "n_shingles", "component_id") == sorted(near_brute(rows), key=repr)
 
 
+def test_near_duplicates_of_a_large_group(spark):
+    """Copies of one text, many too far from it but near to another copy, and a passage that many other texts share."""
+    from orebody.llm.minhash_dedup import near_duplicates
+
+    rng = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(60)]
+    base = [rng.choice(vocabulary) for _ in range(120)]
+    line = " ".join(base[:12])
+    copy = lambda share: " ".join(rng.choice(vocabulary) if rng.random() < share else w for w in base if rng.random() > share / 3)
+    rows = [(i, copy(rng.choice((0.005, 0.02, 0.04, 0.06)))) for i in range(400)]
+    rows += [(400 + i, line + " " + " ".join(rng.choice(vocabulary) for _ in range(rng.randint(3, 40)))) for i in range(150)]
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert pairs(found, "doc_id", "n_shingles", "component_id") == sorted(near_brute(rows), key=repr)
+    assert len({r.component_id for r in found}) > 100
+
+
+@pytest.mark.parametrize("percent", [50, 90])
+def test_near_duplicates_at_other_thresholds(spark, percent):
+    from orebody.llm.minhash_dedup import near_duplicates
+
+    found = near_duplicates(spark.createDataFrame(ROWS, "doc_id long, text string"), percent=percent).collect()
+    assert pairs(found, "doc_id", "n_shingles", "component_id") == sorted(near_brute(ROWS, percent), key=repr)
+
+
 def test_packing(docs, none):
     from orebody.llm.packing import packed_documents
     from orebody.llm.tokens import bpe, vocabulary_path
@@ -353,6 +458,88 @@ def test_differencing_is_even():
     assert pack([], 1024) == [] and difference([5], 3) == [[0]]
 
 
+def test_stages_take_odd_rows(spark, docs, none, sf):
+    """Null ids and texts, long texts, repeated rows, columns with clashing names, and no rows at all."""
+    import corpus_pipeline as c
+
+    plain = [(i, t) for i, t in ROWS]
+    expect = {
+        "exact dedup": len({t or "" for _, t in plain}),
+        "MinHash near-dedup": len({x for _, n, x in near_brute(ROWS) if n}) + sum(not n for _, n, _ in near_brute(ROWS)),
+    }
+    for name, stage in c.STAGES:
+        empty = stage(spark, none, sf)
+        assert empty.count() == 0, name
+        out = stage(spark, docs, sf)
+        rows = out.collect()
+        if name == "packing":
+            assert sum(r.length for r in rows if r.start == 0) and len({(r.doc_id, r.start) for r in rows}) <= len(rows)
+            continue
+        assert out.columns == docs.columns, name
+        assert all(r["kept"] == "clash" and r["_ob_words"] == "clash" for r in rows), name
+        assert len(rows) == expect.get(name, len(rows)) and len(rows) <= len(ROWS), name
+        if name != "quality rules":  # which takes lines out of texts
+            assert {(r.doc_id, r.text) for r in rows} <= set(plain), name
+
+
+def test_mixing_equals_brute_force(spark, sf):
+    """Words, lifts, posteriors and rates worked out in plain Python from the same rows."""
+    import math
+
+    from orebody.llm.mixing import DOMAINS, SUPPORT, SURE, TARGET, mix
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = {r.doc_id: r.text or "" for r in docs.collect()}
+    domain = {r.doc_id: "toxic" if r.toxic == 1 else "low" if r.quality == 0 else "high" for r in labels.collect() if r.doc_id in rows}
+
+    def words(t):
+        w = {x for x in re.split(r"[^a-zà-öø-ÿœ]+", t.lower()) if x}
+        n = len(WORD.findall(t))
+        marks = {"#symbols": 20 * sum(c in "#*$%&|<>" for c in t) > len(t), "#capitals": 2 * sum(c.isupper() for c in t) > len(t), "#few": n < 20, "#repeats": n >= 20 and 3 * (len(w) + 1) < n}
+        return w | {m for m, holds in marks.items() if holds}, n
+
+    seen = {i: words(t) for i, t in rows.items()}
+    size = Counter(domain.values())
+    counts = {d: Counter(w for i, own in domain.items() if own == d for w in seen[i][0]) for d in DOMAINS}
+    chosen = []
+    for w in set().union(*counts.values()):
+        best = None
+        for d in DOMAINS:
+            inside, outside = size[d] + 1, sum(size.values()) - size[d] + 1
+            a, c = counts[d][w] + 0.5, sum(counts[x][w] for x in DOMAINS if x != d) + 0.5
+            lift = math.log(a / inside * outside / c) - SURE * math.sqrt(max(0, 1 / a - 1 / inside) + max(0, 1 / c - 1 / outside))
+            best = max(best or (-99, 0), (lift, counts[d][w] / (size[d] or 1)))
+        if best[0] >= math.log(4) and best[1] >= SUPPORT:
+            chosen.append(w)
+    prior = [math.log((size[d] + 1) / (sum(size.values()) + 3)) for d in DOMAINS]
+    share = lambda hits: [math.log((hits[d] + 0.5) / (size[d] + 1)) for d in DOMAINS]
+    adds = {w: share({d: counts[d][w] for d in DOMAINS}) for w in chosen}
+    plain = share(Counter(own for i, own in domain.items() if not seen[i][0] & set(adds)))
+
+    def posterior(i):
+        found = seen[i][0] & set(adds)
+        s = [b + (sum(adds[w][k] for w in found) if found else plain[k] if adds else 0) for k, b in enumerate(prior)]
+        e = [math.exp(x - max(s)) for x in s]
+        return [x / sum(e) for x in e]
+
+    p = {i: posterior(i) for i in rows}
+    out, name = mix(docs, labels)
+    got = {r.doc_id: r for r in out.select("doc_id", f"{name}.*").collect()}
+    assert all(abs(a - b) < 0.002 for i in rows for a, b in zip(got[i].p, p[i])) and all(got[i].n_tokens == seen[i][1] for i in rows)
+    have = [sum(seen[i][1] * p[i][k] for i in rows) for k in range(3)]
+    goal = [TARGET[d] * have[0] / TARGET["high"] for d in DOMAINS]
+    groups = defaultdict(int)
+    for i in rows:
+        groups[tuple(round(x, 3) for x in p[i])] += seen[i][1]
+    rate = dict.fromkeys(groups, 1.0)
+    for _ in range(4000):
+        total = [sum(rate[g] * n * g[k] for g, n in groups.items()) for k in range(3)]
+        rate = {g: max(0.0, r - 0.2 * sum(x * (s - t) / h for x, s, t, h in zip(g, total, goal, have))) for g, r in rate.items()}
+    loss = lambda rates: sum((sum(rates[g] * n * g[k] for g, n in groups.items()) - goal[k]) ** 2 / have[k] for k in range(3))
+    mine = {tuple(round(x, 3) for x in got[i].p): got[i].rate for i in rows}
+    assert loss({g: mine.get(g, rate[g]) for g in groups}) <= loss(rate) * 1.1 + 1e-3 * sum(have)
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as c
     from orebody.llm.common import documents
