@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orebody.functions.scalars import clamped, content_hash, document_text, language, looks_like_path
+from orebody.functions.scalars import clamped, content_hash, document_text, language, looks_like_path, query_text
 from orebody.operators import artifacts as arts
 from orebody.operators import changes, chunking, extract, graph, render, resolve, search
 from orebody.operators import symbols as sym
@@ -38,6 +38,13 @@ class Engine:
     def has(self, name: str) -> bool:
         return self.table(name).exists(self.project)
 
+    def lookup(self, name: str, **keys) -> DataFrame:
+        """Stored rows whose columns have these values (or one of a list of them); the filter reaches the files."""
+        rows = self.rows(name)
+        for column, value in keys.items():
+            rows = rows.where(F.col(column).isin(*value) if isinstance(value, (list, tuple, set)) else F.col(column) == value)
+        return rows
+
     def lock(self) -> Lock:
         return Lock(self.spark, f"{self.store}/locks", self.project)
 
@@ -58,7 +65,7 @@ class Engine:
             paths = cut(sources.indexable_paths(self.spark, root, **scan))
             found = sources.described(sources.contents(root, paths)).withColumnRenamed("relative_path", "path")
             state = cut(found.select("path", "content_hash", "language"))
-            old = self.rows("file_state")
+            old = changes.relative_keys(self.rows("file_state"), root)
             diff = cut(changes.file_changes(state, old))
             counts = {r.status: r.files for r in diff.groupBy("status").agg(F.count(F.lit(1)).alias("files")).collect()}
             if self.has("file_state") and not set(counts) - {"unchanged"}:
@@ -153,6 +160,18 @@ class Engine:
         best = search.hybrid(dense, sparse, "id", limit, min_score=min_score)
         return rows.drop("embedding", "text").join(F.broadcast(best), "id").orderBy(F.desc("score"), "id")
 
+    def search_many(self, questions: list[str], limit: int = 10) -> DataFrame:
+        """The best chunks of many questions at once: query (a question's place), rank, score and the chunk's columns. The
+        corpus is read once for all of them."""
+        limit = int(clamped(limit, 1, 50, 10))
+        asked = self.spark.createDataFrame(list(enumerate(questions)), "query int, text string")
+        told = self.provider.embed(asked.withColumn("text", query_text(F.col("text")))).orderBy("query").collect()
+        wide, rows = search.prefetch(limit), self.rows("chunks")
+        dense = search.dense_many(rows, [r.embedding for r in told], wide)
+        sparse = search.sparse_many(self.rows("postings"), self.rows("search_stats"), asked, wide)
+        best = search.hybrid_many(dense, sparse, limit)
+        return rows.drop("embedding", "text").join(F.broadcast(best), "id").orderBy("query", "rank")
+
     def search_text(self, query: str, limit: int = 10, min_score: float = 0.1, **how) -> str:
         """search() as text, with the number of hits below the threshold and a note if the index is not complete."""
         rows = self.search(query, limit, min_score=0.0, **how)
@@ -162,6 +181,13 @@ class Engine:
         note = "" if last is None or last.status == "completed" else f"The index is not complete (batch {last.batch} of {last.batches})."
         return render.results_text(query, self.project, good, len(rows) - len(good), min_score, note)
 
+    def progress(self) -> str:
+        """How far a run has come, as text."""
+        last = self.rows("progress").first()
+        if last is None:
+            return "nothing has been indexed"
+        return f"{last.phase}, {last.status}: " + render.progress_text(last.batch, last.batches, last.batch, last.batches, 0.0)
+
     def status(self) -> DataFrame:
         """One row: files, chunks and the last run's phase, batch, batches, status and time."""
         files = self.rows("file_state").agg(F.count(F.lit(1)).alias("files"))
@@ -302,6 +328,19 @@ class Graph:
         e = self.engine
         return render.viewer_page(render.viewer_data(e.project, self.nodes(), self.edges(), e.rows("symbols"), e.rows("call_edges")))
 
+    def write_page(self, folder: str | None = None, show: bool = False) -> str:
+        """Writes the page to a file of the driver's machine, named after the project, and opens it if asked; its path."""
+        import tempfile
+        import webbrowser
+        from pathlib import Path
+
+        name = "".join(c if c.isalnum() else "_" for c in self.engine.project)
+        path = Path(folder or tempfile.gettempdir(), f"graph-{name}.html")
+        path.write_text(self.page(), encoding="utf-8")
+        if show:
+            webbrowser.open(path.as_uri())
+        return str(path)
+
     def remove(self) -> None:
         with self.engine.lock():
             for name in self.STORED:

@@ -45,7 +45,8 @@ BY_EXTENSION = {ext: lang for lang, exts in LANGUAGES.items() for ext in exts}
 #: Extensions indexed beside those above, and names indexed whatever their extension.
 OTHER_INDEXED = (".ini", ".cfg", ".txt")
 SPECIAL_FILES = ("Dockerfile", "Makefile", "Rakefile", "Gemfile", "Procfile", ".env.example", ".gitignore", ".dockerignore")
-#: Languages with symbols and imports, for the graph.
+#: Extensions read as css in the graph, and languages with symbols and imports.
+STYLE_DIALECTS = (".styl",)
 GRAPH_LANGUAGES = ("javascript", "typescript", "python", "java", "kotlin", "scala", "c", "cpp", "csharp", "go", "rust", "ruby", "php", "swift", "shell", "html", "css", "scss", "sass", "less", "vue", "svelte", "dart", "lua")
 
 
@@ -90,6 +91,11 @@ def language(path: Column) -> Column:
     return F.coalesce(F.element_at(table, extension(path)), F.lit("plaintext"))
 
 
+def grammar(path: Column) -> Column:
+    """The language by which a file's imports and symbols are read."""
+    return F.when(extension(path).isin(*STYLE_DIALECTS), "css").otherwise(language(path))
+
+
 def extensions_of(value: str | None) -> list[str]:
     """A comma-separated list as extensions: trimmed, lower-case, with a dot, no empty ones, each once."""
     parts = [p.strip().lower() for p in (value or "").split(",")]
@@ -105,7 +111,8 @@ def is_indexable(path: Column, extra: list[str] = ()) -> Column:
 
 
 def is_graphable(path: Column, extra: list[str] = ()) -> Column:
-    return language(path).isin(*GRAPH_LANGUAGES) | extension(path).isin(*extra) if extra else language(path).isin(*GRAPH_LANGUAGES)
+    known = grammar(path).isin(*GRAPH_LANGUAGES)
+    return known | extension(path).isin(*extra) if extra else known
 
 
 def document_text(path: Column, content: Column) -> Column:

@@ -85,16 +85,16 @@ def imports_of(files: DataFrame) -> DataFrame:
     """files: path, language, content. path, language, ord, specifier, dynamic, style."""
     import pyarrow as pa
 
-    parts = []
+    # one pass for all languages: each row takes the branch of its own
+    lang, masked, found = F.col("language"), F.col("content"), F.lit(None).cast("array<struct<specifier:string,dynamic:boolean>>")
+    for comments in {comment_pattern(languages[0]): 0 for languages in IMPORTS}:
+        own = [x for languages in IMPORTS for x in languages if comment_pattern(languages[0]) == comments]
+        masked = F.when(lang.isin(*own), F.regexp_replace("content", comments, " ")).otherwise(masked)
     for languages, patterns in IMPORTS.items():
-        own = files.where(F.col("language").isin(*languages))
-        # all languages of a family share their comment syntax
-        comments = comment_pattern(languages[0])
-        masked = own.withColumn("content", F.regexp_replace("content", comments, " "))
-        found = F.concat(*(spec_structs(p, dyn) for p, dyn in patterns))
-        if languages == ("php",):
-            found = F.flatten(F.transform(found, php_names))
-        parts.append(masked.select("path", "language", F.posexplode(found).alias("ord", "f")).select("path", "language", "ord", F.trim("f.specifier").alias("specifier"), "f.dynamic", F.lit(languages == STYLES).alias("style")))
+        specs = F.concat(*(spec_structs(p, dyn) for p, dyn in patterns))
+        found = F.when(lang.isin(*languages), F.flatten(F.transform(specs, php_names)) if languages == ("php",) else specs).otherwise(found)
+    plain = files.where(lang.isin(*(x for languages in IMPORTS for x in languages))).select("path", "language", masked.alias("content"))
+    native = plain.select("path", "language", F.posexplode(found).alias("ord", "f")).select("path", "language", "ord", F.trim("f.specifier").alias("specifier"), "f.dynamic", lang.isin(*STYLES).alias("style"))
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -105,10 +105,7 @@ def imports_of(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.bool_()))], ["path", "language", "ord", "specifier", "dynamic", "style"])
 
     others = files.where(F.col("language").isin("python", *COMPONENTS)).select("path", "language", "content").mapInArrow(parsed, "path string, language string, ord int, specifier string, dynamic boolean, style boolean")
-    out = others
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+    return others.unionByName(native)
 
 
 def php_names(found: Column) -> Column:
@@ -139,7 +136,7 @@ class Call(NamedTuple):
 
 #: Declarations: pattern (group `n` is the name), kind; and how a block ends.
 NAME = r"(?P<n>[A-Za-z_$][\w$]*)"
-WORDS = r"(?:(?:public|private|protected|internal|static|final|abstract|sealed|open|override|async|export|default|partial|virtual|inline|suspend|data|case|implicit|lazy|extern|unsafe|const|pub(?:\([^)]*\))?|mutating|factory|external|synchronized|native|readonly|declare)\s+)*"
+WORDS = r"(?:@[\w.]+(?:\([^)]*\))?\s+|\[[\w., ()\"=]+\]\s*)*(?:(?:public|private|protected|internal|static|final|abstract|sealed|open|override|async|export|default|partial|virtual|inline|suspend|data|case|implicit|lazy|extern|unsafe|const|pub(?:\([^)]*\))?|mutating|factory|external|synchronized|native|readonly|declare)\s+)*"
 TYPED = rf"^\s*{WORDS}(?:[\w<>\[\],.?*&:]+\s+)+?[*&]*(?P<n>~?[A-Za-z_][\w:~]*)\s*\([^;]*$"
 DECLARATIONS: dict[tuple[str, ...], tuple[str, tuple[tuple[str, str], ...]]] = {
     JS: ("brace", ((rf"^\s*{WORDS}class\s+{NAME}", "class"), (rf"^\s*{WORDS}interface\s+{NAME}", "interface"), (rf"^\s*{WORDS}enum\s+{NAME}", "enum"), (rf"^\s*{WORDS}type\s+{NAME}\s*=", "type"), (rf"^\s*{WORDS}function\s*\*?\s*{NAME}\s*[(<]", "function"), (rf"^\s*{WORDS}(?:const|let|var)\s+{NAME}\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*(?::[^=]+)?=>|[\w$]+\s*=>)", "function"), (rf"^\s+{WORDS}(?:get\s+|set\s+|\*\s*)?{NAME}\s*\([^)]*\)\s*(?::[^{{;]+)?\{{", "method"))),

@@ -152,4 +152,4 @@ def capped_list(title: str, lines: list[str], most: int = 50) -> str:
 
 def progress_text(done: int, total: int, batch: int, batches: int, seconds: float) -> str:
     share = f"{round(100 * done / total)}%" if total else "unknown"
-    return f"{share} done ({done} of {total} files, batch {batch} of {batches}), {seconds:.0f} s so far"
+    return f"{share} done (batch {batch} of {batches})" + (f", {seconds:.0f} s so far" if seconds else "")

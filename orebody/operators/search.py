@@ -6,6 +6,8 @@ Over texts without an index, `bm25` tokenises once: lengths and the query's term
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,6 +104,53 @@ def hybrid(dense: DataFrame, sparse: DataFrame, id_col: str, limit: int = 10, k:
     return top(fused, limit, ties=(id_col,)).where(F.col("score") >= min_score)
 
 
+def dense_many(vectors: DataFrame, questions: list[list[float]], k: int, id_col: str = "id", vector_col: str = "embedding", digits: int = 6) -> DataFrame:
+    """query (its place), id and score of the best k vectors of each question: questions go to the data in one block, and a
+    batch of vectors gives k rows a question at most."""
+    import numpy as np
+    import pyarrow as pa
+
+    q = np.array(questions, float).reshape(len(questions), -1)
+    q = q / np.linalg.norm(q, axis=1, keepdims=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows or not len(q):
+                continue
+            x = np.array(b.column(1).to_pylist(), float)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                scores = q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+            scores = np.round(scores, digits)
+            place = np.unique(b.column(0).to_pylist(), return_inverse=True)[1]  # ties go by id
+            best = np.lexsort((np.broadcast_to(place, scores.shape), -np.nan_to_num(scores, nan=-2.0)), axis=1)[:, :k]
+            rows = best.ravel()
+            values = np.take_along_axis(scores, best, 1).ravel()
+            keep = ~np.isnan(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(q)), best.shape[1])[keep].astype(np.int32)), b.column(0).take(pa.array(rows[keep])), pa.array(values[keep])], ["query", "id", "score"])
+
+    kind = vectors.schema[id_col].dataType.simpleString()
+    found = vectors.select(id_col, vector_col).where(F.col(vector_col).isNotNull()).mapInArrow(run, f"query int, id {kind}, score double")
+    return ranked(found, k, ("id",), ("query",))
+
+
+def sparse_many(index: DataFrame, stats: DataFrame, questions: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """query, id, score and rank of the best k texts of each question (query, text), from stored postings in one pass."""
+    asked = questions.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    terms = [r.term for r in asked.select("term").distinct().collect()]  # those of the questions, not of the corpus
+    hits = index.where(F.col("term").isin(*terms) if terms else F.lit(False)).select("term", "id", "tf", "dl")
+    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    part = weight(*(F.col(c).cast("double") for c in ("tf", "dl", "df", "docs")), F.col("tokens") / F.col("docs"))
+    rows = hits.join(F.broadcast(df), "term").join(F.broadcast(stats)).select("term", "id", part.alias("w")).join(F.broadcast(asked), "term")
+    return ranked(rows.groupBy("query", "id").agg(F.round(F.sum("w"), digits).alias("score")), k, ("id",), ("query",))
+
+
+def hybrid_many(dense: DataFrame, sparse: DataFrame, limit: int = 10, k: int = 2) -> DataFrame:
+    """query, id, fused score and rank of the best `limit` of each question."""
+    parts = dense.select("query", "id", "rank").unionByName(sparse.select("query", "id", "rank"))
+    fused = parts.groupBy("query", "id").agg(F.round(F.sum(reciprocal(F.col("rank"), k)), 6).alias("score"))
+    return ranked(fused, limit, ("id",), ("query",))
+
+
 def multi_collection(hits: DataFrame, limit: int = 10, k: int = 60) -> DataFrame:
     """hits: label, path, rank (from 0 in its label) and a payload struct; one collection is returned as it is by the caller.
 

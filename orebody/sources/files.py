@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orebody.functions.scalars import content_hash, is_graphable, is_indexable, language
+from orebody.functions.scalars import content_hash, grammar, is_graphable, is_indexable, language
 from orebody.sources.ignore import is_ignored, prunable, rules
 from orebody.sources.store import cut
 
@@ -142,7 +142,8 @@ def indexable_files(spark: SparkSession, root: str, **how) -> DataFrame:
 
 def graphable_files(spark: SparkSession, root: str, extra: list[str] = (), patterns: list[str] | None = None, max_bytes: int = MAX_GRAPHED, use_gitignore: bool = True) -> DataFrame:
     """Files of the graph; files whose name begins with a dot are included."""
-    return described(contents(root, listed_files(spark, root, is_graphable(F.col("relative_path"), extra), patterns, max_bytes, use_gitignore)))
+    rows = contents(root, listed_files(spark, root, is_graphable(F.col("relative_path"), extra), patterns, max_bytes, use_gitignore))
+    return described(rows).withColumn("language", grammar(F.col("relative_path")))
 
 
 def described(rows: DataFrame) -> DataFrame:

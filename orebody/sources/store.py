@@ -30,6 +30,10 @@ TABLES = {
 }
 
 
+#: Columns that are looked up by value: their files get Bloom filters beside the minima and maxima.
+LOOKED_UP = {"chunks": ("path",), "postings": ("term",), "name_refs": ("name",), "symbols": ("file",), "call_edges": ("caller_file",), "artifact_postings": ("term",)}
+
+
 def with_retries(action, attempts: int = 3, first_wait: float = 0.5):
     """Runs action; waits twice as long before each further attempt."""
     for i in range(attempts):
@@ -100,6 +104,7 @@ class Table:
     def __init__(self, spark: SparkSession, path: str, schema: str, partition: str = "project_id"):
         self.spark, self.path, self.partition = spark, path.rstrip("/"), partition
         self.schema, self.files = StructType.fromDDL(schema), Files(spark, path)
+        self.options = {f"parquet.bloom.filter.enabled#{c}": "true" for c in LOOKED_UP.get(self.path.rsplit("/", 1)[-1], ())}
 
     def folder(self, project: str) -> str:
         return f"{self.partition}={project}"
@@ -124,14 +129,14 @@ class Table:
     def replace(self, project: str, rows: DataFrame) -> None:
         staged = f"_staged-{uuid.uuid4().hex}"
         try:
-            self.shaped(rows).write.parquet(f"{self.path}/{staged}")
+            self.shaped(rows).write.options(**self.options).parquet(f"{self.path}/{staged}")
             self.files.delete(self.folder(project))
             self.files.fs.rename(self.files.at(staged), self.files.at(self.folder(project)))
         finally:
             self.files.delete(staged)
 
     def append(self, project: str, rows: DataFrame) -> None:
-        self.shaped(rows).write.mode("append").parquet(f"{self.path}/{self.folder(project)}")
+        self.shaped(rows).write.options(**self.options).mode("append").parquet(f"{self.path}/{self.folder(project)}")
 
     def shaped(self, rows: DataFrame) -> DataFrame:
         """The declared columns; those that rows lack are null."""

@@ -80,6 +80,8 @@ def test_extraction_by_language():
 
     assert names("func (s *T) Run() {\n}\nfunc main() {\n\tgo()\n}\n", "go") == {("Run", "method", 1, 2), ("main", "function", 3, 5)}
     assert names("class A {\n  A() {\n  }\n  int f(int x) {\n    return g(x);\n  }\n}\n", "java") >= {("A", "class", 1, 7), ("f", "method", 4, 6)}
+    assert names("@Entity(name = \"x\") public class A {\n  @Override public int f(int x) {\n    return 1;\n  }\n}\n", "java") == {("A", "class", 1, 5), ("f", "method", 2, 4)}
+    assert names("[Serializable] public class B\n{\n  [Test(1)] public int G(int x)\n  {\n    return 1;\n  }\n}\n", "csharp") == {("B", "class", 1, 7), ("G", "method", 3, 6)}
     assert names("module M\n  class K\n    def go!\n    end\n  end\nend\n", "ruby") == {("M", "class", 1, 6), ("K", "class", 2, 5), ("go!", "method", 3, 4)}
     assert names("local function a()\nend\nfunction T:b()\n  a()\nend\n", "lua") == {("a", "function", 1, 2), ("b", "method", 3, 5)}
     assert names("fn a() {\n  b!(\"}\");\n}\n", "rust") == {("a", "function", 1, 3)}

@@ -85,6 +85,7 @@ def test_the_tree_s_own_rules_modules_and_aliases(spark, tree, tmp_path):
         ".orebodyignore": "private/\n", "private/p.py": "p = 1\n", "go.mod": "module example.org/app\n\ngo 1.22\n", "go/tool/tool.go": "package tool\n\nfunc Use() {\n}\n",
         "go/main.go": 'package main\n\nimport (\n\t"fmt"\n\t"example.org/app/go/tool"\n)\n\nfunc main() {\n\ttool.Use()\n\tfmt.Println(1)\n}\n',
         "tsconfig.json": '{ // comment\n "compilerOptions": {"baseUrl": ".", "paths": {"@util/*": ["src/util/*"]}} }', "src/alias.ts": 'import { helper } from "@util/helper";\nhelper("y");\n',
+        "css/a.styl": "@require 'b'\n@import './b'\n", "css/b.styl": ".a\n  color red\n",
         "php/a.php": "<?php\nuse App\\Models\\{User, Post as P};\n", "src/Models/User.php": "<?php\nclass User {\n}\n", "src/Models/Post.php": "<?php\nclass Post {\n}\n",
     }
     for name, text in files.items():
@@ -96,10 +97,11 @@ def test_the_tree_s_own_rules_modules_and_aliases(spark, tree, tmp_path):
     e = Engine(spark, str(tmp_path / "store"), "p1")
     e.graph.build(str(tree))
     edges = {(r.source, r.target) for r in e.graph.edges().collect()}
-    assert {("go/main.go", "go/tool/tool.go"), ("src/alias.ts", "src/util/helper.ts"), ("php/a.php", "src/Models/User.php"), ("php/a.php", "src/Models/Post.php")} <= edges
+    assert {("go/main.go", "go/tool/tool.go"), ("src/alias.ts", "src/util/helper.ts"), ("php/a.php", "src/Models/User.php"), ("php/a.php", "src/Models/Post.php"), ("css/a.styl", "css/b.styl")} <= edges
     report = e.graph.report()
     assert report["languages"]["php"] == 3 and report["edges"] == len(edges) and report["cyclic_edges"] == 0
     page = e.graph.page()
+    assert open(e.graph.write_page(str(tmp_path)), encoding="utf-8").read() == page
     assert "<\\u002fscript" not in page and page.count("</script>") == 2 and "go/tool/tool.go" in page
     diagram = e.graph.mermaid()
     assert "subgraph Legend" in diagram and "fill:#00ADD8" in diagram and diagram.startswith("graph LR\n    n0[")
@@ -193,6 +195,13 @@ def test_stored_search_equals_search_over_texts(spark, tree, tmp_path):
 
     e = Engine(spark, str(tmp_path / "store"), "p1")
     e.index(str(tree))
+    many = {}
+    for r in e.search_many(["helper", "thing", "retries queues"], 5).collect():
+        many.setdefault(r.query, []).append((r.id, r.score))
+    for i, q in enumerate(["helper", "thing", "retries queues"]):
+        assert many[i] == [(r.id, r.score) for r in e.search(q, 5, min_score=0.0).collect()]
+    assert [r.path for r in e.lookup("chunks", path=["lib/more.py", "lib/none.py"]).collect()] == ["lib/more.py"]
+    assert "completed" in e.progress() and "100%" in e.progress()
     terms = ["return", "thing", "helper", "nowhere"]
     chunks = e.rows("chunks").select("id", "text")
     want = {r.id: r.score for r in search.bm25(chunks, "id", chunks.text, terms).collect()}
