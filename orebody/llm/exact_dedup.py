@@ -6,7 +6,8 @@ ones are packed into 4 KB bitmaps. Pass two probes the bitmaps: rows in a cell h
 the others, and no more, shuffle by the SHA-256 of their text, are counted and get the row that stays.
 
 Of equal texts the row with the largest doc_id stays; null ids count as smallest, and among rows that repeat an id
-one stays (the last in input order). A null text equals the empty text. Empty tables give empty results.
+one stays (the last in input order). A null text equals the empty text. Empty tables give empty results. A very long text is
+hashed inside its row. Other columns pass through; work columns take names that none of them has.
 Group sizes and winners come from partial aggregation and a join that AQE may split, so one text may hold a third of
 all rows.
 """

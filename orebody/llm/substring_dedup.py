@@ -9,7 +9,8 @@ max_group different contexts) are split by window, which leaves a count of equal
 
 Words are runs of characters other than space and tab to carriage return, unchanged; null texts have none. Of equal windows
 the one of the smallest doc_id, and in it of the smallest start, stays (a null id is smallest; documents that share an id
-are ordered by a hash of their text; rows that repeat id and text count as one document). Each input row gives one row.
+are ordered by a hash of their text; rows that repeat id and text count as one document). Each input row gives one row, an
+empty table none; other columns are not read. A very long text is hashed in steps, with 8 bytes held for each of its words.
 """
 
 from __future__ import annotations
@@ -134,7 +135,7 @@ def earlier_spans(rows: DataFrame, window: int, k: int, max_group: int, max_broa
     return saved(parts, "spans")
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K, max_group: int = 10_000, max_broadcast_rows: int = 2_000_000) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K, max_group: int = 2_500, max_broadcast_rows: int = 2_000_000) -> DataFrame:
     """One row for each row of docs: its id, n_words, n_removed, kept_sha256 and kept (the words that stay, one space between)."""
     import pyarrow as pa
 
