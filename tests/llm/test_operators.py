@@ -285,21 +285,30 @@ def test_suffix_array_dedup(docs, none, max_group, broadcast):
 def test_levels_grow_geometrically():
     import numpy as np
 
-    from orebody.llm.suffix_array_dedup import Levels
-
-    levels, rng, seen, want, at = Levels(), np.random.default_rng(1), defaultdict(list), set(), 0
-    for _ in range(40):
-        batch = rng.integers(0, 4000, 50).astype(np.uint64)
-        levels.add(batch, np.arange(at, at + 50))
-        for i, v in enumerate(batch.tolist()):
-            seen[v].append(at + i)
-        at += 50
-    sizes = [len(p) for p, _ in levels.levels]
-    assert len(sizes) <= 8 and all(a > b for a, b in zip(sizes, sizes[1:]))
-    # every repeated value has its first place and all later ones among the repeated
-    found = set(levels.repeated().tolist())
-    want = {i for places in seen.values() if len(places) > 1 for i in places}
-    assert found == want
+    from orebody.llm.suffix_array_dedup import Levels, window_ranks
+
+    rng = np.random.default_rng(1)
+    for window in (3, 12, 100):
+        levels, seen, at = Levels(window), defaultdict(list), 0
+        pool = rng.integers(97, 100, 3000 * window // 20).astype(np.uint8)
+        for _ in range(40):
+            begin = int(rng.integers(0, len(pool) - 80 - window))
+            data = np.concatenate([pool[begin : begin + 40 + window], rng.integers(97, 123, 30 + window).astype(np.uint8)])
+            starts = np.array([i for i in range(len(data) - window + 1) if i % 3])
+            ranks = window_ranks(data, starts, window).tolist()
+            texts = [data[i : i + window].tobytes() for i in starts]
+            assert ranks == [sorted(set(texts)).index(t) for t in texts]
+            levels.add(data, starts, np.arange(at, at + len(starts)))
+            for i, t in enumerate(texts):
+                seen[t].append(at + i)
+            at += len(starts)
+        sizes = [len(x.starts) for x in levels.levels]
+        assert len(sizes) <= 8 and all(a > b for a, b in zip(sizes, sizes[1:]))
+        for x in levels.levels:  # each array is in order
+            texts = [x.data[i : i + window].tobytes() for i in x.starts]
+            assert texts == sorted(texts)
+        # every repeated string has its first place and all later ones among the repeated
+        assert set(levels.repeated().tolist()) == {i for places in seen.values() if len(places) > 1 for i in places}
 
 
 @pytest.mark.parametrize("max_group,broadcast", [(50_000, 10**6), (1, 0)])
