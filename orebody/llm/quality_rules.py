@@ -8,7 +8,8 @@ than `min_words` words or more than `max_repeats` of its words in repeated windo
 
 Words are runs of characters other than space and tab to carriage return; lines end at newlines only. Null and empty
 texts have no words and are rejected. Rows are judged one by one, so repeated rows and ids give repeated results; a
-text is handled inside its row by SQL functions, with no shuffle and memory in proportion to that text.
+text is handled inside its row by SQL functions, with no shuffle and memory in proportion to that text. An empty table gives
+no rows. Other columns pass through; work columns take names that none of them has.
 """
 
 from __future__ import annotations
@@ -22,7 +23,12 @@ from orebody.llm.common import documents, fresh, whole_text
 BLANKS = " \t\n\x0b\f\r"
 BLANK, WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
-BOILERPLATE = ("all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "accept cookies", "enable javascript", "subscribe to our newsletter", "click here to", "skip to content", "powered by wordpress")
+BOILERPLATE = (
+    "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "accept cookies", "enable javascript", "subscribe to our newsletter", "click here to", "skip to content", "powered by wordpress",
+    "alle rechte vorbehalten", "datenschutzerklärung", "cookies akzeptieren", "zum inhalt springen", "newsletter abonnieren",
+    "tous droits réservés", "politique de confidentialité", "mentions légales", "accepter les cookies", "aller au contenu",
+    "todos los derechos reservados", "política de privacidad", "aviso legal", "aceptar cookies", "saltar al contenido",
+)
 WINDOW = 8
 
 
@@ -63,6 +69,16 @@ def count_of(text: Column, characters: str) -> Column:
     return F.regexp_count(text, F.lit(f"[{characters}]"))
 
 
+def has_phrase(text: Column) -> Column:
+    def any_of(low: Column) -> Column:
+        found = F.lit(False)
+        for phrase in BOILERPLATE:
+            found |= F.contains(low, F.lit(phrase))
+        return found
+
+    return let(F.lower(text), any_of)
+
+
 def line_passes(line: Column, symbols_in_text: Column, phrases_in_text: Column, long_line: int) -> Column:
     """The rules for one line. What the whole text shows absent is not looked for in its lines."""
     n_words = F.size(F.split(line, BLANK + "+"))
@@ -70,13 +86,9 @@ def line_passes(line: Column, symbols_in_text: Column, phrases_in_text: Column,
     marks = count_of(line, SYMBOLS)
     navigation = let(bars, lambda n: (n >= 3) & (3 * n >= n_words))
     symbols = let(marks, lambda n: (n >= 6) & (6 * n > F.length(line)))
-    low = F.lower(line)
-    boilerplate = F.lit(False)
-    for phrase in BOILERPLATE:
-        boilerplate |= F.contains(low, F.lit(phrase))
-    shouting = (F.upper(line) == line) & (low != line) & (n_words >= 4)
+    shouting = (F.upper(line) == line) & (F.lower(line) != line) & (n_words >= 4)
     unpunctuated = ~line.rlike("[.,;:?!…。]") & (n_words >= long_line)
-    return ~((symbols_in_text & (navigation | symbols)) | shouting | unpunctuated | (phrases_in_text & boilerplate))
+    return ~((symbols_in_text & (navigation | symbols)) | shouting | unpunctuated | (phrases_in_text & has_phrase(line)))
 
 
 def quality(docs: DataFrame, text_col: str = "text", min_words: int = 20, max_repeats: int = 30, max_loss: float = 0.5, long_line: int = 60) -> tuple[DataFrame, str]:
@@ -85,16 +97,12 @@ def quality(docs: DataFrame, text_col: str = "text", min_words: int = 20, max_re
     at = {x: fresh(docs, f"_ob_{x}") for x in ("text", "words", "lines", "symbols", "good", "n", "chars", "lost", "repeats", "failed")}
     text, words, lines, symbols, good, n, in_words, lost, repeats, failed = map(F.col, at.values())
     chars = lambda pieces: F.length(F.array_join(F.flatten(F.transform(pieces, words_of)), ""))
-    low = F.lower(text)
-    phrases = F.lit(False)
-    for phrase in BOILERPLATE:
-        phrases |= F.contains(low, F.lit(phrase))
     counted = (
         docs.withColumn(at["text"], whole_text(text_col))
         .withColumn(at["words"], words_of(text))
         .withColumn(at["lines"], F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)))
         .withColumn(at["symbols"], count_of(text, SYMBOLS).cast("long"))
-        .withColumn(at["good"], let(F.struct(((symbols >= 3) | text.rlike("[»›•]")).alias("listed"), phrases.alias("phrases")), lambda have: F.filter(lines, lambda x: line_passes(x, have.listed, have.phrases, long_line))))
+        .withColumn(at["good"], let(F.struct(((symbols >= 3) | text.rlike("[»›•]")).alias("listed"), has_phrase(text).alias("phrases")), lambda have: F.filter(lines, lambda x: line_passes(x, have.listed, have.phrases, long_line))))
         .withColumn(at["n"], F.size(words).cast("long"))
         .withColumn(at["chars"], F.length(F.array_join(words, "")).cast("long"))
         .withColumn(at["lost"], F.when(F.size(good) == F.size(lines), F.lit(0)).otherwise(in_words - chars(good)).cast("long"))
