@@ -246,7 +246,7 @@ class Graph:
             files = e.rows("graph_files")
             found = cut(extract.extracted(files))
             # stored, so that the rules of resolution stand once in a plan and not in each language's branch
-            e.put("imports", extract.imports_of(files))
+            e.put("imports", extract.imports_of(files, self._languages()))
             e.put("edges", self._edges(root, go_module, aliases))
             e.put("symbols", extract.symbol_rows(found))
             e.put("name_refs", sym.name_refs(e.rows("symbols")))
@@ -256,11 +256,14 @@ class Graph:
     def _scanned(self, root: str, **scan) -> DataFrame:
         return sources.graphable_files(self.engine.spark, root, **scan).withColumnRenamed("relative_path", "path")
 
+    def _languages(self) -> set[str]:
+        return {r.language for r in self.engine.rows("graph_files").select("language").distinct().collect()}
+
     def _edges(self, root: str, go_module: str | None, aliases: list | None) -> DataFrame:
         own_module, own_aliases = config.module_rules(root)
         files = self.engine.rows("graph_files")
         paths = files.select("path")
-        return resolve.resolved_imports(self.engine.rows("imports"), paths, go_module or own_module, sources.go_packages(paths), sources.namespaces(files), sources.class_suffixes(paths), own_aliases if aliases is None else aliases)
+        return resolve.resolved_imports(self.engine.rows("imports"), paths, go_module or own_module, sources.go_packages(paths), sources.namespaces(files), sources.class_suffixes(paths), own_aliases if aliases is None else aliases, self._languages())
 
     def update(self, root: str, go_module: str | None = None, aliases: list | None = None, **scan) -> dict[str, int]:
         """Brings the stored graph to the state of the tree. Only changed files are parsed, and only calls that a change can
@@ -281,7 +284,7 @@ class Graph:
             old_edges, old_symbols = cut(e.rows("edges").distinct()), cut(e.rows("symbols").join(moved.withColumnRenamed("path", "file"), "file", "left_semi"))
             fresh_symbols, fresh_calls = extract.symbol_rows(found), extract.call_rows(found)
             e.put("graph_files", now)
-            for name, rows, column in (("imports", extract.imports_of(anew), "path"), ("symbols", fresh_symbols, "file"), ("calls", fresh_calls, "caller_file")):
+            for name, rows, column in (("imports", extract.imports_of(anew, self._languages()), "path"), ("symbols", fresh_symbols, "file"), ("calls", fresh_calls, "caller_file")):
                 table = e.table(name)
                 e.put(name, e.rows(name).join(moved.withColumnRenamed("path", column), column, "left_anti").select(table.schema.names).unionByName(table.shaped(rows)))
             e.put("name_refs", sym.name_refs(e.rows("symbols")))

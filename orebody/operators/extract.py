@@ -81,19 +81,21 @@ def file_imports(text: str, language: str) -> list[tuple[str, bool, bool]]:
     return [(m.strip(), dyn, language in STYLES) for p, dyn in patterns for m in re.findall(p, plain)]
 
 
-def imports_of(files: DataFrame) -> DataFrame:
-    """files: path, language, content. path, language, ord, specifier, dynamic, style."""
+def imports_of(files: DataFrame, languages: set[str] | None = None) -> DataFrame:
+    """files: path, language, content. path, language, ord, specifier, dynamic, style. languages: those that occur, if that
+    is known; the plan then holds no more than their patterns."""
+    known = {k: v for k, v in IMPORTS.items() if languages is None or languages & set(k)}
     import pyarrow as pa
 
     # one pass for all languages: each row takes the branch of its own
     lang, masked, found = F.col("language"), F.col("content"), F.lit(None).cast("array<struct<specifier:string,dynamic:boolean>>")
-    for comments in {comment_pattern(languages[0]): 0 for languages in IMPORTS}:
-        own = [x for languages in IMPORTS for x in languages if comment_pattern(languages[0]) == comments]
+    for comments in {comment_pattern(family[0]): 0 for family in known}:
+        own = [x for family in known for x in family if comment_pattern(family[0]) == comments]
         masked = F.when(lang.isin(*own), F.regexp_replace("content", comments, " ")).otherwise(masked)
-    for languages, patterns in IMPORTS.items():
+    for family, patterns in known.items():
         specs = F.concat(*(spec_structs(p, dyn) for p, dyn in patterns))
-        found = F.when(lang.isin(*languages), F.flatten(F.transform(specs, php_names)) if languages == ("php",) else specs).otherwise(found)
-    plain = files.where(lang.isin(*(x for languages in IMPORTS for x in languages))).select("path", "language", masked.alias("content"))
+        found = F.when(lang.isin(*family), F.flatten(F.transform(specs, php_names)) if family == ("php",) else specs).otherwise(found)
+    plain = files.where(lang.isin(*(x for family in known for x in family))).select("path", "language", masked.alias("content"))
     native = plain.select("path", "language", F.posexplode(found).alias("ord", "f")).select("path", "language", "ord", F.trim("f.specifier").alias("specifier"), "f.dynamic", lang.isin(*STYLES).alias("style"))
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +107,9 @@ def imports_of(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.bool_()))], ["path", "language", "ord", "specifier", "dynamic", "style"])
 
     others = files.where(F.col("language").isin("python", *COMPONENTS)).select("path", "language", "content").mapInArrow(parsed, "path string, language string, ord int, specifier string, dynamic boolean, style boolean")
-    return others.unionByName(native)
+    if languages is None or known and languages & {"python", *COMPONENTS}:
+        return others.unionByName(native)
+    return native if known else others
 
 
 def php_names(found: Column) -> Column:

@@ -94,36 +94,41 @@ def bases_by_language(spec: Column, folder: Column) -> dict[tuple[str, ...], lis
     return out
 
 
-def resolved_imports(imports: DataFrame, files: DataFrame, go_module: str | None = None, go_packages: DataFrame | None = None, namespaces: DataFrame | None = None, class_suffixes: DataFrame | None = None, aliases: list[tuple[str, bool, int, str]] = ()) -> DataFrame:
-    """imports: path, language, ord, specifier, dynamic, style; files: path. source, target, type and import_ord of those found."""
+def resolved_imports(imports: DataFrame, files: DataFrame, go_module: str | None = None, go_packages: DataFrame | None = None, namespaces: DataFrame | None = None, class_suffixes: DataFrame | None = None, aliases: list[tuple[str, bool, int, str]] = (), present: set[str] | None = None) -> DataFrame:
+    """present: the languages that occur, if that is known; the plan then holds no more than their rules. imports: path, language, ord, specifier, dynamic, style; files: path. source, target, type and import_ord of those found."""
     spec, lang = F.col("specifier"), F.when(F.col("style"), F.lit("css")).otherwise(F.col("language"))
     folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
     own = imports.withColumn("_lang", lang).where(~is_external(spec, F.col("_lang")))
     keys = ["source", "import_ord", "dynamic"]
     base = own.withColumnRenamed("ord", "import_ord")
     options = F.lit(None).cast("array<struct<base:string,family:string>>")
+    here = lambda languages: present is None or bool(present & {*languages})
+    families: set[str] = set()
     for languages, bases in bases_by_language(spec, folder).items():
+        if not here(languages) and not (languages == STYLES and here(COMPONENTS)):
+            continue
         if languages[0] in ("javascript", STYLES[0]):
             family = "script" if languages[0] == "javascript" else "style"
             for prefix, wild, _, target in aliases:
                 hit = F.when(spec.startswith(prefix) if wild else spec == prefix, normal_path(F.concat(F.lit(target + ("/" if wild else "")), F.substring(spec, F.lit(len(prefix) + 1), F.length(spec)))))
                 bases = [*bases, (hit, family)]
+        families |= {f for _, f in bases}
         options = F.when(F.col("_lang").isin(*languages), F.array(*(F.struct(x.alias("base"), F.lit(f).alias("family")) for x, f in bases))).otherwise(options)
     # bases are exploded before they are probed, so that no path is worked out again for each of its probes
     based = base.withColumn("_b", options).select(F.col("path").alias("source"), "import_ord", "dynamic", F.posexplode("_b").alias("i", "b")).select("source", "import_ord", "dynamic", "i", "b.base", "b.family").where("base IS NOT NULL")
     probed = F.array(F.col("base"))
     for family, extensions in FAMILIES.items():
-        if extensions:
+        if extensions and family in families:
             probed = F.when(F.col("family") == family, F.array(*probes(F.col("base"), extensions))).otherwise(probed)
     listed = based.select(*keys, "i", F.posexplode(probed).alias("j", "path")).where("path IS NOT NULL").withColumn("ord", F.col("i") * 1000 + F.col("j"))
     found = first_hits(listed, files, keys)
     lookups = []
-    if go_module and go_packages is not None:
+    if go_module and go_packages is not None and here(("go",)):
         inside = F.when(spec == go_module, F.lit("")).when(spec.startswith(go_module + "/"), F.substring(spec, F.lit(len(go_module) + 2), F.length(spec)))
         lookups.append((base.where("_lang = 'go'").withColumn("k", inside), go_packages.select(F.col("folder").alias("k"), F.col("path").alias("to"))))
-    if namespaces is not None:
+    if namespaces is not None and here(("csharp",)):
         lookups.append((base.where("_lang = 'csharp'").withColumn("k", spec), namespaces.select(F.col("namespace").alias("k"), F.col("path").alias("to"))))
-    if class_suffixes is not None:
+    if class_suffixes is not None and here(JVM):
         end = F.when(F.col("_lang") == "java", ".java").when(F.col("_lang") == "kotlin", ".kt").otherwise(".scala")
         jvm = base.where(F.col("_lang").isin(*JVM)).withColumn("k", F.concat(F.regexp_replace(spec, r"\.", "/"), end))
         lookups.append((jvm, class_suffixes.select(F.col("suffix").alias("k"), F.col("path").alias("to"))))

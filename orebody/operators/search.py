@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from orebody.sources.store import cut
 
-TOKEN = r"[\p{L}\p{N}]+"
+# letters and digits of ASCII stand first: they are found without a look at Unicode classes
+TOKEN = r"[a-z0-9\p{L}\p{N}]+"
 K1, B = 1.2, 0.75
 
 

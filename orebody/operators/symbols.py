@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orebody.operators.graph import reach
+from orebody.sources.store import cut
 
 MODULE = "<module>"
 #: Names of entry points by language, and calls that register a handler.
@@ -181,7 +182,7 @@ def patched_calls(call_edges: DataFrame, calls: DataFrame, symbols: DataFrame, e
     """
     touched = calls.join(changed_files.withColumnRenamed("file", "caller_file"), "caller_file", "left_semi").select("call_id").unionAll(calls.join(changed_names, "callee_name", "left_semi").select("call_id"))
     importers = edges.join(changed_files.withColumnRenamed("file", "target"), "target", "left_semi").select(F.col("source").alias("caller_file")).distinct()
-    touched = touched.unionAll(calls.join(importers, "caller_file", "left_semi").select("call_id")).distinct()
+    touched = cut(touched.unionAll(calls.join(importers, "caller_file", "left_semi").select("call_id")).distinct())
     anew = resolved(calls.join(touched, "call_id", "left_semi"), symbols, edges)
     kept = call_edges.join(calls.select("call_id"), "call_id", "left_semi").join(touched, "call_id", "left_anti")
     return kept.unionByName(anew)
