@@ -6,7 +6,7 @@ import atexit
 import uuid
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
@@ -62,6 +62,21 @@ def pieces(batches: Iterable, rows: int = 512) -> Iterator:
             yield b.slice(at, rows)
 
 
+def first_by_hash(rows: DataFrame, by: str, id_col: str, most: int) -> DataFrame:
+    """Of each value of `by` the `most` rows with the smallest hash of their id (ties by id).
+
+    Counts of 4,096 ranges of hashes tell which ranges are needed, so that the ranking sees hardly more than `most` rows of a
+    value, though one may hold most of the table.
+    """
+    h, part, r, n = (fresh(rows, x) for x in ("_h", "_part", "_r", "_n"))
+    hashed = rows.withColumn(h, F.xxhash64(id_col)).withColumn(part, F.shiftright(h, 52))
+    counts = hashed.groupBy(by, part).agg(F.count(F.lit(1)).alias(n))
+    before = F.sum(n).over(Window.partitionBy(by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    wanted = counts.withColumn(r, F.coalesce(before, F.lit(0))).where(F.col(r) < most).select(by, part)
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(h, id_col))
+    return hashed.join(wanted, [by, part], "left_semi").withColumn(r, rank).where(F.col(r) <= most).drop(h, part, r)
+
+
 def whole_text(col: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(col), F.lit(""))

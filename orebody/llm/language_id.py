@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orebody.llm.common import documents
+from orebody.llm.common import documents, first_by_hash
 
 ORDERS = (2, 3, 4)
 HASHES = 2
@@ -94,8 +94,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     import pyarrow as pa
 
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    first = Window.partitionBy("lang").orderBy("h", "id")
-    ids = labelled.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id")).withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample).select("id").distinct()
+    ids = first_by_hash(labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id")), "lang", "id", sample).select("id").distinct()
     chosen = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(ids), "id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,10 +26,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orebody.llm.common import documents, fresh, saved, whole_text
+from orebody.llm.common import documents, first_by_hash, fresh, saved, whole_text
 from orebody.llm.quality_rules import BLANK, SYMBOLS, count_of, let
 
 DOMAINS = ("high", "low", "toxic")
@@ -63,8 +63,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample
     # only labelled rows that are here count: a stage before may have removed most of a domain
     known = domain(labels).join(docs.select(F.col(id_col).alias("doc_id")), "doc_id", "left_semi")
     priors = {r.domain: r.n for r in known.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rank = F.row_number().over(Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.withColumn("rank", rank).where(F.col("rank") <= sample).select("doc_id", "domain")
+    chosen = first_by_hash(known.select("doc_id", "domain"), "domain", "doc_id", sample)
     texts = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("t")).join(F.broadcast(chosen), "doc_id")
     seen = saved(texts.select("domain", F.array_distinct(features(F.col("t")).words).alias("words")), "mixing-labelled")
     n = {r.domain: r.n for r in seen.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
