@@ -78,7 +78,17 @@ def file_imports(text: str, language: str) -> list[tuple[str, bool, bool]]:
         return [(m, dyn, False) for p, dyn in IMPORTS[JS] for m in re.findall(p, script)] + [(m, False, True) for p, _ in IMPORTS[STYLES] for m in re.findall(p, style)]
     patterns = next((v for k, v in IMPORTS.items() if language in k), ())
     plain = re.sub(comment_pattern(language), " ", text)
-    return [(m.strip(), dyn, language in STYLES) for p, dyn in patterns for m in re.findall(p, plain)]
+    found = [(m.strip(), dyn) for p, dyn in patterns for m in re.findall(p, plain)]
+    if language == "php":
+        found = [(name, dyn) for spec, dyn in found for name in php_list(spec)]
+    return [(spec, dyn, language in STYLES) for spec, dyn in found]
+
+
+def php_list(spec: str) -> list[str]:
+    """php_names() for one text."""
+    prefix, _, inner = spec.partition("{") if "{" in spec else ("", "", spec)
+    names = (re.sub(r"(?i)\s+as\s+\w+\s*$|^\s*(?:function|const)\s+", "", x) for x in inner.rstrip("} ").split(","))
+    return [re.sub(r"\s", "", prefix + n) for n in names if n.strip()]
 
 
 def imports_of(files: DataFrame, languages: set[str] | None = None) -> DataFrame:

@@ -103,3 +103,23 @@ def test_flow_tree_marks_what_was_seen(spark):
     rows = [("a", 1, "1", ["b"]), ("a", 2, "2", ["c"]), ("b", 1, "3", ["d"]), ("c", 1, "4", ["d"])]
     calls = spark.createDataFrame(rows, "caller_id string, line int, call_id string, candidates array<string>")
     assert flow_tree(calls, "a") == [(0, "a", "call"), (1, "b", "call"), (2, "d", "call"), (1, "c", "call"), (2, "d", "cycle")]
+
+
+def test_table_functions_give_what_the_operators_give(spark):
+    from pyspark.sql import functions as F
+
+    from orebody.functions.registry import register
+    from orebody.operators.extract import extracted, imports_of, symbol_rows
+    from orebody.plans.code_queries import TEMPLATES
+
+    rows = [(path.replace("{i}", "1"), lang, text.replace("{i}", "1").replace("{a}", "2")) for lang, path, text in TEMPLATES]
+    files = spark.createDataFrame(rows, "path string, language string, content string")
+    files.createOrReplaceTempView("sources")
+    assert {"imports_in", "symbols_in", "chunk_lines", "content_hash"} <= set(register(spark))
+    got = spark.sql("SELECT path, i.* FROM sources, LATERAL imports_in(language, content) i").collect()
+    want = imports_of(files).select("path", "ord", "specifier", "dynamic").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    got = spark.sql("SELECT path, s.name, s.kind, s.line, s.end_line FROM sources, LATERAL symbols_in(language, content) s").collect()
+    want = symbol_rows(extracted(files)).select(F.col("file"), "name", "kind", "line", "end_line").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert imports_of(files, {"go"}).where("language <> 'go'").isEmpty() and imports_of(files.where("language = 'go'"), {"go"}).count() == 2
