@@ -113,11 +113,19 @@ def symbols_by_file(symbols: DataFrame, cap: int = 200) -> DataFrame:
     return counts.join(first, "file").select("file", "n", F.transform("s", lambda x: x["name"]).alias("names"))
 
 
+def covering(sites: DataFrame, symbols: DataFrame, *keys: str, block: int = 64) -> DataFrame:
+    """sites: file, line and keys. keys and b, the symbol (start, id) that covers the line and starts last (of equal starts, the
+    last id). Spans are laid out over blocks of lines, so that a line meets the spans of its block and not of its whole file."""
+    at = lambda line: F.floor(F.col(line) / block).cast("int")
+    spans = symbols.where(F.col("name") != MODULE).select("file", F.col("id"), F.col("line").alias("start"), F.col("end_line").alias("end"))
+    laid = spans.where("end >= start").withColumn("_block", F.explode(F.sequence(at("start"), at("end"))))
+    inside = sites.withColumn("_block", at("line")).join(laid, ["file", "_block"]).where(F.col("line").between(F.col("start"), F.col("end")))
+    return inside.groupBy(*keys).agg(F.max(F.struct("start", "id")).alias("b"))
+
+
 def caller_attribution(sites: DataFrame, symbols: DataFrame) -> DataFrame:
     """sites: file, line, site. The symbol that covers the line and starts last (of equal starts, the last id)."""
-    spans = symbols.where(F.col("name") != MODULE).select("file", F.col("id"), F.col("line").alias("start"), F.col("end_line").alias("end"))
-    inside = sites.join(spans, "file").where(F.col("line").between(F.col("start"), F.col("end")))
-    best = inside.groupBy("file", "site").agg(F.max(F.struct("start", "id")).alias("b"))
+    best = covering(sites, symbols, "file", "site")
     return sites.join(best, ["file", "site"], "left").select("file", "site", "line", F.coalesce("b.id", F.concat("file", F.lit("::<module>#1"))).alias("caller_id"))
 
 
@@ -131,8 +139,7 @@ def entry_points(symbols: DataFrame, calls: DataFrame, edges: DataFrame) -> Data
     low = F.lower("callee_name")
     reason = F.when(low.isin(*HTTP_VERBS), F.concat(F.lit("framework:http-"), low)).when(low == "route", "framework:route")
     sites = calls.withColumn("reason", reason).where("reason IS NOT NULL").select(F.col("caller_file").alias("file"), "line", F.col("call_id").alias("site"), "reason")
-    spans = named.select("file", "id", F.col("line").alias("start"), F.col("end_line").alias("end"))
-    handlers = sites.join(spans, "file").where(F.col("line").between(F.col("start"), F.col("end"))).groupBy("site", "reason").agg(F.max(F.struct("start", "id")).alias("b")).select("b.id", "reason")
+    handlers = covering(sites, symbols, "site", "reason").select("b.id", "reason")
     tests = named.where(F.col("name").rlike(TEST_NAME)).select("id", F.lit("test").alias("reason"))
     return orphan.unionAll(mains).unionAll(handlers).unionAll(tests).distinct()
 
