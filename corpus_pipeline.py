@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orebody.llm.common import documents, saved
-from orebody.llm.exact_dedup import exact_dedup
+from orebody.llm.exact_dedup import without_copies
 from orebody.llm.minhash_dedup import without_near_duplicates
 from orebody.llm.mixing import mix
 from orebody.llm.packing import packed_documents
@@ -31,8 +31,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row of the largest id stays."""
-    marked, out = exact_dedup(docs)
-    return marked.where(F.col(out).kept).select(*docs.columns)
+    return without_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
