@@ -222,10 +222,9 @@ def test_splices_for_any_chunking():
 
 @pytest.mark.parametrize("limit", [64 << 20, 0])
 def test_exact_dedup(docs, none, limit):
-    from orebody.llm.exact_dedup import exact_dedup
+    from orebody.llm.exact_dedup import exact_dedup, without_copies
 
-    out, name = exact_dedup(docs, max_filter_bytes=limit)
-    got = out.select("doc_id", f"{name}.*").collect()
+    got = exact_dedup(docs, max_filter_bytes=limit).collect()
     groups = defaultdict(list)
     for i, t in ROWS:
         groups[t or ""].append(i)
@@ -233,7 +232,12 @@ def test_exact_dedup(docs, none, limit):
     want = [(i, top(groups[t or ""]), len(groups[t or ""]), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in ROWS]
     assert pairs(got, "doc_id", "keep_id", "group_size", "text_sha256") == sorted(want, key=repr)
     assert sum(r.kept for r in got) == len(groups) and all(r.doc_id == r.keep_id for r in got if r.kept)
-    assert exact_dedup(none)[0].count() == 0
+    assert exact_dedup(none).count() == 0 and without_copies(none).count() == 0
+    left = without_copies(docs, max_filter_bytes=limit, max_broadcast_rows=limit)
+    assert left.columns == docs.columns and pairs(left.collect(), "doc_id", "text") == sorted(((top(groups[t or ""]), next(x for i, x in ROWS if i == top(groups[t or ""]) and (x or "") == t)) for t in groups), key=repr)
+    again = without_copies(docs.unionAll(docs).unionAll(docs.where("doc_id = 8")), max_filter_bytes=limit)
+    assert pairs(again.collect(), "doc_id", "text") == pairs(left.collect(), "doc_id", "text")
+    assert all(r["_ob_id"] == "clash" and r["kept"] == "clash" for r in again.collect())
 
 
 def test_mixing(spark, docs, none):
