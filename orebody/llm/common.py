@@ -33,17 +33,30 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_path(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def release(keep: int = 0) -> None:
     """Deletes the scratch tables made so far, but for the last `keep`. Call it when their results are written."""
     while len(_made) > keep:
         spark, path = _made.pop(0)
         try:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            release_path(spark, path)
         except Exception:  # the session may have ended
             return
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes one table that saved() made, when nothing reads it any more."""
+    for at, (spark, path) in enumerate(_made):
+        if any(path.split(":", 1)[-1].rsplit("/", 1)[-1] in f for f in df.inputFiles()[:1]):
+            release_path(spark, path)
+            del _made[at]
+            return
+
+
 atexit.register(release)
 
 

@@ -1,4 +1,4 @@
-"""The ten operators' queries and their SQL."""
+"""The operators' queries and their SQL."""
 
 from __future__ import annotations
 
@@ -16,6 +16,9 @@ MODULES = {
     "op8_substring_dedup": "substring_dedup",
     "op9_minhash_dedup": "minhash_dedup",
     "op10_packing": "packing",
+    "op11_source_divergence": "divergence",
+    "op12_toxicity": "toxicity",
+    "op13_phrases": "phrases",
 }
 
 
