@@ -30,26 +30,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orebody.llm.common import documents, pieces, saved
+from orebody.llm.hashing import in_steps
 
 SCALE, PRIOR = 1_000_000_000, 5
 #: Bytes that are letters stay, A-Z in lower case; all others part terms.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-STEP = 1 << 22
 #: Terms that a task holds before it sends its counts on.
 HELD = 400_000
 
 
-def in_steps(raw: bytes, table: bytes) -> Iterator[list[bytes]]:
-    """Words of the translated bytes, some megabytes at a time; steps end between words."""
-    for_split = raw.translate(table)
-    at = 0
-    while at < len(for_split):
-        to = for_split.find(b" ", at + STEP)
-        to = len(for_split) if to < 0 else to
-        yield for_split[at:to].split()
-        at = to
-
-
 def term_counts(rows: DataFrame) -> DataFrame:
     """rows: lang, source, text. lang, source, term, n (occurrences), docs; term '' stands for the group itself."""
     import pyarrow as pa

@@ -1,30 +1,24 @@
-"""Vectorised 64-bit hashes of bytes, words and windows of them; the same in every process."""
+"""Hashes of words, and of runs of words or bytes; the key is drawn once a run, so no text can be made to collide.
+
+A word's hash is keyed BLAKE2 of its bytes. A run's hash is built by doubling: that of 2 n items mixes those of its halves,
+and any other length is covered by two runs of the power of two below it. Unlike a polynomial, whose differences cancel on
+sequences such as Thue and Morse's, the mix is not linear.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import secrets
+from collections.abc import Iterator
+
 import numpy as np
 
-_rng = np.random.Generator(np.random.PCG64(20240607))
-BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
-#: Value of each byte; CASELESS gives A-Z the values of a-z.
-VALUES = _rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-CASELESS = VALUES.copy()
-CASELESS[65:91] = VALUES[97:123]
-BLANK = np.zeros(256, bool)
-BLANK[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes with blanks (tab to carriage return) as spaces; CASELESS has A-Z in lower case too.
+PLAIN = bytes(32 if 9 <= b <= 13 else b for b in range(256))
+CASELESS = bytes(b + 32 if 65 <= b <= 90 else b for b in PLAIN)
 STEP = 1 << 22
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> list[np.ndarray]:
-    """BASE and its inverse, to the powers 0 to n at least."""
-    if len(_powers[0]) <= n:
-        for i, b in enumerate((BASE, INVERSE)):
-            p = np.full(n + n // 2 + 1024, b, np.uint64)
-            p[0] = 1
-            _powers[i] = np.cumprod(p)
-    return _powers
+#: Words whose hashes a worker remembers.
+REMEMBERED = 400_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -36,53 +30,103 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def prefix_sums(values: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(len(values))[0][: len(values)], out=out[1:])
-    return out
+def joined(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of two hashes in this order; salt tells lengths apart."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt)
+    x ^= x >> np.uint64(32)
+    x += b
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xA0761D6478BD642F)
+    return x ^ (x >> np.uint64(32))
 
 
-def of_ranges(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of ranges of the values behind sums, whatever place they have."""
-    return (sums[ends] - sums[starts]) * powers(len(sums))[1][starts]
+def doubled(items: np.ndarray, width: int, have: int = 1) -> np.ndarray:
+    """A hash of each run of as many items as the largest power of two up to width; items may be such hashes of runs of `have`."""
+    out = items
+    while 2 * have <= width:
+        out = joined(out[: max(0, len(out) - have)], out[have:], have)
+        have *= 2
+    return out
 
 
-def word_ranges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words of UTF-8 bytes; only space and tab to carriage return part words."""
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~BLANK[data]
-    change = np.diff(inside)
-    return np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+def power_below(width: int) -> int:
+    return 1 << (width.bit_length() - 1)
 
 
-def word_hashes(text: str | None, caseless: bool = False) -> np.ndarray:
-    """A hash of each word of the text, in order. Long texts are taken in steps that end between words."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    data, table, out = np.frombuffer(raw, np.uint8), CASELESS if caseless else VALUES, []
-    at = 0
-    while at < len(data):
-        to = min(len(data), at + STEP)
-        while to < len(data) and not BLANK[data[to]]:
-            to = min(len(data), to + 4096) if not BLANK[data[to : to + 4096]].any() else to + int(np.argmax(BLANK[data[to : to + 4096]]))
-        part = data[at:to]
-        starts, ends = word_ranges(part)
-        out.append(mixed(of_ranges(prefix_sums(table[part]), starts, ends)))
-        at = to
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+def at_places(halves: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of `width` items that begin at the places; halves: what doubled() gives for that width."""
+    return joined(halves[at], halves[at + width - power_below(width)], width)
 
 
-def windows(hashes: np.ndarray, width: int) -> np.ndarray:
-    """A hash of each run of `width` hashes; empty if there are fewer."""
-    n = len(hashes) - width + 1
+def windows(items: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of `width` items; empty if there are fewer."""
+    n = len(items) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    starts = np.arange(n)
-    return mixed(of_ranges(prefix_sums(hashes), starts, starts + width))
+    halves = doubled(items, width)
+    return joined(halves[:n], halves[width - power_below(width) :][:n], width)
+
+
+class Words(dict):
+    """Word to hash, remembering what it has seen."""
+
+    def __init__(self, key: bytes):
+        super().__init__()
+        self.key = key
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > REMEMBERED:
+            self.clear()
+        found = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=self.key).digest(), "little")
+        return found
 
 
-def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the text's word shingles, A-Z lower-cased; a shorter text is one shingle, an empty one none."""
-    words = word_hashes(text, caseless=True)
-    if not len(words):
-        return np.empty(0, np.int64)
-    return np.unique(windows(words, min(width, len(words))).view(np.int64))
+class Hashes:
+    """The hashes of one run: a key that the driver draws and the tasks are sent."""
+
+    def __init__(self, key: bytes | None = None):
+        self.key = key or secrets.token_bytes(16)
+        self._words = self._values = None
+
+    def __getstate__(self):
+        return self.key
+
+    def __setstate__(self, key: bytes):
+        self.__init__(key)
+
+    @property
+    def values(self) -> np.ndarray:
+        """What each byte counts as."""
+        if self._values is None:
+            self._values = np.frombuffer(b"".join(hashlib.blake2b(bytes([b]), digest_size=8, key=self.key).digest() for b in range(256)), np.uint64)
+        return self._values
+
+    def of_bytes(self, text: str) -> np.ndarray:
+        return self.values[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
+
+    def of_words(self, text: str | None, caseless: bool = False) -> np.ndarray:
+        """A hash of each word of the text, in order; only space and tab to carriage return part words. Long texts are taken in
+        steps that end between words."""
+        if self._words is None:
+            self._words = Words(self.key)
+        out = [np.fromiter(map(self._words.__getitem__, words), np.uint64, len(words)) for words in in_steps((text or "").encode("utf-8", "surrogatepass"), CASELESS if caseless else PLAIN)]
+        return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+    def shingle_set(self, text: str | None, width: int = 5) -> np.ndarray:
+        """Sorted distinct hashes of the text's word shingles, A-Z lower-cased; a shorter text is one shingle, an empty one none."""
+        words = self.of_words(text, caseless=True)
+        if not len(words):
+            return np.empty(0, np.int64)
+        return np.unique(windows(words, min(width, len(words))).view(np.int64))
+
+
+def in_steps(raw: bytes, table: bytes) -> Iterator[list[bytes]]:
+    """Words of the translated bytes, some megabytes at a time; steps end between words."""
+    plain = raw.translate(table)
+    at = 0
+    while at < len(plain):
+        to = plain.find(b" ", at + STEP)
+        to = len(plain) if to < 0 else to
+        yield plain[at:to].split()
+        at = to

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from orebody.llm.common import documents, fresh, pieces, saved
 from orebody.llm.components import components
-from orebody.llm.hashing import shingle_set
+from orebody.llm.hashing import Hashes
 
 K = 48
 
@@ -41,14 +41,14 @@ def node_of(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) -> DataFrame:
+def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, k: int, hashes: Hashes) -> DataFrame:
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             nodes, sizes, values = [], [], []
             for t in b.column(1).to_pylist():
-                s = shingle_set(t, width)
+                s = hashes.shingle_set(t, width)
                 nodes.append(node_of(s))
                 sizes.append(len(s))
                 values.append(s[:k])
@@ -95,7 +95,7 @@ def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.where(F.size("common") >= F.greatest(needed(F.col("n_x"), percent), needed(F.col("n_y"), percent))).where(F.when(whole, similar(F.size("common"), F.col("n_x"), F.col("n_y"), percent)).otherwise(enough)).select("x", "y")
 
 
-def full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, max_broadcast_rows: int) -> DataFrame:
+def full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, max_broadcast_rows: int, hashes: Hashes) -> DataFrame:
     """node and shingles (array of hashes) of each of the nodes, from the text of a document of that class."""
     import pyarrow as pa
 
@@ -106,7 +106,7 @@ def full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            sets = [shingle_set(t, width) for t in b.column(1).to_pylist()]
+            sets = [hashes.shingle_set(t, width) for t in b.column(1).to_pylist()]
             # an id may repeat with another text
             found = [(w, s) for w, s in zip(b.column(0).to_pylist(), sets) if node_of(s) == w]
             offsets = np.concatenate([[0], np.cumsum([len(s) for _, s in found])]).astype(np.int32)
@@ -158,10 +158,11 @@ def pairs_apart(index: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, max_broadcast_rows: int = 2_000_000) -> DataFrame:
     """One row for each row of docs: its id, key (xxhash64 of id and text), n_shingles, node (its class), component (a
     number of its component; that of rows without shingles is null) and component_id."""
-    members = saved(sketches(docs, id_col, text_col, width, K), "near-members")
+    hashes = Hashes()
+    members = saved(sketches(docs, id_col, text_col, width, K, hashes), "near-members")
     classes = saved(members.groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-classes")
     live = classes.where("n > 0")
-    sets_of = lambda nodes: full_sets(nodes, classes, docs, id_col, text_col, width, max_broadcast_rows)
+    sets_of = lambda nodes: full_sets(nodes, classes, docs, id_col, text_col, width, max_broadcast_rows, hashes)
 
     values = live.select("node", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
     frequent = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")

@@ -5,8 +5,8 @@ words of its documents, a place apart between pieces, and turns them into blocks
 The length of a word's lists over all blocks is its exact frequency. A level extends the frequent phrases of each
 block: the places of all lists are merge-joined with the places one further on of the adjacent lists (the words at first,
 then the adjacent word's places already narrowed to the frequent phrases that share the words between), which gives the
-longer phrase's list. Only lengths of lists leave a block; they are summed over blocks, and the phrases of at least
-`least` occurrences get numbers, which go back to the blocks that hold them. Lists of the others end there.
+longer phrase's list. Only lengths of lists leave a block, one a phrase; they meet by phrase and are summed, and the
+phrases of at least `least` occurrences get numbers, which go back to the blocks that hold them. Lists of the others end there.
 
 Everything is per language (null: `und`); phrases have up to `longest` words. A phrase is cut after its k-th word into two
 parts of frequency l and r and scored floor(scale x a / (l + r)); its lowest-scoring cut counts, the first of equals. A
@@ -15,9 +15,9 @@ first `top` come out, by score, frequency and the bytes of the phrase.
 
 Null and empty texts have no words. Rows may repeat and count each. A language without candidates gives no rows, an empty
 table none. A document is never parted between blocks, so a very long one makes a block of its own size (4 bytes a word in the
-table, some 50 at work). Blocks hold some `block` words of a task. Numbers of frequent phrases go to all
-tasks by broadcast up to `max_broadcast_rows` (three numbers each), by a shuffled join beyond. Products are decimals.
-Columns other than text and language are not read.
+table, some 50 at work). Blocks hold some `block` words of a task; a phrase has one row a block at most, so the commonest
+phrase of a corpus meets in one task as a fraction of its occurrences. Products are decimals. Columns other than text and
+language are not read.
 """
 
 from __future__ import annotations
@@ -127,31 +127,32 @@ def extended(lists: DataFrame) -> DataFrame:
 
 
 def frequent(lists: DataFrame, keys: list[str], names: list[str], least: int, level: int) -> DataFrame:
-    """Phrases whose lists are long enough over all blocks: lang, names (one of each array of keys), f, id."""
-    lengths = lists.select("lang", F.explode(F.arrays_zip(*keys, "counts")).alias("x")).select("lang", *(F.col(f"x.{k}").alias(n) for k, n in zip(keys, names)), F.col("x.counts").alias("c"))
-    found = lengths.groupBy("lang", *names).agg(F.sum("c").alias("f")).where(F.col("f") >= least)
-    return saved(found.withColumn("id", F.monotonically_increasing_id() + F.lit(level << 56)), f"phrases-frequent-{level}")
+    """lists: block, keys (arrays) and counts. The phrases whose lists are long enough over all blocks, a row for each block
+    that holds one: names, f (the lengths' sum), id, block, at (which of the block's lists) and first (true of one row a phrase).
 
+    Lengths meet by phrase, one row a block; the sum over them is a window's, so the rows need not be joined with it again.
+    """
+    columns = ["lang"] if level == 1 else []  # later numbers are those of one language anyway
+    held = lists.select("block", *columns, F.posexplode(F.arrays_zip(*keys, "counts")).alias("at", "x")).select("block", *columns, "at", *(F.col(f"x.{k}").alias(n) for k, n in zip(keys, names)), F.col("x.counts").alias("c"))
+    phrase = Window.partitionBy(*columns, *names)
+    numbered = held.withColumn("row", F.monotonically_increasing_id() + F.lit(level << 56))
+    return numbered.withColumns({"f": F.sum("c").over(phrase), "id": F.min("row").over(phrase)}).where(F.col("f") >= least).select(*columns, *names, "f", "id", "block", "at", (F.col("row") == F.col("id")).alias("first"))
 
-def with_live(lists: DataFrame, found: DataFrame, keys: list[str], names: list[str], max_broadcast_rows: int) -> DataFrame:
-    """lists with live: the numbers of those that are frequent. Blocks without any go."""
-    on = (["lang"] if len(keys) == 1 else []) + names
-    held = lists.select("block", "lang", F.posexplode(F.arrays_zip(*keys)).alias("at", "x")).select("block", "lang", "at", *(F.col(f"x.{k}").alias(n) for k, n in zip(keys, names)))
-    known = found.select(*on, "id")
-    known = F.broadcast(known) if known.count() <= max_broadcast_rows else known
-    live = held.join(known, on).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "id"))).alias("live"))
-    return lists.join(live, "block")
+
+def with_live(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """lists with live: which of the block's lists are frequent, and their ids. Blocks without any go."""
+    return lists.join(found.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "id"))).alias("live")), "block")
 
 
 def described(found: DataFrame, before: DataFrame) -> DataFrame:
     """id, lang, phrase, last (its last word), f, left and right (frequencies of its first and last 1, 2, ... words), subs (ids
     of the phrases of two words or more that it holds), of frequent phrases from those one word shorter."""
     side = lambda s, *columns: before.select(F.col("id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in columns))
-    both = found.join(side("head", "phrase", "left", "subs"), "head").join(side("tail", "last", "right", "subs"), "tail")
+    both = found.where("first").join(side("head", "lang", "phrase", "left", "subs"), "head").join(side("tail", "last", "right", "subs"), "tail")
     phrase = F.concat_ws(" ", "head_phrase", "tail_last")
     one = F.size("head_left") == 1
     subs = F.when(one, F.array().cast("array<bigint>")).otherwise(F.array_distinct(F.concat(F.array("head", "tail"), "head_subs", "tail_subs")))
-    return both.select("id", "lang", phrase.alias("phrase"), F.col("tail_last").alias("last"), "f", F.concat("head_left", F.array("f")).alias("left"), F.concat("tail_right", F.array("f")).alias("right"), subs.alias("subs"))
+    return both.select("id", F.col("head_lang").alias("lang"), phrase.alias("phrase"), F.col("tail_last").alias("last"), "f", F.concat("head_left", F.array("f")).alias("left"), F.concat("tail_right", F.array("f")).alias("right"), subs.alias("subs"))
 
 
 def cut(scale: int) -> Column:
@@ -167,22 +168,20 @@ def cut(scale: int) -> Column:
     return F.array_min(F.transform(F.sequence(F.lit(1), F.size("left") - 1), of))
 
 
-def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, longest: int = 4, scale: int = 2_000_000, inside: int = 80, block: int = 6_000_000, max_broadcast_rows: int = 500_000) -> DataFrame:
+def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, longest: int = 4, scale: int = 2_000_000, inside: int = 80, block: int = 6_000_000) -> DataFrame:
     """All candidates that stay: lang, phrase, a, l, r, n, score."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lists = saved(blocks(rows, block), "phrases-lists-1")
-    sizes = lists.groupBy("lang").agg(F.sum("size").alias("n"))
-    sizes = saved(sizes, "phrases-sizes")
-    keys, names = ["words"], ["word"]
-    found = frequent(lists, keys, names, least, 1)
-    held = found.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("left"), F.array("f").alias("right"), F.array().cast("array<bigint>").alias("subs"))
+    sizes = saved(lists.groupBy("lang").agg(F.sum("size").alias("n")), "phrases-sizes")
+    found = saved(frequent(lists, ["words"], ["word"], least, 1), "phrases-frequent-1")
+    held = found.where("first").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("left"), F.array("f").alias("right"), F.array().cast("array<bigint>").alias("subs"))
     candidates = None
     for level in range(2, longest + 1):
-        longer = saved(extended(with_live(lists, found, keys, names, max_broadcast_rows)), f"phrases-lists-{level}")
+        free_memory(docs.sparkSession)
+        longer = saved(extended(with_live(lists, found)), f"phrases-lists-{level}")
         discard(lists)
         free_memory(docs.sparkSession)
-        lists, keys, names = longer, ["heads", "tails"], ["head", "tail"]
-        found = frequent(lists, keys, names, least, level)
+        lists, found = longer, saved(frequent(longer, ["heads", "tails"], ["head", "tail"], least, level), f"phrases-frequent-{level}")
         free_memory(docs.sparkSession)
         held = saved(described(found, held), f"phrases-{level}")
         candidates = held if candidates is None else candidates.unionByName(held)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orebody.llm.common import free_memory, saved, whole_text
-from orebody.llm.hashing import mixed, of_ranges, prefix_sums, windows
+from orebody.llm.hashing import at_places, doubled, joined, power_below
 
 STEP = 1 << 21
 
@@ -37,13 +37,17 @@ def anchors(tokens: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
     out = [[], [], [], []]
     for at in range(0, max(0, len(tokens) - window + 1), STEP):
         part = tokens[at : at + STEP + window - 1]
-        runs = windows(part, k)
+        halves = doubled(part, k)
+        runs = at_places(halves, k, np.arange(len(part) - k + 1))
+        wide = doubled(halves, window, power_below(k))
         place = np.arange(len(runs), dtype=np.uint64)
         least = sliding_min((runs >> np.uint64(32) << np.uint64(32)) | place, window - k + 1) & np.uint64(0xFFFFFFFF)
         lo = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
         hi = np.concatenate([lo[1:] - 1, [len(least) - 1]])
         anchor = least[lo].astype(np.int64)
-        context = mixed(of_ranges(prefix_sums(part), lo, hi + window) + ((anchor - lo) * 4096 + (hi - lo)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        # first and last window cover all between, for they overlap
+        ends = joined(at_places(wide, window, lo), at_places(wide, window, hi), window)
+        context = joined(ends, ((anchor - lo) << 32 | (hi - lo)).astype(np.uint64), k)
         for column, values in zip(out, (runs[anchor], context, lo + at, hi + at)):
             column.append(values)
     return tuple(np.concatenate(c) if c else np.empty(0, np.int64) for c in out)
@@ -124,7 +128,7 @@ def contexts(rows: DataFrame, chosen: DataFrame, tokens: Callable[[str], np.ndar
 
 
 def of_windows(tokens: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
-    return mixed(of_ranges(prefix_sums(tokens), at, at + window))
+    return at_places(doubled(tokens, window), window, at)
 
 
 def runs_of(at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:

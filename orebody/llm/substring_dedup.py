@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orebody.llm.common import documents, free_memory, saved
-from orebody.llm.hashing import word_hashes
+from orebody.llm.hashing import Hashes
 from orebody.llm.repeats import anchor_table, contexts, grouped, groups_in_order, keyed, merged, repeated_anchors, runs_of, with_texts
 
 WINDOW, K = 20, 8
@@ -122,10 +122,11 @@ def matches(routed: DataFrame, window: int) -> DataFrame:
 
 
 def earlier_spans(rows: DataFrame, window: int, k: int, max_group: int, max_broadcast_rows: int) -> DataFrame:
-    found = saved(repeated_anchors(saved(anchor_table(rows, word_hashes, window, k), "anchors"), max_group), "anchors")
+    words = Hashes().of_words
+    found = saved(repeated_anchors(saved(anchor_table(rows, words, window, k), "anchors"), max_group), "anchors")
     free_memory(rows.sparkSession)
     copies = found.where("NOT first").select("id", "key", F.col("lo").alias("s"), (F.col("hi") + window).alias("e"))
-    routed, single = contexts(rows, found.where("first AND mixed"), word_hashes, window, max_broadcast_rows)
+    routed, single = contexts(rows, found.where("first AND mixed"), words, window, max_broadcast_rows)
     parts = copies.unionByName(matches(routed, window))
     if not found.where("big").isEmpty():
         single = saved(single, "windows")

@@ -24,16 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orebody.llm.common import documents, free_memory, saved
-from orebody.llm.hashing import VALUES
+from orebody.llm.hashing import Hashes
 from orebody.llm.repeats import anchor_table, contexts, grouped, groups_in_order, keyed, merged, of_windows, repeated_anchors, runs_of, with_texts
 
 WINDOW, K = 400, 200
 
 
-def byte_tokens(text: str) -> np.ndarray:
-    return VALUES[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
-
-
 def dense(keys: np.ndarray) -> np.ndarray:
     """The rank of each key among the distinct ones."""
     return np.unique(keys, return_inverse=True)[1].astype(np.int64)
@@ -66,8 +62,8 @@ class Level(NamedTuple):
 class Levels:
     """Suffix arrays of geometrically growing size over the batches added so far."""
 
-    def __init__(self, window: int):
-        self.window, self.levels, self.again = window, [], []
+    def __init__(self, window: int, hashes: Hashes):
+        self.window, self.hashes, self.levels, self.again = window, hashes, [], []
 
     def add(self, data: np.ndarray, starts: np.ndarray, numbers: np.ndarray) -> None:
         rank = window_ranks(data, starts, self.window)
@@ -78,7 +74,7 @@ class Levels:
             self.again.append(numbers[np.concatenate([[False], same]) | np.concatenate([same, [False]])])
         first = np.concatenate([[True], ~same])[: len(rank)]
         starts, numbers = starts[first], numbers[first]
-        prints = of_windows(VALUES[data], starts, self.window)
+        prints = of_windows(self.hashes.values[data], starts, self.window)
         for level in self.levels:
             by_print = np.argsort(level.prints)
             at = np.minimum(np.searchsorted(level.prints, prints, sorter=by_print), len(by_print) - 1)
@@ -102,12 +98,12 @@ class Levels:
         return np.unique(np.concatenate(self.again)) if self.again else np.empty(0, np.int64)
 
 
-def matches(routed: DataFrame, window: int, batch: int = 1 << 20) -> DataFrame:
+def matches(routed: DataFrame, window: int, hashes: Hashes, batch: int = 1 << 20) -> DataFrame:
     """Spans of the contexts' windows that occur in another context."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, held, size, last = Levels(window), [], 0, None
+        levels, held, size, last = Levels(window, hashes), [], 0, None
         waiting: list[np.ndarray] = []
         first = 0
 
@@ -139,7 +135,7 @@ def matches(routed: DataFrame, window: int, batch: int = 1 << 20) -> DataFrame:
             # windows of different anchors cannot match: start anew between groups when there is much
             if fp != last and size > batch // 2:
                 yield from finish()
-                levels, held, size, first, waits = Levels(window), [], 0, 0, 0
+                levels, held, size, first, waits = Levels(window, hashes), [], 0, 0, 0
             last = fp
             for id_, key, lo, data in zip(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4)):
                 context = np.frombuffer(data.as_buffer(), np.uint8)
@@ -161,11 +157,12 @@ def bytes_of(text: str) -> np.ndarray:
 
 
 def repeated_spans(rows: DataFrame, window: int, k: int, max_group: int, max_broadcast_rows: int) -> DataFrame:
-    found = saved(repeated_anchors(saved(anchor_table(rows, byte_tokens, window, k), "anchors"), max_group), "anchors")
+    hashes = Hashes()
+    found = saved(repeated_anchors(saved(anchor_table(rows, hashes.of_bytes, window, k), "anchors"), max_group), "anchors")
     free_memory(rows.sparkSession)
     whole = found.where("m > 1").select("id", "key", F.col("lo").alias("s"), (F.col("hi") + window).alias("e"))
     routed, single = contexts(rows, found.where("first AND mixed"), bytes_of, window, max_broadcast_rows)
-    parts = whole.unionByName(matches(routed, window))
+    parts = whole.unionByName(matches(routed, window, hashes))
     if not found.where("big").isEmpty():
         single = saved(single, "windows")
         twice = single.groupBy("win").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("win")

@@ -289,11 +289,12 @@ def test_suffix_array_dedup(docs, none, max_group, broadcast):
 def test_levels_grow_geometrically():
     import numpy as np
 
+    from orebody.llm.hashing import Hashes
     from orebody.llm.suffix_array_dedup import Levels, window_ranks
 
     rng = np.random.default_rng(1)
     for window in (3, 12, 100):
-        levels, seen, at = Levels(window), defaultdict(list), 0
+        levels, seen, at = Levels(window, Hashes()), defaultdict(list), 0
         pool = rng.integers(97, 100, 3000 * window // 20).astype(np.uint8)
         for _ in range(40):
             begin = int(rng.integers(0, len(pool) - 80 - window))
