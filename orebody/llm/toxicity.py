@@ -3,8 +3,8 @@
 A text's n-grams (`ORDERS`) are those of its lower-case letters, any run of other characters being one gap, hashed to 2^bits
 cells. Each cell that occurs is a feature, and so is each density that it reaches (`LEVELS`: so many times, and once in so
 many letters), for a fragment that clean texts hold by chance tells by its frequency alone. In the labelled rows each
-feature gets the log ratio of its smoothed shares of toxic and of clean texts, drawn towards 0 by `sure` standard errors so
-that those seen in few texts count for nothing. A logistic regression (Spark's, by L-BFGS, with an L2 penalty) is
+feature gets the log ratio of its smoothed shares of toxic and of clean texts; those within `sure` standard errors of 0, as
+of fragments seen in few texts, count for nothing. A logistic regression (Spark's, by L-BFGS, with an L2 penalty) is
 fitted on presence times ratio, and a text's score is its sigmoid.
 
 Labels are learned only from rows whose crc32(id as text) modulo 5 is not 0, at most `sample` of each class, those with the
@@ -108,16 +108,16 @@ class Classifier:
 
 
 def ratios(seen: DataFrame, sizes: dict[int, int], sure: float) -> DataFrame:
-    """feature and its shrunken log-count ratio, where that is not 0."""
+    """feature and its log-count ratio, where that is more than `sure` standard errors from 0."""
     counts = seen.select("toxic", F.explode("found").alias("feature")).groupBy("feature").agg(*(F.count(F.when(F.col("toxic") == c, 1)).alias(f"c{c}") for c in (0, 1)))
     a, b = F.col("c1") + 0.5, F.col("c0") + 0.5
     one, none = float(sizes[1] + 1), float(sizes[0] + 1)
     ratio = F.log(a / one) - F.log(b / none)
     error = F.sqrt(F.greatest(F.lit(0.0), 1 / a - 1 / one) + F.greatest(F.lit(0.0), 1 / b - 1 / none))
-    return counts.select("feature", (F.signum(ratio) * F.greatest(F.lit(0.0), F.abs(ratio) - sure * error)).alias("ratio")).where("ratio <> 0")
+    return counts.where(F.abs(ratio) > sure * error).select("feature", ratio.alias("ratio"))
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 2_500, bits: int = 22, sure: float = 3.0, penalty: float = 1e-4, steps: int = 100) -> Classifier:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 2_500, bits: int = 22, sure: float = 3.0, penalty: float = 1e-3, steps: int = 100) -> Classifier:
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
