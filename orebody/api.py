@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 import warnings
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,18 +17,23 @@ from orebody.operators import symbols as sym
 from orebody.operators.embed import Hashing, Provider, query_vector
 from orebody.sources import config
 from orebody.sources import files as sources
-from orebody.sources.store import TABLES, Files, Lock, Table, cut, with_retries
+from orebody.sources.store import KEYS, TABLES, Buckets, Files, Lock, Table, cut, escaped, with_retries
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, store: str, project: str, provider: Provider | None = None, batch_files: int = 50_000):
-        """batch_files: files indexed between two saved states; an interrupted run goes on from the last of them."""
+    def __init__(self, spark: SparkSession, store: str, project: str, provider: Provider | None = None, batch_files: int = 50_000, buckets: int = 16):
+        """batch_files: files indexed between two saved states; an interrupted run goes on from the last of them. buckets: how
+        many a new table's rows are dealt to; some thousands suit a tree of many millions of files."""
+        self.buckets = buckets
         self.spark, self.store, self.project, self.batch_files = spark, store.rstrip("/"), project, batch_files
         self.provider = provider or Hashing()
+        #: Whether a run that broke off may have left rows, and by how much this run has changed the texts and tokens indexed.
+        self._leftovers, self._change = True, [0, 0]
         self.graph, self.symbols, self.artifacts = Graph(self), Symbols(self), Artifacts(self)
 
     def table(self, name: str) -> Table:
-        return Table(self.spark, f"{self.store}/{name}", TABLES[name])
+        path = f"{self.store}/{name}"
+        return Buckets(self.spark, path, TABLES[name], KEYS[name], self.buckets) if name in KEYS else Table(self.spark, path, TABLES[name])
 
     def rows(self, name: str, project: str | None = None) -> DataFrame:
         return self.table(name).read(project or self.project)
@@ -53,31 +59,51 @@ class Engine:
 
     def stop(self) -> None:
         """Asks a running index() of this project, in whatever process, to end after its batch."""
-        self._stops().create(self.project, "stop")
+        self._stops().create(escaped(self.project), "stop")
 
     def index(self, root: str, **scan) -> dict[str, int]:
         """Chunks, vectors, postings and file state of the tree; only new and changed files are worked on, in batches.
 
-        Each batch is saved with the state of its files, so a run that was stopped or failed is resumed by the next.
+        Each batch is saved with the state of its files, so a run that was stopped or failed is resumed by the next. Files of
+        the stored length and time are not read, and only buckets of changed paths are rewritten.
         """
         with self.lock() as lock:
-            self._stops().delete(self.project)
+            self._stops().delete(escaped(self.project))
             paths = cut(sources.indexable_paths(self.spark, root, **scan))
-            found = sources.described(sources.contents(root, paths)).withColumnRenamed("relative_path", "path")
-            state = cut(found.select("path", "content_hash", "language"))
-            old = changes.relative_keys(self.rows("file_state"), root)
-            diff = cut(changes.file_changes(state, old))
-            counts = {r.status: r.files for r in diff.groupBy("status").agg(F.count(F.lit(1)).alias("files")).collect()}
+            state = changes.relative_keys(self.rows("file_state"), root)
+            odd = cut(changes.restamped(paths.withColumnRenamed("relative_path", "path"), state))
+            found = sources.described(sources.contents(root, odd.where("listed").withColumnRenamed("path", "relative_path"))).withColumnRenamed("relative_path", "path")
+            read = cut(found.select("path", "content_hash", "language", "length", "modified"))
+            diff = cut(changes.file_changes(read, odd.where("old_hash IS NOT NULL").select("path", F.col("old_hash").alias("content_hash"))).withColumn("b", self.table("file_state").number("path")))
+            seen = diff.groupBy("status", "b").agg(F.count(F.lit(1)).alias("files")).collect()
+            counts: dict[str, int] = {}
+            for r in seen:
+                counts[r.status] = counts.get(r.status, 0) + r.files
+            rest = paths.count() - sum(n for s, n in counts.items() if s != "removed")
+            counts |= {"unchanged": counts.get("unchanged", 0) + rest} if rest else {}
+            same = diff.where("status = 'unchanged'").select("path")
+            if counts.get("unchanged", 0) > rest:  # new stamps of the same contents
+                to = sorted({r.b for r in seen if r.status == "unchanged"})
+                table = self.table("file_state")
+                table.patch(self.project, to, table.shaped(table.read(self.project, to).join(same, "path", "left_anti")).unionByName(table.shaped(read.join(same, "path", "left_semi"))))
             if self.has("file_state") and not set(counts) - {"unchanged"}:
                 return counts
             began = time.time()
+            done = self.rows("progress").where("status = 'completed'").count() > 0
             gone = diff.where("status IN ('changed', 'removed')").select("path")
-            if counts.get("changed") or counts.get("removed"):
-                for name in ("chunks", "postings", "file_state"):
-                    self.put(name, self.rows(name).join(gone, "path", "left_anti"))
+            to = sorted({r.b for r in seen if r.status in ("changed", "removed")})
+            self._leftovers, self._change = not done, [0, 0]
+            if to:
+                lost = search.statistics(self.table("postings").read(self.project, to).join(gone, "path", "left_semi")).first()
+                self._change = [-lost.docs, -lost.tokens]
+                for name in ("chunks", "postings", "file_state"):  # state last: until it has gone a file counts as changed
+                    table = self.table(name)
+                    with_retries(lambda table=table: table.patch(self.project, to, table.read(self.project, to).join(gone, "path", "left_anti")))
             elif not self.has("file_state"):
                 for name in ("chunks", "postings", "file_state"):
                     self.put(name, self.rows(name))
+            # until all is done the statistics and leftovers of a run that broke off have to be looked for
+            self._progress("index", 0, 1, 0, "in-progress")
             todo = diff.where("status IN ('added', 'changed')").select("path")
             total = counts.get("added", 0) + counts.get("changed", 0)
             batches = -(-total // self.batch_files)
@@ -85,12 +111,16 @@ class Engine:
                 own = todo.where(F.pmod(F.xxhash64("path"), F.lit(batches)) == i)
                 files = sources.described(sources.contents(root, paths.join(own.withColumnRenamed("path", "relative_path"), "relative_path", "left_semi")))
                 self._add(files.withColumnRenamed("relative_path", "path"))
-                stopped = self._stops().exists(self.project)
+                stopped = self._stops().exists(escaped(self.project))
                 self._progress("index", i + 1, batches, total * (i + 1) // batches, "stopped" if stopped else "completed" if i + 1 == batches else "in-progress")
                 lock.refresh()
                 if stopped:
                     break
-            self.put("search_stats", search.statistics(self.rows("postings")))
+            old = self.rows("search_stats").first()
+            if not done or old is None:
+                self.put("search_stats", search.statistics(self.rows("postings")))
+            else:  # what went and what came, not all postings
+                self.put("search_stats", self.spark.createDataFrame([(old.docs + self._change[0], old.tokens + self._change[1])], "docs long, tokens long"))
             if not batches:
                 self._progress("index", 0, 0, 0, "completed")
             self.seconds = time.time() - began
@@ -101,14 +131,19 @@ class Engine:
 
     def _add(self, files: DataFrame) -> None:
         """Adds the chunks, postings and state of files that have none. State comes last: files without it are done again."""
+        files = cut(files)
         parts = cut(self.chunked(files))
         ids = parts.select("id")
-        for name in ("chunks", "postings"):  # what a failed run has left of this batch goes
+        for name in ("chunks", "postings") if self._leftovers else ():  # what a failed run has left of this batch goes
             if not self.rows(name).join(ids, "id", "left_semi").isEmpty():
                 self.put(name, self.rows(name).join(ids, "id", "left_anti"))
-        with_retries(lambda: self.table("chunks").append(self.project, parts))
-        with_retries(lambda: self.table("postings").append(self.project, search.postings(parts, "id", F.substring("text", 1, 32_000), "path")))
+        index = cut(search.postings(parts, "id", F.substring("text", 1, 32_000), "path"))
+        with ThreadPoolExecutor(2) as pool:
+            for j in [pool.submit(with_retries, lambda: self.table("chunks").append(self.project, parts)), pool.submit(with_retries, lambda: self.table("postings").append(self.project, index))]:
+                j.result()
         self.table("file_state").append(self.project, files)
+        new = search.statistics(index).first()
+        self._change = [self._change[0] + new.docs, self._change[1] + new.tokens]
 
     def _progress(self, phase: str, batch: int, batches: int, files: int, status: str) -> None:
         row = self.spark.createDataFrame([(phase, batch, batches, files, status)], "phase string, batch int, batches int, files long, status string")
@@ -240,18 +275,28 @@ class Graph:
         """Import edges, symbols, calls and resolved calls of the tree, in place of the stored ones. The Go module and path
         aliases are read from the tree unless they are given."""
         e = self.engine
-        with e.lock():
+        with e.lock() as lock:
             # many branches read the files: they are scanned once
             e.put("graph_files", self._scanned(root, **scan))
             files = e.rows("graph_files")
             found = cut(extract.extracted(files))
-            # stored, so that the rules of resolution stand once in a plan and not in each language's branch
-            e.put("imports", extract.imports_of(files, self._languages()))
-            e.put("edges", self._edges(root, go_module, aliases))
-            e.put("symbols", extract.symbol_rows(found))
-            e.put("name_refs", sym.name_refs(e.rows("symbols")))
-            e.put("calls", extract.call_rows(found))
+
+            def put_edges() -> None:
+                # stored, so that the rules of resolution stand once in a plan and not in each language's branch
+                e.put("imports", extract.imports_of(files, self._languages()))
+                e.put("edges", self._edges(root, go_module, aliases))
+
+            def put_symbols() -> None:
+                e.put("symbols", extract.symbol_rows(found))
+                e.put("name_refs", e.rows("symbols").where(F.col("name") != sym.MODULE))
+
+            lock.refresh()
+            with ThreadPoolExecutor(3) as pool:  # tables do not wait for each other
+                for j in [pool.submit(put_edges), pool.submit(put_symbols), pool.submit(lambda: e.put("calls", extract.call_rows(found)))]:
+                    j.result()
+            lock.refresh()
             e.put("call_edges", sym.resolved(e.rows("calls"), e.rows("symbols"), e.rows("edges")))
+            self._save_rules(root, go_module, aliases)
 
     def _scanned(self, root: str, **scan) -> DataFrame:
         return sources.graphable_files(self.engine.spark, root, **scan).withColumnRenamed("relative_path", "path")
@@ -259,44 +304,110 @@ class Graph:
     def _languages(self) -> set[str]:
         return {r.language for r in self.engine.rows("graph_files").select("language").distinct().collect()}
 
-    def _edges(self, root: str, go_module: str | None, aliases: list | None) -> DataFrame:
+    def _edges(self, root: str, go_module: str | None, aliases: list | None, imports: DataFrame | None = None, languages: set[str] | None = None) -> DataFrame:
+        """Edges of all imports, or of some of which the languages are known."""
         own_module, own_aliases = config.module_rules(root)
         files = self.engine.rows("graph_files")
         paths = files.select("path")
-        return resolve.resolved_imports(self.engine.rows("imports"), paths, go_module or own_module, sources.go_packages(paths), sources.namespaces(files), sources.class_suffixes(paths), own_aliases if aliases is None else aliases, self._languages())
+        return resolve.resolved_imports(self.engine.rows("imports") if imports is None else imports, paths, go_module or own_module, sources.go_packages(paths), sources.namespaces(files), sources.class_suffixes(paths), own_aliases if aliases is None else aliases, self._languages() if languages is None else languages)
 
     def update(self, root: str, go_module: str | None = None, aliases: list | None = None, **scan) -> dict[str, int]:
-        """Brings the stored graph to the state of the tree. Only changed files are parsed, and only calls that a change can
-        reach are resolved again; the result is that of build(). Counts of files by status."""
+        """Brings the stored graph to the state of the tree; the result is that of build(). Counts of files by status.
+
+        Files of the stored length and time are not read. Only changed ones are parsed, only buckets of their paths and names
+        are rewritten, and only calls that a change can reach are resolved again: those of changed files, of files that
+        import them, and calls of a changed name in files that import those.
+        """
         e = self.engine
-        if not e.has("graph_files"):
+        marks = Files(e.spark, f"{e.store}/patching")
+        if not e.has("graph_files") or marks.exists(escaped(e.project)):  # none yet, or a patch that was not finished
             self.build(root, go_module, aliases, **scan)
+            marks.delete(escaped(e.project))
             return {"added": e.rows("graph_files").count()}
-        with e.lock():
-            now = cut(self._scanned(root, **scan).select("path", "language", "content", "content_hash"))
-            diff = cut(changes.file_changes(now, e.rows("graph_files")))
-            counts = {r.status: r.files for r in diff.groupBy("status").agg(F.count(F.lit(1)).alias("files")).collect()}
-            if not set(counts) - {"unchanged"}:
+        with e.lock() as lock:
+            listed = cut(sources.graphable_paths(e.spark, root, **scan).withColumnRenamed("relative_path", "path"))
+            odd = cut(changes.restamped(listed, e.rows("graph_files")))
+            now = sources.graphed(sources.contents(root, odd.where("listed").withColumnRenamed("path", "relative_path"))).withColumnRenamed("relative_path", "path")
+            parsed = extract.extracted(now).select("path", "symbols", "calls")
+            anew = cut(now.join(parsed, "path"))
+            status = F.when(F.col("content_hash").isNull(), "removed").when(F.col("old_hash").isNull(), "added").when(F.col("old_hash") == F.col("content_hash"), "unchanged").otherwise("changed")
+            judged = cut(odd.select("path", "old_hash", "listed").join(anew.select("path", "content_hash", "language"), "path", "left").where("old_hash IS NOT NULL OR content_hash IS NOT NULL").select("path", status.alias("status"), "language", e.table("graph_files").number("path").alias("b")))
+            seen = judged.groupBy("status", "b").agg(F.count(F.lit(1)).alias("n"), F.collect_set("language").alias("languages")).collect()
+            counts: dict[str, int] = {}
+            for r in seen:
+                counts[r.status] = counts.get(r.status, 0) + r.n
+            rest = listed.count() - sum(n for s, n in counts.items() if s != "removed")
+            counts |= {"unchanged": counts.get("unchanged", 0) + rest} if rest or "unchanged" in counts else {}
+            buckets = sorted({r.b for r in seen if r.status != "unchanged"})
+            odd_buckets = sorted({r.b for r in seen})
+            if not buckets:
+                if odd_buckets:  # new stamps of the same contents
+                    e.table("graph_files").patch(e.project, odd_buckets, self._kept_files(odd_buckets, judged.select("path"), anew))
                 return counts
-            moved = cut(diff.where("status <> 'unchanged'").select("path"))
-            anew = cut(now.join(moved, "path", "left_semi"))
-            found = cut(extract.extracted(anew))
-            old_edges, old_symbols = cut(e.rows("edges").distinct()), cut(e.rows("symbols").join(moved.withColumnRenamed("path", "file"), "file", "left_semi"))
-            fresh_symbols, fresh_calls = extract.symbol_rows(found), extract.call_rows(found)
-            e.put("graph_files", now)
-            for name, rows, column in (("imports", extract.imports_of(anew, self._languages()), "path"), ("symbols", fresh_symbols, "file"), ("calls", fresh_calls, "caller_file")):
+            marks.create(escaped(e.project), "patching")
+            languages = {x for r in seen if r.status != "unchanged" for x in r.languages}
+            moved = cut(judged.where("status <> 'unchanged'").select("path"))
+            stamped, anew = anew, anew.join(moved, "path", "left_semi")
+            symbols, calls = extract.symbol_rows(anew), extract.call_rows(anew)
+            gone = moved.withColumnRenamed("path", "file")
+            refs = e.table("name_refs")
+            names = cut(e.table("symbols").read(e.project, buckets).join(gone, "file", "left_semi").select("name").unionByName(symbols.select("name")).distinct())
+
+            def patch(name: str, rows: DataFrame, to: list[int] = buckets, of: str | None = None) -> None:
                 table = e.table(name)
-                e.put(name, e.rows(name).join(moved.withColumnRenamed("path", column), column, "left_anti").select(table.schema.names).unionByName(table.shaped(rows)))
-            e.put("name_refs", sym.name_refs(e.rows("symbols")))
-            e.put("edges", self._edges(root, go_module, aliases))
-            # files whose edges differ count as changed: a new file can become the target of an old import
-            edges = e.rows("edges").distinct()
-            differ = old_edges.exceptAll(edges).unionByName(edges.exceptAll(old_edges)).select(F.col("source").alias("file"))
-            changed = cut(moved.select(F.col("path").alias("file")).unionByName(differ).distinct())
-            names = cut(old_symbols.select("name").unionByName(fresh_symbols.select("name")).select(F.col("name").alias("callee_name")).distinct())
-            e.put("call_edges", sym.patched_calls(e.rows("call_edges"), e.rows("calls"), e.rows("symbols"), e.rows("edges"), changed, names))
+                kept = table.read(e.project, to).join(moved.withColumnRenamed("path", of or table.key), of or table.key, "left_anti")
+                with_retries(lambda: table.patch(e.project, to, table.shaped(kept).unionByName(table.shaped(rows))))
+
+            def patch_names() -> None:
+                to = [r.b for r in names.select(refs.number("name").alias("b")).distinct().collect()]
+                patch("name_refs", symbols.where(F.col("name") != sym.MODULE), to, "file")
+
+            fresh_imports = extract.imports_of(anew, languages)
+            # the set of files, or names that sources declare, may move the target of any import
+            whole = bool({"added", "removed"} & set(counts)) or "csharp" in languages or self._rules_differ(root, go_module, aliases)
+            with ThreadPoolExecutor(5) as pool:  # tables do not wait for each other
+                jobs = [pool.submit(patch, "imports", fresh_imports), pool.submit(patch, "symbols", symbols), pool.submit(patch, "calls", calls), pool.submit(patch_names)]
+                if not whole:
+                    jobs.append(pool.submit(lambda: patch("edges", self._edges(root, go_module, aliases, fresh_imports, languages))))
+                for j in jobs:
+                    j.result()
+            lock.refresh()
+            changed = gone
+            if whole:
+                with_retries(lambda: e.table("graph_files").patch(e.project, odd_buckets, self._kept_files(odd_buckets, judged.select("path"), stamped)))
+                old = cut(e.rows("edges").distinct())
+                e.put("edges", self._edges(root, go_module, aliases))
+                edges = e.rows("edges").distinct()
+                # files whose edges differ count as changed: a new file can become the target of an old import
+                differ = old.exceptAll(edges).unionByName(edges.exceptAll(old)).select(F.col("source").alias("file"))
+                changed = cut(gone.unionByName(differ).distinct())
+            affected = cut(sym.reached_callers(e.rows("calls"), e.rows("edges"), changed, names))
+            table = e.table("call_edges")
+            to = [r.b for r in affected.select(table.number("caller_file").alias("b")).distinct().collect()]
+            again = sym.resolved(e.table("calls").read(e.project, to).join(affected, "caller_file", "left_semi"), e.rows("symbols"), e.rows("edges"))
+            kept = table.read(e.project, to).join(affected, "caller_file", "left_anti")
+            with_retries(lambda: table.patch(e.project, to, table.shaped(kept).unionByName(table.shaped(again))))
+            if not whole:
+                with_retries(lambda: e.table("graph_files").patch(e.project, odd_buckets, self._kept_files(odd_buckets, judged.select("path"), stamped)))
+            self._save_rules(root, go_module, aliases)
+            marks.delete(escaped(e.project))
         return counts
 
+    def _kept_files(self, buckets: list[int], moved: DataFrame, anew: DataFrame) -> DataFrame:
+        table = self.engine.table("graph_files")
+        kept = table.read(self.engine.project, buckets).join(moved, "path", "left_anti")
+        return table.shaped(kept).unionByName(table.shaped(anew))
+
+    def _rules(self, root: str, go_module: str | None, aliases: list | None) -> str:
+        own_module, own_aliases = config.module_rules(root)
+        return repr((go_module or own_module, own_aliases if aliases is None else aliases))
+
+    def _rules_differ(self, root: str, go_module: str | None, aliases: list | None) -> bool:
+        return Files(self.engine.spark, f"{self.engine.store}/rules").read(escaped(self.engine.project)) != self._rules(root, go_module, aliases)
+
+    def _save_rules(self, root: str, go_module: str | None, aliases: list | None) -> None:
+        Files(self.engine.spark, f"{self.engine.store}/rules").create(escaped(self.engine.project), self._rules(root, go_module, aliases), overwrite=True)
+
     def edges(self) -> DataFrame:
         return self.engine.rows("edges")
 

@@ -14,6 +14,15 @@ def file_changes(new: DataFrame, old: DataFrame, path: str = "path", hash_col: s
     return n.join(o, path, "full_outer").select(path, "old_hash", "new_hash", status.alias("status"))
 
 
+def restamped(listed: DataFrame, state: DataFrame) -> DataFrame:
+    """listed: path, length, modified; state: those and content_hash as stored. path, length, modified, old_hash and listed of
+    files whose length or time differs from the stored one, new ones and those that went: the only ones to look into."""
+    old = state.select("path", F.col("content_hash").alias("old_hash"), F.col("length").alias("_length"), F.col("modified").alias("_modified"))
+    both = listed.select("path", "length", "modified", F.lit(True).alias("listed")).join(old, "path", "full_outer")
+    same = F.col("listed") & F.col("length").eqNullSafe(F.col("_length")) & F.col("modified").eqNullSafe(F.col("_modified")) & F.col("old_hash").isNotNull()
+    return both.where(~F.coalesce(same, F.lit(False))).select("path", "length", "modified", "old_hash", F.coalesce("listed", F.lit(False)).alias("listed"))
+
+
 def changed_files(new: DataFrame, old: DataFrame, path: str = "path", hash_col: str = "content_hash") -> DataFrame:
     """Rows of new that must be indexed: no stored row has their path and hash."""
     return new.join(old.select(path, hash_col), [path, hash_col], "left_anti")

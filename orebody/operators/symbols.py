@@ -182,6 +182,17 @@ def flow_tree(call_edges: DataFrame, seed: str, depth: int = 5, max_nodes: int =
     return out
 
 
+def reached_callers(calls: DataFrame, edges: DataFrame, changed_files: DataFrame, changed_names: DataFrame) -> DataFrame:
+    """caller_file of the files whose calls a change may resolve otherwise: the changed ones (file), those that import them, and
+    those that import these and call a changed name (name)."""
+    deps = edges.select("source", "target").distinct()
+    by = lambda files: deps.join(files.withColumnRenamed("file", "target"), "target", "left_semi").select(F.col("source").alias("file"))
+    near = changed_files.select("file").unionByName(by(changed_files)).distinct()
+    far = by(near).select(F.col("file").alias("caller_file")).distinct()
+    called = calls.join(far, "caller_file", "left_semi").join(changed_names.select(F.col("name").alias("callee_name")), "callee_name", "left_semi")
+    return near.select(F.col("file").alias("caller_file")).unionByName(called.select("caller_file")).distinct()
+
+
 def patched_calls(call_edges: DataFrame, calls: DataFrame, symbols: DataFrame, edges: DataFrame, changed_files: DataFrame, changed_names: DataFrame) -> DataFrame:
     """call_edges after a change: resolved anew where the caller's file changed or the name called was touched; exact.
 

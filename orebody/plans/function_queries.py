@@ -113,10 +113,9 @@ def chunk_files(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS path, CASE WHEN doc_id % 3 = 0 THEN n_chars + 1 ELSE n_chars END AS n FROM documents WHERE (doc_id % 2 = 0 OR doc_id % 3 = 0) AND doc_id % 5 <> 0")
 def store_upsert_delete(spark: SparkSession, sf: str) -> DataFrame:
     """A stored table after a write, an upsert by key and a delete by condition; another project's rows stay out of it."""
-    from orebody.sources.store import Table
+    from orebody.sources.store import Table, shared_folder
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/plans"
-    t = Table(spark, f"{base.rstrip('/')}/store-{uuid.uuid4().hex}", "id string, path string, n long")
+    t = Table(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", "id string, path string, n long")
     rows = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.lit("old").alias("path"), F.col("n_chars").alias("n"), "doc_id")
     t.replace("p", rows.where("doc_id % 2 = 0"))
     t.replace("other", rows)

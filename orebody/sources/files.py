@@ -140,9 +140,17 @@ def indexable_files(spark: SparkSession, root: str, **how) -> DataFrame:
     return described(contents(root, indexable_paths(spark, root, **how)))
 
 
-def graphable_files(spark: SparkSession, root: str, extra: list[str] = (), patterns: list[str] | None = None, max_bytes: int = MAX_GRAPHED, use_gitignore: bool = True) -> DataFrame:
-    """Files of the graph; files whose name begins with a dot are included."""
-    rows = contents(root, listed_files(spark, root, is_graphable(F.col("relative_path"), extra), patterns, max_bytes, use_gitignore))
+def graphable_paths(spark: SparkSession, root: str, extra: list[str] = (), patterns: list[str] | None = None, max_bytes: int = MAX_GRAPHED, use_gitignore: bool = True) -> DataFrame:
+    """Files of the graph: relative_path, length, modified; files whose name begins with a dot are included."""
+    return listed_files(spark, root, is_graphable(F.col("relative_path"), extra), patterns, max_bytes, use_gitignore)
+
+
+def graphable_files(spark: SparkSession, root: str, **how) -> DataFrame:
+    """Files of the graph with their content (text), content_hash and grammar."""
+    return graphed(contents(root, graphable_paths(spark, root, **how)))
+
+
+def graphed(rows: DataFrame) -> DataFrame:
     return described(rows).withColumn("language", grammar(F.col("relative_path")))
 
 
