@@ -5,8 +5,8 @@ words of its documents, a place apart between pieces, and turns them into blocks
 The length of a word's lists over all blocks is its exact frequency. A level extends the frequent phrases of each
 block: the places of all lists are merge-joined with the places one further on of the adjacent lists (the words at first,
 then the adjacent word's places already narrowed to the frequent phrases that share the words between), which gives the
-longer phrase's list. Only lengths of lists leave a block, one a phrase; they meet by phrase and are summed, and the
-phrases of at least `least` occurrences get numbers, which go back to the blocks that hold them. Lists of the others end there.
+longer phrase's list. Only lengths of lists leave a block; they are summed over blocks, and the phrases of at least
+`least` occurrences get numbers, by which a block tells its frequent lists. Lists of the others end there.
 
 Everything is per language (null: `und`); phrases have up to `longest` words. A phrase is cut after its k-th word into two
 parts of frequency l and r and scored floor(scale x a / (l + r)); its lowest-scoring cut counts, the first of equals. A
@@ -15,9 +15,9 @@ first `top` come out, by score, frequency and the bytes of the phrase.
 
 Null and empty texts have no words. Rows may repeat and count each. A language without candidates gives no rows, an empty
 table none. A document is never parted between blocks, so a very long one makes a block of its own size (4 bytes a word in the
-table, some 50 at work). Blocks hold some `block` words of a task; a phrase has one row a block at most, so the commonest
-phrase of a corpus meets in one task as a fraction of its occurrences. Products are decimals. Columns other than text and
-language are not read.
+table, some 50 at work). Blocks hold some `block` words of a task. Numbers of frequent phrases go to all tasks by broadcast
+up to `max_broadcast_rows` (24 bytes a pair), by a shuffled join with the blocks' keys beyond. Products are decimals. Columns
+other than text and language are not read.
 """
 
 from __future__ import annotations
@@ -96,25 +96,65 @@ def lists_of(counts: np.ndarray, places: np.ndarray, live: np.ndarray, ids: np.n
     start = np.cumsum(counts) - counts
     sizes = counts[live]
     take = np.repeat(start[live] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    at, of = places[take], np.repeat(np.arange(len(ids)), sizes)
+    at, of = places[take], np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
     order = np.argsort(at, kind="stable")
     return at[order], of[order]
 
 
-def extended(lists: DataFrame) -> DataFrame:
-    """lists: block, lang, counts, places and live (at: which of the lists, id). The lists one word longer: block, lang, heads,
-    tails (ids of the phrase without its last and without its first word), counts, places."""
+class Numbers:
+    """Ids of frequent phrases by their keys: words of a language, or pairs of ids."""
+
+    def __init__(self, rows, names: list[str]):
+        if len(names) == 1:
+            self.words: dict[str, dict[str, int]] = {}
+            for lang, word, i in zip(rows.lang, rows[names[0]], rows.id):
+                self.words.setdefault(lang, {})[word] = i
+        else:
+            self.words = {}
+            head, tail = (rows[n].to_numpy(np.int64) for n in names)
+            self.heads, self.tails = np.unique(head), np.unique(tail)
+            code = np.searchsorted(self.heads, head) * len(self.tails) + np.searchsorted(self.tails, tail)
+            order = np.argsort(code)
+            self.codes, self.ids = code[order], rows.id.to_numpy(np.int64)[order]
+
+    def of(self, lang: str, keys: list) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the block's keys (an Arrow list, or one of heads and one of tails) are frequent, and their ids."""
+        if len(keys) == 1:
+            own = self.words.get(lang, {})
+            ids = np.fromiter((own.get(w, -1) for w in keys[0].to_pylist()), np.int64, len(keys[0]))
+            which = np.flatnonzero(ids >= 0)
+            return which, ids[which]
+        if not len(self.codes):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        at = []
+        for known, own in zip((self.heads, self.tails), keys):
+            own = own.to_numpy()
+            place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            at.append(np.where(known[place] == own, place, -1))
+        code = np.where((at[0] >= 0) & (at[1] >= 0), at[0] * len(self.tails) + at[1], -1)
+        place = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        which = np.flatnonzero(self.codes[place] == code)
+        return which, self.ids[place[which]]
+
+
+def extended(lists: DataFrame, keys: list[str], numbers=None) -> DataFrame:
+    """lists: block, lang, keys (arrays), counts and places. The lists one word longer: block, lang, heads, tails (ids of the
+    phrase without its last and without its first word), counts, places. Which lists are frequent tells numbers (a broadcast
+    of Numbers) or else a column live (at: which of the lists, id)."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 1):
-            live = b.column(4)[0].values
-            which, ids = live.field(0).to_numpy(), live.field(1).to_numpy()
+            if numbers is None:
+                live = b.column(4)[0].values
+                which, ids = live.field(0).to_numpy(), live.field(1).to_numpy()
+            else:
+                which, ids = numbers.value.of(b.column(1)[0].as_py(), [c[0].values for c in b.columns[4:]])
             at, of = lists_of(b.column(2)[0].values.to_numpy().astype(np.int64), np.frombuffer(b.column(3)[0].as_buffer(), np.int32), which, ids)
             # merge-join of the places with the places one further on
             after = np.searchsorted(at, at + 1)
             meets = np.flatnonzero((after < len(at)) & (at[np.minimum(after, len(at) - 1)] == at + 1)) if len(at) else np.empty(0, np.int64)
-            key = of[meets] * len(ids) + of[after[meets]]
+            key = of[meets].astype(np.int64) * len(ids) + of[after[meets]]
             order = np.argsort(key, kind="stable")
             key, places = key[order], at[meets][order]
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
@@ -123,36 +163,42 @@ def extended(lists: DataFrame) -> DataFrame:
             whole = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), pa.array(a))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), whole(ids[heads]), whole(ids[tails]), whole(counts), pa.array([places.tobytes()], pa.binary())], ["block", "lang", "heads", "tails", "counts", "places"])
 
-    return lists.select("block", "lang", "counts", "places", "live").mapInArrow(run, "block long, lang string, heads array<long>, tails array<long>, counts array<int>, places binary")
+    return lists.select("block", "lang", "counts", "places", *(["live"] if numbers is None else keys)).mapInArrow(run, "block long, lang string, heads array<long>, tails array<long>, counts array<int>, places binary")
 
 
 def frequent(lists: DataFrame, keys: list[str], names: list[str], least: int, level: int) -> DataFrame:
-    """lists: block, keys (arrays) and counts. The phrases whose lists are long enough over all blocks, a row for each block
-    that holds one: names, f (the lengths' sum), id, block, at (which of the block's lists) and first (true of one row a phrase).
+    """Phrases whose lists are long enough over all blocks: lang, names (one of each array of keys), f, id."""
+    lengths = lists.select("lang", F.explode(F.arrays_zip(*keys, "counts")).alias("x")).select("lang", *(F.col(f"x.{k}").alias(n) for k, n in zip(keys, names)), F.col("x.counts").alias("c"))
+    found = lengths.groupBy("lang", *names).agg(F.sum("c").alias("f")).where(F.col("f") >= least)
+    return found.withColumn("id", F.monotonically_increasing_id() + F.lit(level << 56))
 
-    Lengths meet by phrase, one row a block; the sum over them is a window's, so the rows need not be joined with it again.
-    """
-    columns = ["lang"] if level == 1 else []  # later numbers are those of one language anyway
-    held = lists.select("block", *columns, F.posexplode(F.arrays_zip(*keys, "counts")).alias("at", "x")).select("block", *columns, "at", *(F.col(f"x.{k}").alias(n) for k, n in zip(keys, names)), F.col("x.counts").alias("c"))
-    phrase = Window.partitionBy(*columns, *names)
-    numbered = held.withColumn("row", F.monotonically_increasing_id() + F.lit(level << 56))
-    return numbered.withColumns({"f": F.sum("c").over(phrase), "id": F.min("row").over(phrase)}).where(F.col("f") >= least).select(*columns, *names, "f", "id", "block", "at", (F.col("row") == F.col("id")).alias("first"))
 
+def with_live(lists: DataFrame, found: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """lists with live: the numbers of those that are frequent, by a join of a block's keys. Blocks without any go."""
+    held = lists.select("block", "lang", F.posexplode(F.arrays_zip(*keys)).alias("at", "x")).select("block", "lang", "at", *(F.col(f"x.{k}").alias(n) for k, n in zip(keys, names)))
+    live = held.join(found.select("lang", *names, "id"), ["lang", *names]).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "id"))).alias("live"))
+    return lists.join(live, "block")
 
-def with_live(lists: DataFrame, found: DataFrame) -> DataFrame:
-    """lists with live: which of the block's lists are frequent, and their ids. Blocks without any go."""
-    return lists.join(found.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "id"))).alias("live")), "block")
+
+def longer_lists(lists: DataFrame, found: DataFrame, keys: list[str], names: list[str], max_broadcast_rows: int) -> DataFrame:
+    """extended(): the frequent phrases' numbers go to all tasks if they are few and short (16 bytes a word on average), by a
+    shuffled join with the blocks' keys beyond."""
+    size = found.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(names[0])) if len(names) == 1 else F.lit(0), F.lit(0)).alias("b")).first()
+    if size.n <= max_broadcast_rows and size.b <= 16 * max_broadcast_rows:
+        rows = found.select("lang", *names, "id").toPandas()
+        return extended(lists, keys, lists.sparkSession.sparkContext.broadcast(Numbers(rows, names)))
+    return extended(with_live(lists, found, keys, names), keys)
 
 
 def described(found: DataFrame, before: DataFrame) -> DataFrame:
     """id, lang, phrase, last (its last word), f, left and right (frequencies of its first and last 1, 2, ... words), subs (ids
     of the phrases of two words or more that it holds), of frequent phrases from those one word shorter."""
     side = lambda s, *columns: before.select(F.col("id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in columns))
-    both = found.where("first").join(side("head", "lang", "phrase", "left", "subs"), "head").join(side("tail", "last", "right", "subs"), "tail")
+    both = found.join(side("head", "phrase", "left", "subs"), "head").join(side("tail", "last", "right", "subs"), "tail")
     phrase = F.concat_ws(" ", "head_phrase", "tail_last")
     one = F.size("head_left") == 1
     subs = F.when(one, F.array().cast("array<bigint>")).otherwise(F.array_distinct(F.concat(F.array("head", "tail"), "head_subs", "tail_subs")))
-    return both.select("id", F.col("head_lang").alias("lang"), phrase.alias("phrase"), F.col("tail_last").alias("last"), "f", F.concat("head_left", F.array("f")).alias("left"), F.concat("tail_right", F.array("f")).alias("right"), subs.alias("subs"))
+    return both.select("id", "lang", phrase.alias("phrase"), F.col("tail_last").alias("last"), "f", F.concat("head_left", F.array("f")).alias("left"), F.concat("tail_right", F.array("f")).alias("right"), subs.alias("subs"))
 
 
 def cut(scale: int) -> Column:
@@ -168,20 +214,22 @@ def cut(scale: int) -> Column:
     return F.array_min(F.transform(F.sequence(F.lit(1), F.size("left") - 1), of))
 
 
-def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, longest: int = 4, scale: int = 2_000_000, inside: int = 80, block: int = 6_000_000) -> DataFrame:
+def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, longest: int = 4, scale: int = 2_000_000, inside: int = 80, block: int = 6_000_000, max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """All candidates that stay: lang, phrase, a, l, r, n, score."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lists = saved(blocks(rows, block), "phrases-lists-1")
     sizes = saved(lists.groupBy("lang").agg(F.sum("size").alias("n")), "phrases-sizes")
-    found = saved(frequent(lists, ["words"], ["word"], least, 1), "phrases-frequent-1")
-    held = found.where("first").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("left"), F.array("f").alias("right"), F.array().cast("array<bigint>").alias("subs"))
+    keys, names = ["words"], ["word"]
+    found = saved(frequent(lists, keys, names, least, 1), "phrases-frequent-1")
+    held = found.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("left"), F.array("f").alias("right"), F.array().cast("array<bigint>").alias("subs"))
     candidates = None
     for level in range(2, longest + 1):
         free_memory(docs.sparkSession)
-        longer = saved(extended(with_live(lists, found)), f"phrases-lists-{level}")
+        longer = saved(longer_lists(lists, found, keys, names, max_broadcast_rows), f"phrases-lists-{level}")
         discard(lists)
         free_memory(docs.sparkSession)
-        lists, found = longer, saved(frequent(longer, ["heads", "tails"], ["head", "tail"], least, level), f"phrases-frequent-{level}")
+        lists, keys, names = longer, ["heads", "tails"], ["head", "tail"]
+        found = saved(frequent(lists, keys, names, least, level), f"phrases-frequent-{level}")
         free_memory(docs.sparkSession)
         held = saved(described(found, held), f"phrases-{level}")
         candidates = held if candidates is None else candidates.unionByName(held)

@@ -100,11 +100,11 @@ def phrases_brute(rows, least, top):
     return sorted(out)
 
 
-@pytest.mark.parametrize("least,top,block", [(30, 2000, 6_000_000), (3, 40, 100), (5, 7, 1000)])
-def test_phrases(spark, spoken, least, top, block):
+@pytest.mark.parametrize("least,top,block,broadcast", [(30, 2000, 6_000_000, 10**6), (3, 40, 100, 0), (5, 7, 1000, 10**6)])
+def test_phrases(spark, spoken, least, top, block, broadcast):
     from orebody.llm.phrases import best, mine
 
-    got = best(mine(spoken, least=least, block=block), top)
+    got = best(mine(spoken, least=least, block=block, max_broadcast_rows=broadcast), top)
     want = phrases_brute(SPOKEN, least, top)
     assert sorted(tuple(r[c] for c in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")) for r in got.collect()) == want
     assert {len(r[2].split(" ")) for r in want} >= {2} and {"en", "xx"} <= {r[0] for r in want}
@@ -113,11 +113,12 @@ def test_phrases(spark, spoken, least, top, block):
         assert best(mine(spoken.limit(0))).count() == 0
 
 
-def test_phrase_lists_hold_every_place(spark):
+@pytest.mark.parametrize("most", [0, 10])
+def test_phrase_lists_hold_every_place(spark, most):
     """Lists are places in order; merging them with the adjacent words' gives all occurrences, overlaps included."""
     import numpy as np
 
-    from orebody.llm.phrases import blocks, extended, frequent, with_live
+    from orebody.llm.phrases import blocks, frequent, longer_lists
 
     text = "a a a b a a, a b c a b. a a"
     lists = blocks(spark.createDataFrame([("en", text)], "lang string, text string"), 1000).cache()
@@ -126,7 +127,7 @@ def test_phrase_lists_hold_every_place(spark):
     assert {w: x.tolist() for w, x in found.items()} == {"a": [0, 1, 2, 4, 5, 7, 10, 13, 14], "b": [3, 8, 11], "c": [9]}
     words = frequent(lists, ["words"], ["word"], 2, 1).cache()
     names = {x.id: x.word for x in words.collect()}
-    two = extended(with_live(lists, words)).first()
+    two = longer_lists(lists, words, ["words"], ["word"], most).first()
     assert {names[h] + names[t]: x.tolist() for h, t, x in zip(two.heads, two.tails, np.split(np.frombuffer(two.places, np.int32), np.cumsum(two.counts)[:-1]))} == {"aa": [0, 1, 4, 13], "ab": [2, 7, 10], "ba": [3]}
 
 
