@@ -102,6 +102,27 @@ def mermaid_edges(spark: SparkSession, sf: str) -> DataFrame:
     return graph.mermaid_edges(dependencies(spark, sf))
 
 
+#: The same over the parts that follow each other in orders.
+REACH_PARTS = f"WITH RECURSIVE {edges_sql()}, e AS (SELECT DISTINCT source, target FROM edges), r AS (SELECT source, target FROM e UNION SELECT r.source, e.target FROM r JOIN e ON r.target = e.source), k AS (SELECT source, target FROM e WHERE EXISTS (SELECT 1 FROM r WHERE r.source = e.target AND r.target = e.source))"
+
+
+@query(f"{REACH_PARTS} SELECT source, target FROM k")
+def cyclic_edges_parts(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.cyclic_edges(part_edges(spark, sf))
+
+
+@query(f"""{REACH_PARTS}, n AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS n FROM (SELECT source AS node FROM e UNION SELECT target FROM e))
+SELECT e.source, e.target, k.source IS NOT NULL AS cyclic, 'n' || a.n || CASE WHEN k.source IS NOT NULL THEN ' -.->|cycle| n' ELSE ' --> n' END || b.n AS line FROM e JOIN n a ON a.node = e.source JOIN n b ON b.node = e.target LEFT JOIN k ON k.source = e.source AND k.target = e.target""")
+def mermaid_edges_parts(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.mermaid_edges(part_edges(spark, sf))
+
+
+@query(f"{REACH_PARTS}, n AS (SELECT count(*) AS files FROM part), m AS (SELECT count(*) AS edges FROM edges), o AS (SELECT count(*) AS orphans FROM part WHERE p_partkey NOT IN (SELECT source FROM edges UNION SELECT target FROM edges)), c AS (SELECT count(*) AS cyclic_edges FROM k) SELECT files, edges, CASE WHEN files = 0 THEN 0.0 ELSE round(edges / files, 6) END AS edges_per_file, orphans, cyclic_edges FROM n, m, o, c")
+def graph_stats_cyclic(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals with the number of distinct edges on cycles."""
+    return graph.graph_stats(nodes(spark, sf), part_edges(spark, sf), cyclic=True)
+
+
 @query("""WITH f AS (SELECT doc_id, 'd' || doc_id || CASE lang WHEN 'en' THEN '.py' WHEN 'fr' THEN '.ts' ELSE '.txt' END AS node FROM documents), n AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS n, CASE WHEN node LIKE '%.py' THEN 'python' WHEN node LIKE '%.ts' THEN 'typescript' ELSE 'plaintext' END AS language,
 CASE WHEN node LIKE '%.py' THEN '#3776AB' WHEN node LIKE '%.ts' THEN '#3178C6' ELSE '#607D8B' END AS colour FROM f), e AS (SELECT x.node AS source, y.node AS target, x.doc_id % 3 = 0 AS dynamic, x.doc_id // 10 = y.doc_id // 10 AS cyclic FROM f x JOIN f y ON y.doc_id = x.doc_id // 10 * 10 + (x.doc_id + 1) % 10 UNION SELECT x.node, y.node, true, false FROM f x JOIN f y ON y.doc_id = x.doc_id + 10 WHERE x.doc_id % 20 = 0)
 SELECT 'node' AS part, '    n' || n || '["' || node || '"]' AS line FROM n UNION ALL SELECT 'style', '    style n' || n || ' fill:' || colour || ',color:#fff,stroke:' || colour FROM n
