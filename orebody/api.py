@@ -14,7 +14,11 @@ from orebody.functions.scalars import clamped, content_hash, document_text, lang
 from orebody.operators import artifacts as arts
 from orebody.operators import changes, chunking, extract, graph, render, resolve, search
 from orebody.operators import symbols as sym
+from orebody.operators.block_max import BlockMax
 from orebody.operators.embed import Hashing, Provider, query_vector
+from orebody.operators.name_index import NameIndex
+from orebody.operators.reachability import Reachability
+from orebody.operators.vector_index import VectorIndex
 from orebody.sources import config
 from orebody.sources import files as sources
 from orebody.sources.store import KEYS, TABLES, Buckets, Files, Lock, Table, cut, escaped, with_retries
@@ -89,6 +93,7 @@ class Engine:
             if self.has("file_state") and not set(counts) - {"unchanged"}:
                 return counts
             began = time.time()
+            self._drop_indexes("vectors", "blocks")
             done = self.rows("progress").where("status = 'completed'").count() > 0
             gone = diff.where("status IN ('changed', 'removed')").select("path")
             to = sorted({r.b for r in seen if r.status in ("changed", "removed")})
@@ -145,6 +150,28 @@ class Engine:
         new = search.statistics(index).first()
         self._change = [self._change[0] + new.docs, self._change[1] + new.tokens]
 
+    def _beside(self, name: str) -> str:
+        return f"{self.store}/indexes/{name}/{escaped(self.project)}"
+
+    def _drop_indexes(self, *names: str) -> None:
+        """Indexes of rows that are about to change go; questions then read the tables until optimize() is called again."""
+        for name in names:
+            Files(self.spark, self._beside(name)).delete()
+
+    def _indexed(self, name: str) -> bool:
+        return Files(self.spark, self._beside(name)).exists("_built")
+
+    def optimize(self, cells: int | None = None) -> None:
+        """Builds cells of vectors and blocks of postings over the project's chunks. Searches give the same answers by them, but
+        read a part of the vectors and postings. cells: about the root of the number of chunks, if not given."""
+        with self.lock():
+            self._drop_indexes("vectors", "blocks")
+            chunks = self.rows("chunks")
+            VectorIndex(self.spark, self._beside("vectors")).build(chunks.select("id", "embedding"), cells or max(1, round(chunks.count() ** 0.5)))
+            BlockMax(self.spark, self._beside("blocks")).from_postings(self.rows("postings"), self.rows("search_stats"))
+            for name in ("vectors", "blocks"):
+                Files(self.spark, self._beside(name)).create("_built", "")
+
     def _progress(self, phase: str, batch: int, batches: int, files: int, status: str) -> None:
         row = self.spark.createDataFrame([(phase, batch, batches, files, status)], "phase string, batch int, batches int, files long, status string")
         self.put("progress", row.withColumn("at", F.current_timestamp()))
@@ -190,8 +217,14 @@ class Engine:
                 rows, narrowed = rows.where(F.col(column) == value), True
         vector = query_vector(self.spark, self.provider, query)
         terms = self.spark.range(1).select(search.tokens(F.lit(query))).first()[0]
-        sparse = search.bm25_stored(self.rows(index, project), self.rows(stats, project), terms, rows.select("id") if narrowed else None)
-        dense = search.cosine(rows.select("id", "embedding"), "embedding", vector).where("NOT isnan(score)")
+        only = rows.select("id") if narrowed else None
+        if chunks == "chunks" and project == self.project and self._indexed("vectors") and self._indexed("blocks"):
+            wide = search.prefetch(limit)
+            sparse = BlockMax(self.spark, self._beside("blocks")).best(terms, wide, only=only)
+            dense = VectorIndex(self.spark, self._beside("vectors")).nearest([vector], wide, only=only)
+        else:
+            sparse = search.bm25_stored(self.rows(index, project), self.rows(stats, project), terms, only)
+            dense = search.cosine(rows.select("id", "embedding"), "embedding", vector).where("NOT isnan(score)")
         best = search.hybrid(dense, sparse, "id", limit, min_score=min_score)
         return rows.drop("embedding", "text").join(F.broadcast(best), "id").orderBy(F.desc("score"), "id")
 
@@ -241,6 +274,7 @@ class Engine:
         with self.lock():
             for name in TABLES:
                 self.table(name).drop(self.project)
+            self._drop_indexes("vectors", "blocks", "names", "reach")
 
     def resume(self, root: str, **scan) -> dict[str, int]:
         """What a service does at its start: goes on with an index that was not completed, and catches up with changes."""
@@ -276,6 +310,7 @@ class Graph:
         aliases are read from the tree unless they are given."""
         e = self.engine
         with e.lock() as lock:
+            e._drop_indexes("names", "reach")
             # many branches read the files: they are scanned once
             e.put("graph_files", self._scanned(root, **scan))
             files = e.rows("graph_files")
@@ -345,6 +380,7 @@ class Graph:
                     e.table("graph_files").patch(e.project, odd_buckets, self._kept_files(odd_buckets, judged.select("path"), anew))
                 return counts
             marks.create(escaped(e.project), "patching")
+            e._drop_indexes("names", "reach")
             languages = {x for r in seen if r.status != "unchanged" for x in r.languages}
             moved = cut(judged.where("status <> 'unchanged'").select("path"))
             stamped, anew = anew, anew.join(moved, "path", "left_semi")
@@ -408,6 +444,30 @@ class Graph:
     def _save_rules(self, root: str, go_module: str | None, aliases: list | None) -> None:
         Files(self.engine.spark, f"{self.engine.store}/rules").create(escaped(self.engine.project), self._rules(root, go_module, aliases), overwrite=True)
 
+    def optimize(self) -> None:
+        """Builds the index of names and the closure of file dependencies (imports and calls)."""
+        e = self.engine
+        with e.lock():
+            e._drop_indexes("names", "reach")
+            NameIndex(e.spark, e._beside("names")).build(e.rows("symbols"))
+            built = Reachability(e.spark, e._beside("reach")).build(self.links())
+            Files(e.spark, e._beside("names")).create("_built", "")
+            Files(e.spark, e._beside("reach")).create("_built", built.path)
+
+    def links(self) -> DataFrame:
+        """source and target of all imports, and of calls between files."""
+        calls = sym.reverse_index(self.engine.rows("call_edges"), self.engine.rows("symbols"))
+        return self.edges().select("source", "target").unionByName(calls.select(F.col("caller_file").alias("source"), F.col("callee_file").alias("target"))).distinct()
+
+    def closure(self, files: list[str], reverse: bool = False) -> DataFrame:
+        """seed and node: all files that these depend on, or (reverse) that depend on them, however far. Needs optimize()."""
+        e = self.engine
+        found = Files(e.spark, e._beside("reach")).read("_built")
+        if found is None:
+            raise ValueError("there is no closure of this graph: call optimize() first")
+        seeds = e.spark.createDataFrame([(f.replace("\\", "/"),) for f in files], "node string")
+        return Reachability(e.spark, found).closure(seeds, reverse)
+
     def edges(self) -> DataFrame:
         return self.engine.rows("edges")
 
@@ -494,8 +554,9 @@ class Symbols:
     def flow_text(self, name: str | None = None, file: str | None = None, depth: int = 5) -> str:
         """The call tree of a symbol as text; without a name, the entry points that one can start from."""
         if not name:
-            found = [f"{r.id} ({r.reason})" for r in self.entry_points().orderBy("id", "reason").limit(1000).collect()]
-            return render.capped_list("Entry points", found) if found else "No entry points found."
+            points = cut(self.entry_points())
+            found = [f"{r.id} ({r.reason})" for r in points.orderBy("id", "reason").limit(render.SHOWN).collect()]
+            return render.capped_list("Entry points", found, total=points.count()) if found else "No entry points found."
         ids = self.ids(name, file)
         if len(ids) != 1:
             return render.capped_list(f"{name} is not unique; name a file", ids) if ids else f"There is no symbol {name}."
@@ -508,9 +569,13 @@ class Symbols:
         return sym.symbol_context(self._own("call_edges"), self._own("symbols"), name, file and file.replace("\\", "/"))
 
     def list(self, contains: str | None = None, file: str | None = None, limit: int = 200) -> DataFrame:
+        if self.engine._indexed("names"):
+            return NameIndex(self.engine.spark, self.engine._beside("names")).list(contains, file and file.replace("\\", "/"), limit)
         return sym.list_symbols(self._own("symbols"), contains, file and file.replace("\\", "/"), limit)
 
     def find(self, text: str, limit: int = 50) -> DataFrame:
+        if self.engine._indexed("names"):
+            return NameIndex(self.engine.spark, self.engine._beside("names")).find(text, limit)
         return sym.symbol_lookup(self._own("symbols"), text, limit)
 
 

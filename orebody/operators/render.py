@@ -144,10 +144,16 @@ def tree_text(rows: list[tuple[int, str, str]]) -> str:
     return "\n".join(f"{'  ' * depth}{'└─ ' if depth else ''}{node}{more.get(reason, '')}" for depth, node, reason in rows)
 
 
-def capped_list(title: str, lines: list[str], most: int = 50) -> str:
-    """A list of at most `most` lines that says how many it leaves out; the table behind it is whole."""
-    left = len(lines) - most
-    return "\n".join([f"{title} ({len(lines)}):", *(f"  {x}" for x in lines[:most]), *([f"  ... and {left} more"] if left > 0 else [])])
+#: Lines that a list shows at most.
+SHOWN = 50
+
+
+def capped_list(title: str, lines: list[str], most: int = SHOWN, total: int | None = None) -> str:
+    """A list of at most `most` lines that says how many it leaves out (of total, if lines are only the first); the table
+    behind it is whole."""
+    total = len(lines) if total is None else total
+    left = total - min(most, len(lines))
+    return "\n".join([f"{title} ({total}):", *(f"  {x}" for x in lines[:most]), *([f"  ... and {left} more"] if left > 0 else [])])
 
 
 def progress_text(done: int, total: int, batch: int, batches: int, seconds: float) -> str:
