@@ -360,7 +360,7 @@ class Graph:
             marks.delete(escaped(e.project))
             return {"added": e.rows("graph_files").count()}
         with e.lock() as lock:
-            listed = cut(sources.graphable_paths(e.spark, root, **scan).withColumnRenamed("relative_path", "path"))
+            listed = sources.graphable_paths(e.spark, root, **scan).withColumnRenamed("relative_path", "path")
             odd = cut(changes.restamped(listed, e.rows("graph_files")))
             now = sources.graphed(sources.contents(root, odd.where("listed").withColumnRenamed("path", "relative_path"))).withColumnRenamed("relative_path", "path")
             parsed = extract.extracted(now).select("path", "symbols", "calls")
@@ -371,8 +371,8 @@ class Graph:
             counts: dict[str, int] = {}
             for r in seen:
                 counts[r.status] = counts.get(r.status, 0) + r.n
-            rest = listed.count() - sum(n for s, n in counts.items() if s != "removed")
-            counts |= {"unchanged": counts.get("unchanged", 0) + rest} if rest or "unchanged" in counts else {}
+            same = e.rows("graph_files").count() - counts.get("changed", 0) - counts.get("removed", 0)
+            counts |= {"unchanged": same} if same else {}
             buckets = sorted({r.b for r in seen if r.status != "unchanged"})
             odd_buckets = sorted({r.b for r in seen})
             if not buckets:
@@ -382,7 +382,7 @@ class Graph:
             marks.create(escaped(e.project), "patching")
             e._drop_indexes("names", "reach")
             languages = {x for r in seen if r.status != "unchanged" for x in r.languages}
-            moved = cut(judged.where("status <> 'unchanged'").select("path"))
+            moved = judged.where("status <> 'unchanged'").select("path")
             stamped, anew = anew, anew.join(moved, "path", "left_semi")
             symbols, calls = extract.symbol_rows(anew), extract.call_rows(anew)
             gone = moved.withColumnRenamed("path", "file")

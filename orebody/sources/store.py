@@ -260,8 +260,8 @@ class Buckets(Table):
         if not self.store.exists("_buckets"):
             self.store.create("_buckets", str(self.count))
         dealt = self.shaped(rows).withColumn("bucket", self.number())
-        # by ranges of the key, so that a full bucket is written by several tasks
-        dealt.repartitionByRange("bucket", self.key).sortWithinPartitions("bucket", self.sorted_by).write.options(**self.options).partitionBy("bucket").mode(mode).parquet(f"{self.path}/{folder}")
+        # balanced by what the shuffle has measured: a full bucket is written by several tasks, small ones by one
+        dealt.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", self.sorted_by).write.options(**self.options).partitionBy("bucket").mode(mode).parquet(f"{self.path}/{folder}")
 
     def _settle(self, folder: str) -> None:
         super()._settle(folder)
