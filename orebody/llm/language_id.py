@@ -6,12 +6,13 @@ corrected for that filter's false positives (its share of set cells to the power
 largest corrected share decides; ties go to the language that sorts first.
 
 The filters are learned from a bounded sample: per language the `sample` labelled rows with the smallest hash of their
-id, out of those not held out (crc32 of the id as text, modulo 4, is 2). Of their n-grams a language keeps the `grams` most frequent that
+id, out of those not held out (crc32 of the id as text, modulo 4, is 2). Of their n-grams a language keeps the `kept` most frequent that
 are at least `share` as frequent as in the language that uses them most. Predictions read the text alone.
 
-Null texts and texts without a letter are `und` with score 0, as are all if nothing can be learned. Rows with a null id
+Null texts and texts without a letter are `und` with score 0, as are all if nothing can be learned; a text with letters of
+which no n-gram is known gets the language that sorts first, with score 0. Rows with a null id
 are never learned from and not held out. Rows may repeat, each gives one row; an empty table gives none. A very long text is
-held once, with 8 bytes for each of its n-grams. Columns other than id, text and (for learning) language are not read. At most `grams` x languages n-grams reach the driver, and the
+held once, with 8 bytes for each of its n-grams. Columns other than id, text and (for learning) language are not read. At most `kept` x languages n-grams reach the driver, and the
 broadcast filter has cells x 8 bytes for each 64 languages.
 """
 

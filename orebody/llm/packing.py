@@ -8,7 +8,8 @@ until one partition is left. Its windows are nearly equal; if the largest exceed
 rises by one and the batch is packed anew.
 
 Null text: empty, so the document is the end id alone. Rows may repeat; each row is packed by itself. Every row gives at
-least one piece. A sequence's id is the task's number times 2^33 plus a counter, the same in every attempt of a task.
+least one piece, an empty table none. A very long text is encoded whole in its row, some 4 bytes for each of its ids held, and
+cut into as many windows as it fills. Columns other than id and text are not read, whatever their names. A sequence's id is the task's number times 2^33 plus a counter, the same in every attempt of a task.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ special string and the looked-at character). The splice goes to the last such co
 none, it is widened (doubled) until one is found or the text ends. Memory is bounded by the chunk, but for a text that
 has no boundary at all.
 
-Null and empty texts have 0 bytes and 0 tokens; rows may repeat; other columns are not read.
+Null and empty texts have 0 bytes and 0 tokens; rows may repeat, each gives one row, an empty table none; other columns are not
+read.
 """
 
 from __future__ import annotations
